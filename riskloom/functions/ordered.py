@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import join_on_keys
+from riskloom.session import checkpointed
 
 CELL = "__cell"
 CELLS = 4096
@@ -47,9 +48,12 @@ def with_value_cells(
     The first level spans the group's own minimum and maximum, the second the
     minimum and maximum found inside each first-level interval, so one outlier
     does not crowd all other values into one cell. Minimum and maximum do not
-    depend on the order of rows, hence neither do the cells.
+    depend on the order of rows, hence neither do the cells. The input is read
+    once per level and again by the caller, so it is checkpointed first: the
+    source behind it is scanned once.
     """
     groups = list(group_cols)
+    df = checkpointed(df)
     value = F.col(value_col).cast("double")
 
     def level(frame: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -131,12 +135,17 @@ def exact_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, group_cols: Sequence[str], value_col: str, probs: Sequence[float]
+    df: DataFrame,
+    group_cols: Sequence[str],
+    value_col: str,
+    probs: Sequence[float],
+    probabilities: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles from value counts, one column per prob.
 
     Replaces ``percentile`` for groups whose distinct values do not fit one
-    task. Columns are named ``q_<i>`` by position in ``probs``.
+    task. Columns are named ``q_<i>`` by position in ``probs``. Set
+    ``probabilities`` where the values lie in [0, 1].
     """
     groups = list(group_cols)
     counts = (
@@ -144,7 +153,11 @@ def exact_quantiles(
         .groupBy(*groups, value_col)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    cum = running_totals(with_value_cells(counts, groups, value_col), groups, [value_col], ["n"])
+    if probabilities:
+        celled = counts.withColumn(CELL, probability_cell(F.col(value_col)))
+    else:
+        celled = with_value_cells(counts, groups, value_col)
+    cum = running_totals(celled, groups, [value_col], ["n"])
     aggs = []
     for i, q in enumerate(probs):
         pos = F.lit(float(q)) * (F.col("total_n") - 1)
@@ -159,3 +172,64 @@ def exact_quantiles(
         for i in range(len(probs))
     ]
     return cum.groupBy(*groups).agg(*aggs).select(*groups, *out)
+
+
+def with_id_cells(df: DataFrame, group_cols: Sequence[str], id_col: str) -> tuple[DataFrame, list[str]]:
+    """Add cells for an id column; numbers keep their order, text uses its hash.
+
+    Returns the frame and the columns that order it.
+    """
+    if dict(df.dtypes)[id_col] == "string":
+        h = F.xxhash64(id_col)
+        return df.withColumn("__h", h).withColumn(CELL, hash_cell(h)), ["__h", id_col]
+    return with_value_cells(df, group_cols, id_col), [id_col]
+
+
+def segment_by_rank(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    value_col: str,
+    id_col: str,
+    cuts: DataFrame,
+    out_col: str = "segment",
+) -> DataFrame:
+    """Cut every group at given ranks of (value, id).
+
+    ``cuts`` holds the group columns and ``cuts``, an array of ranks. A row gets
+    the number of cuts below its rank. Ranks are found from counts per value;
+    only rows that share the value at a cut are ranked one by one, so a date or
+    score common to a third of all rows costs no oversized task.
+    """
+    groups = list(group_cols)
+    counts = df.groupBy(*groups, value_col).agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(with_value_cells(counts, groups, value_col), groups, [value_col], ["n"])
+    wanted = cuts.select(*groups, F.posexplode("cuts").alias("__no", "__k"))
+    inside = (F.col("cum_n") >= F.col("__k")) & (F.col("cum_n") - F.col("n") < F.col("__k"))
+    points = (
+        join_on_keys(cum, wanted, groups)
+        .groupBy(*groups, "__no", "__k")
+        .agg(
+            F.max(F.when(inside, F.col(value_col))).alias("__v"),
+            F.max(F.when(inside, F.col("__k") - (F.col("cum_n") - F.col("n")))).alias("__take"),
+        )
+    )
+    per_group = points.groupBy(*groups).agg(
+        F.collect_list(F.struct("__k", "__v", "__take")).alias("__cuts")
+    )
+    rows = join_on_keys(df, per_group, groups)
+    value = F.col(value_col)
+    on_cut = F.exists("__cuts", lambda c: c["__v"] == value)
+    tied, order = with_id_cells(rows.where(on_cut), [*groups, value_col], id_col)
+    ranked = exact_rank(tied, [*groups, value_col], order, "__tie").drop("__h", "group_size")
+    free = rows.where(~F.coalesce(on_cut, F.lit(False))).withColumn(
+        "__tie", F.lit(None).cast("bigint")
+    )
+    passed = F.size(
+        F.filter(
+            "__cuts",
+            lambda c: (c["__k"] <= 0)
+            | (value > c["__v"])
+            | ((value == c["__v"]) & (F.col("__tie") > c["__take"])),
+        )
+    )
+    return free.unionByName(ranked).withColumn(out_col, passed).drop("__cuts", "__tie")

@@ -181,7 +181,7 @@ def quantile_bins(
     even = F.array(*[F.lit(float(e)) for e in np.linspace(0, 1, n_bins + 1)])
     if strategy == "quantile":
         probs = [i / n_bins for i in range(n_bins + 1)]
-        q = exact_quantiles(rows, groups, "__p", probs)
+        q = exact_quantiles(rows, groups, "__p", probs, probabilities=True)
         edges = q.select(
             *groups,
             F.array_sort(F.array_distinct(F.array(*[F.col(f"q_{i}") for i in range(n_bins + 1)])))

@@ -162,7 +162,7 @@ def distribution_stats(
     moments = rows.groupBy(*group_cols).agg(
         F.avg(value_col).alias("mean"), F.stddev_pop(value_col).alias("sd")
     )
-    quartiles = exact_quantiles(rows, group_cols, value_col, [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(rows, group_cols, value_col, [0.25, 0.5, 0.75], True)
     return join_on_keys(moments, quartiles, group_cols).select(
         *group_cols,
         "mean",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import join_on_keys
-from riskloom.functions.ordered import CELL, hash_cell, running_totals, with_value_cells
+from riskloom.functions.ordered import running_totals, with_id_cells
 from riskloom.functions.prob import finite, ratio_or_zero, safe_div
 from riskloom.operators import curves as C
 
@@ -272,12 +272,7 @@ def top_risk_capture(
         summary.select(*keys, F.col("__cut").alias("__p"), "__take"),
         [*groups, "__p"],
     )
-    id_type = dict(df.dtypes)[id_col]
-    if id_type == "string":
-        h = F.xxhash64("__id")
-        celled, order = cut_rows.withColumn("__h", h).withColumn(CELL, hash_cell(h)), ["__h", "__id"]
-    else:
-        celled, order = with_value_cells(cut_rows, keys, "__id"), ["__id"]
+    celled, order = with_id_cells(cut_rows, keys, "__id")
     ranked = running_totals(
         celled.withColumn("__one", F.lit(1).cast("bigint")), keys, order, ["__one"]
     )

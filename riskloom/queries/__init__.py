@@ -6,6 +6,7 @@ say the same, to the SQL text.
 
 from riskloom.queries.registry import REGISTRY, Query
 from riskloom.queries import (  # noqa: F401  (registration by import)
+    cohorts,
     metrics,
     operating_points,
 )

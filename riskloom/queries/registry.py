@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.prepare import melt_array
+
 
 class Tables:
     """Lazily read Parquet tables of one scale-factor folder."""
@@ -53,6 +55,89 @@ class Tables:
             .alias("category"),
         )
 
+    def cohort(self) -> DataFrame:
+        """Customers as a cohort: label by nation, age and BMI from the balance."""
+        nation = F.col("c_nationkey")
+        balance = F.col("c_acctbal")
+        return self.customer.select(
+            F.col("c_custkey").alias("id"),
+            F.when(nation < 18, "Controls")
+            .when(nation < 22, "Incident")
+            .otherwise("Prevalent")
+            .alias("target"),
+            F.when(F.col("c_custkey") % 13 == 0, F.lit("2020-01-01")).alias("event_date"),
+            F.when(balance >= 0, balance / 100.0).alias("age"),
+            F.when(nation != 3, balance / 400.0).alias("bmi"),
+            F.when(nation != 7, F.col("c_mktsegment")).alias("sex"),
+        )
+
+    def dated_cohort(self) -> DataFrame:
+        """Orders as a dated cohort: label by status."""
+        return self.orders.select(
+            F.col("o_orderkey").alias("id"),
+            F.col("o_orderdate").alias("event_time"),
+            F.when(F.col("o_orderstatus") == "F", "Controls")
+            .when(F.col("o_orderstatus") == "O", "Incident")
+            .otherwise("Prevalent")
+            .alias("target"),
+        )
+
+    def wide_cohort(self) -> DataFrame:
+        """Embeddings as a cohort of 64 features: label 0 and 1 are the cases."""
+        label = F.col("label")
+        return self.embeddings.select(
+            F.col("vec_id").alias("id"),
+            F.when(label == 0, "Incident")
+            .when(label == 1, "Prevalent")
+            .otherwise("Controls")
+            .alias("target"),
+            (label < 2).cast("int").alias("y"),
+            "embedding",
+        )
+
+    def features(self) -> DataFrame:
+        """The wide cohort, melted: (id, target, y, feature, value)."""
+        return melt_array(self.wide_cohort(), "embedding", ["id", "target", "y"])
+
+    def measurements(self) -> DataFrame:
+        """Line items as a melted cohort of four features, many rows each."""
+        entries = [
+            F.struct(F.lit(name).alias("feature"), F.col(name).alias("value"))
+            for name in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        ]
+        return self.lineitem.select(
+            (F.col("l_returnflag") == "R").cast("int").alias("y"),
+            F.inline(F.array(*entries)),
+        )
+
+
+COHORT_SQL = """cohort AS (
+  SELECT c_custkey AS id,
+         CASE WHEN c_nationkey < 18 THEN 'Controls' WHEN c_nationkey < 22 THEN 'Incident'
+              ELSE 'Prevalent' END AS target,
+         CASE WHEN c_custkey % 13 = 0 THEN '2020-01-01' END AS event_date,
+         CASE WHEN c_acctbal >= 0 THEN c_acctbal / CAST(100 AS DOUBLE) END AS age,
+         CASE WHEN c_nationkey <> 3 THEN c_acctbal / CAST(400 AS DOUBLE) END AS bmi,
+         CASE WHEN c_nationkey <> 7 THEN c_mktsegment END AS sex
+  FROM customer)"""
+
+DATED_SQL = """dated AS (
+  SELECT o_orderkey AS id, o_orderdate AS event_time,
+         CASE o_orderstatus WHEN 'F' THEN 'Controls' WHEN 'O' THEN 'Incident'
+              ELSE 'Prevalent' END AS target
+  FROM orders)"""
+
+FEATURES_SQL = """features AS (
+  SELECT vec_id AS id, CASE label WHEN 0 THEN 'Incident' WHEN 1 THEN 'Prevalent'
+         ELSE 'Controls' END AS target, CASE WHEN label < 2 THEN 1 ELSE 0 END AS y,
+         'f' || LPAD(CAST(i - 1 AS VARCHAR), 4, '0') AS feature,
+         CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings, LATERAL (SELECT UNNEST(RANGE(1, LEN(embedding) + 1)) AS i))"""
+
+MEASUREMENTS_SQL = """features AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, feature, value
+  FROM lineitem, LATERAL (SELECT UNNEST(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])
+         AS feature, UNNEST([l_quantity, l_extendedprice, l_discount, l_tax]) AS value))"""
 
 PREDICTIONS_SQL = """pred AS (
   SELECT l_linestatus AS model, CAST(l_suppkey % 5 AS INTEGER) AS split_seed,
