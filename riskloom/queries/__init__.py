@@ -9,6 +9,8 @@ from riskloom.queries import (  # noqa: F401  (registration by import)
     cohorts,
     metrics,
     operating_points,
+    screening,
+    splits_summary,
 )
 
 __all__ = ["REGISTRY", "Query"]

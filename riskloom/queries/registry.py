@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.operators.prepare import melt_array
@@ -110,6 +111,75 @@ class Tables:
             F.inline(F.array(*entries)),
         )
 
+    def selection_log(self) -> DataFrame:
+        """Orders as outer folds: an order 'selects' the brands it contains."""
+        key = F.col("l_orderkey")
+        lines = self.lineitem.select("l_orderkey", "l_partkey")
+        brands = self.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+        return (
+            lines.join(brands, "l_partkey")
+            .groupBy("l_orderkey")
+            .agg(F.array_sort(F.collect_set("p_brand")).alias("features"))
+            .select(
+                F.concat(F.lit("m"), (key % 2).cast("string")).alias("model"),
+                (key % 10).cast("int").alias("split_seed"),
+                (key % 3).cast("int").alias("repeat"),
+                "features",
+            )
+        )
+
+    def _brand_lines(self) -> DataFrame:
+        brands = self.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+        return self.lineitem.join(brands, "l_partkey")
+
+    def brand_stability(self) -> DataFrame:
+        """Share of returned lines per line status and brand, as a stability table."""
+        return (
+            self._brand_lines()
+            .groupBy(F.col("l_linestatus").alias("model"), F.col("p_brand").alias("feature"))
+            .agg(
+                (F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias(
+                    "selection_fraction"
+                )
+            )
+        )
+
+    def brand_elimination(self) -> DataFrame:
+        """Elimination order of brands by quantity, for one of the two models."""
+        totals = (
+            self._brand_lines()
+            .where(F.col("l_linestatus") == "O")
+            .groupBy(F.col("l_linestatus").alias("model"), F.col("p_brand").alias("feature"))
+            .agg(F.sum("l_quantity").alias("q"))
+        )
+        order = F.row_number().over(W.partitionBy("model").orderBy("q", "feature")) - 1
+        return totals.select("model", "feature", order.alias("elimination_order"))
+
+    def brand_values(self) -> DataFrame:
+        """Quantity per supplier and brand, melted: (id, feature, value)."""
+        return (
+            self._brand_lines()
+            .groupBy(F.col("l_suppkey").alias("id"), F.col("p_brand").alias("feature"))
+            .agg(F.sum("l_quantity").alias("value"))
+        )
+
+    def split_metrics(self) -> DataFrame:
+        """A metric row per configuration, model and split."""
+        config = F.element_at(
+            F.array(*[F.lit(c) for c in ("0.5_1", "0.5_5", "1.0_1", "1.0_5")]),
+            (F.col("l_linenumber") % 4 + 1).cast("int"),
+        )
+        y = (F.col("l_returnflag") == "R").cast("double")
+        return self.lineitem.groupBy(
+            config.alias("config"),
+            F.col("l_linestatus").alias("model"),
+            (F.col("l_suppkey") % 5).cast("int").alias("split_seed"),
+        ).agg(
+            F.avg(y).alias("auroc"),
+            F.avg("l_discount").alias("brier"),
+            (F.avg("l_tax") * 25.0).alias("calib_slope"),
+        )
+
 
 COHORT_SQL = """cohort AS (
   SELECT c_custkey AS id,
@@ -139,6 +209,33 @@ MEASUREMENTS_SQL = """features AS (
   FROM lineitem, LATERAL (SELECT UNNEST(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])
          AS feature, UNNEST([l_quantity, l_extendedprice, l_discount, l_tax]) AS value))"""
 
+SELECTIONS_SQL = """slog AS (
+  SELECT l_orderkey, 'm' || CAST(l_orderkey % 2 AS VARCHAR) AS model,
+         CAST(l_orderkey % 10 AS INTEGER) AS split_seed,
+         CAST(l_orderkey % 3 AS INTEGER) AS repeat, LIST_SORT(LIST(DISTINCT p_brand)) AS features
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+named AS (SELECT *, UNNEST(features) AS feature FROM slog)"""
+
+STABILITY_SQL = """stability AS (
+  SELECT l_linestatus AS model, p_brand AS feature,
+         CAST(COUNT(*) FILTER (l_returnflag = 'R') AS DOUBLE) / COUNT(*) AS selection_fraction
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+rfe AS (
+  SELECT 'O' AS model, p_brand AS feature,
+         ROW_NUMBER() OVER (ORDER BY SUM(l_quantity), p_brand) - 1 AS elimination_order
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' GROUP BY p_brand)"""
+
+BRAND_VALUES_SQL = """features AS (
+  SELECT l_suppkey AS id, p_brand AS feature, SUM(l_quantity) AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+
+METRICS_SQL = """metrics AS (
+  SELECT ['0.5_1', '0.5_5', '1.0_1', '1.0_5'][CAST(l_linenumber % 4 + 1 AS INTEGER)] AS config,
+         l_linestatus AS model, CAST(l_suppkey % 5 AS INTEGER) AS split_seed,
+         AVG(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS auroc,
+         AVG(l_discount) AS brier, AVG(l_tax) * 25 AS calib_slope
+  FROM lineitem GROUP BY ALL)"""
+
 PREDICTIONS_SQL = """pred AS (
   SELECT l_linestatus AS model, CAST(l_suppkey % 5 AS INTEGER) AS split_seed,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true,

@@ -35,7 +35,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     def text(v):
         if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
             return "[" + ",".join(text(x) for x in v) + "]"
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "∅"
         if isinstance(v, bool) or type(v).__name__ == "bool_" or type(v).__name__ == "bool":
             return str(bool(v))
