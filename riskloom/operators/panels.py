@@ -250,7 +250,10 @@ def per_model_ranking(
         "rfe_importance",
         "rfe_rank",
         "composite_score",
-        _rank([F.col("composite_score").desc(), F.col("feature")], ["model"]).alias("final_rank"),
+        # Scores equal but for rounding are a tie, broken by name.
+        _rank([F.round("composite_score", 12).desc(), F.col("feature")], ["model"]).alias(
+            "final_rank"
+        ),
     )
 
 

@@ -30,7 +30,7 @@ from riskloom.operators.calibrate import calibration_intercept_slope, quantile_b
 from riskloom.operators.discrimination import brier_score
 from riskloom.session import checkpointed
 
-CELLS = 256
+CELLS = 128
 REPS_PER_BLOCK = 25
 Z_975 = 1.959963984540054
 # Configuration pairs of the factorial comparison.
@@ -74,18 +74,21 @@ def _spread(keys: list[str], groups: list[str]):
         columns = [*groups, "rep", *keys, "pos", "neg"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        left = left.sort_values(keys, kind="mergesort").reset_index(drop=True)
-        pos, neg = left["pos"].to_numpy(), left["neg"].to_numpy()
-        parts = []
-        for row in right.sort_values("rep").itertuples(index=False):
-            rng = _generator(row.seed)
-            a = rng.multinomial(row.d_pos, pos / pos.sum()) if row.d_pos else np.zeros_like(pos)
-            b = rng.multinomial(row.d_neg, neg / neg.sum()) if row.d_neg else np.zeros_like(neg)
-            hit = (a + b) > 0
-            part = left.loc[hit, [*groups, *keys]].copy()
-            part["rep"], part["pos"], part["neg"] = row.rep, a[hit], b[hit]
-            parts.append(part)
-        return pd.concat(parts, ignore_index=True)[columns]
+        left = left.sort_values(keys, kind="mergesort")
+        right = right.sort_values("rep")
+        rng = _generator(right["seed"].iloc[0])
+        drawn = []
+        for name in ("pos", "neg"):
+            n, k = right[f"d_{name}"].to_numpy(), left[name].to_numpy()
+            if k.sum():
+                drawn.append(rng.multinomial(n, k / k.sum()))
+            else:
+                drawn.append(np.zeros((len(n), len(k)), dtype=np.int64))
+        at_rep, at_key = np.nonzero(drawn[0] + drawn[1])
+        out = {g: left[g].to_numpy()[at_key] for g in (*groups, *keys)}
+        out["rep"] = right["rep"].to_numpy()[at_rep]
+        out["pos"], out["neg"] = drawn[0][at_rep, at_key], drawn[1][at_rep, at_key]
+        return pd.DataFrame(out)[columns]
 
     return run
 
@@ -138,7 +141,8 @@ def resampled_counts(
         F.col("n").alias("d_neg"),
     )
     per_rep = per_rep.where((F.col("d_pos") > 0) | (F.col("d_neg") > 0)).withColumn(
-        "seed", F.xxhash64(F.lit(seed + 1), *groups, "rep", "__c")
+        "seed",
+        F.xxhash64(F.lit(seed + 1), *groups, F.floor(F.col("rep") / REPS_PER_BLOCK), F.col("__c")),
     )
     block = F.floor(F.col("rep") / REPS_PER_BLOCK).cast("int")
     blocks = list(range((n_boot + REPS_PER_BLOCK - 1) // REPS_PER_BLOCK))
