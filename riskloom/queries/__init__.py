@@ -8,9 +8,11 @@ from riskloom.queries.registry import REGISTRY, Query
 from riskloom.queries import (  # noqa: F401  (registration by import)
     cohorts,
     metrics,
+    modelling,
     operating_points,
     screening,
     splits_summary,
+    storage,
 )
 
 __all__ = ["REGISTRY", "Query"]
