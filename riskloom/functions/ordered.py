@@ -91,10 +91,9 @@ def running_totals(
     groups, order = list(group_cols), list(order_cols)
     keys = [*groups, CELL]
     aggs = [F.sum(c).alias(f"__in_{c}") for c in sum_cols]
-    if carry_cols:
-        aggs.append(
-            F.max_by(F.struct(*carry_cols), F.struct(*order)).alias("__last")
-        )
+    # Plain columns keep the aggregation hash-based; a struct would need a sort.
+    top = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    aggs += [F.max_by(c, top).alias(f"__last_{c}") for c in carry_cols]
     per_cell = df.groupBy(*keys).agg(*aggs)
     by_cell = W.partitionBy(*groups).orderBy(CELL)
     below = by_cell.rowsBetween(W.unboundedPreceding, -1)
@@ -103,8 +102,7 @@ def running_totals(
     for c in sum_cols:
         out.append(F.coalesce(F.sum(f"__in_{c}").over(below), F.lit(0)).alias(f"__below_{c}"))
         out.append(F.sum(f"__in_{c}").over(whole).alias(f"total_{c}"))
-    if carry_cols:
-        out.append(F.lag("__last").over(by_cell).alias("__last"))
+    out += [F.lag(f"__last_{c}").over(by_cell).alias(f"__last_{c}") for c in carry_cols]
     offsets = per_cell.select(*out)
 
     in_cell = W.partitionBy(*keys).orderBy(*order)
@@ -112,12 +110,10 @@ def running_totals(
     new: dict[str, Column] = {
         f"cum_{c}": F.sum(c).over(upto) + F.col(f"__below_{c}") for c in sum_cols
     }
-    if carry_cols:
-        new["__last"] = F.coalesce(F.lag(F.struct(*carry_cols)).over(in_cell), F.col("__last"))
-    joined = join_on_keys(df, offsets, keys).withColumns(new)
     for c in carry_cols:
-        joined = joined.withColumn(f"prev_{c}", F.col(f"__last.{c}"))
-    return joined.drop("__last", CELL, *[f"__below_{c}" for c in sum_cols])
+        new[f"prev_{c}"] = F.coalesce(F.lag(c).over(in_cell), F.col(f"__last_{c}"))
+    helpers = [f"__below_{c}" for c in sum_cols] + [f"__last_{c}" for c in carry_cols]
+    return join_on_keys(df, offsets, keys).withColumns(new).drop(CELL, *helpers)
 
 
 def exact_rank(

@@ -171,7 +171,10 @@ def classifier(model_name: str, params: Mapping | None = None, n_rows: int = 1,
         return LinearSVC(
             **shared,
             regParam=1.0 / (p.get("C", 1.0) * max(1, n_rows)),
-            maxIter=p.get("max_iter", 100),
+            # The hinge loss has no smooth optimum: every further iteration costs
+            # many passes over the rows and hardly moves the margin.
+            maxIter=p.get("max_iter", 20),
+            tol=p.get("tol", 1e-3),
             standardization=False,
             rawPredictionCol="svm_raw",
             predictionCol="svm_label",

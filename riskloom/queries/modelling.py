@@ -235,7 +235,6 @@ def _study(t: Tables):
         folds=2,
         repeats=1,
         params={"LR_EN": {"C": 0.1}, "LR_L1": {"C": 0.1}},
-        strategy=M.FeatureStrategy(k_best=16),
         stability_threshold=0.5,
         corr_threshold=0.9,
         panel_size=5,
