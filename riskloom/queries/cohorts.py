@@ -272,7 +272,8 @@ u AS (SELECT stratum, UNNEST(['TRAIN', 'VAL', 'TEST']) AS split,
 SELECT seed AS split_seed, stratum, split, n
 FROM u CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS seed) WHERE n > 0""")
 def _stratified(t: Tables):
-    rows, _ = S.working_strata(t.cohort(), 2, "target")
+    fine = S.with_strata(t.cohort(), "outcome+sex+age3", "target")
+    rows = S.collapse_rare(fine, 2, "target")
     out = S.stratified_split(rows, [0, 1, 2], 0.25, 0.25)
     return out.groupBy("split_seed", "stratum", "split").agg(F.count_distinct("id").alias("n"))
 
