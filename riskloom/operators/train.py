@@ -257,6 +257,25 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("id", "y
     return scored.withColumnRenamed("y", "y_true") if "y" in keep else scored
 
 
+def prevalence(df: DataFrame, y_col: str = "y") -> float:
+    return float(df.agg(F.avg(F.col(y_col).cast("double"))).first()[0] or 0.0)
+
+
+@dataclass(frozen=True)
+class CalibratedModel:
+    """Fitted pipeline followed by an out-of-fold calibrator."""
+
+    pipeline: PipelineModel
+    calibrator: OOFCalibrator | None = None
+
+    def predict(self, df: DataFrame, keep: Sequence[str] = ("id", "y")) -> DataFrame:
+        """(keep…, y_prob, label) with the label at 0.5."""
+        scored = predict(self.pipeline, df, keep)
+        if self.calibrator is not None:
+            scored = self.calibrator.transform(scored)
+        return scored.withColumn("label", (F.col("y_prob") >= 0.5).cast("int"))
+
+
 class RocEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
     """Exact metric of a probability column for tuning, larger is better."""
 

@@ -311,9 +311,10 @@ def _split_summary(t: Tables):
 
 
 @query("split_overlap", """SELECT CAST(NULL AS INTEGER) AS split_seed, CAST(NULL AS BIGINT) AS id,
-  CAST(NULL AS VARCHAR[]) AS splits FROM customer WHERE FALSE""")
+  CAST(NULL AS VARCHAR) AS splits FROM customer WHERE FALSE""")
 def _overlap(t: Tables):
-    return S.split_overlap(_split_table(t))
+    out = S.split_overlap(_split_table(t))
+    return out.withColumn("splits", F.array_join("splits", ","))
 
 
 @query("prevalent_leakage", """SELECT CAST(NULL AS INTEGER) AS split_seed, CAST(NULL AS BIGINT) AS id,

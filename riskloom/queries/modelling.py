@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import stacking as K, train as M
+from riskloom.operators import calibrate, stacking as K, train as M
 from riskloom.operators.splits import fold_column
 from riskloom.plans import evaluate as E
 from riskloom.queries.metrics import AP, AUROC, SENS95, YOUDEN
@@ -100,6 +100,33 @@ def _objectives(t: Tables):
     return M.two_objective_scores(_train(t), "LR_EN", choices, 3)
 
 
+@query("tuning_scores_by_scorer")
+def _scorers(t: Tables):
+    rows = _train(t)
+    scored = checkpointed(M.fit_model(rows, "LR_EN", {"C": 0.1}).transform(rows))
+    names = ("roc_auc", "average_precision", "tpr_at_fpr", "neg_brier_score")
+    values = [(n, float(M.scorer(n).evaluate(scored))) for n in names]
+    return t.spark.createDataFrame(values, "scoring string, value double")
+
+
+@query("score_with_adjustment")
+def _adjusted(t: Tables):
+    rows = _train(t)
+    model = M.fit_model(rows, "LR_EN", {"C": 0.1})
+    scored = calibrate.score_with_adjustment(model, rows, M.prevalence(rows), 0.05)
+    return scored.select("id", "y", "y_prob", "y_prob_adjusted")
+
+
+@query("calibrated_model_scores")
+def _calibrated(t: Tables):
+    rows = _train(t)
+    oof = M.cross_fitted(rows, "LR_EN", {"C": 0.1}, None, 3)
+    fitted = M.CalibratedModel(
+        M.fit_model(rows, "LR_EN", {"C": 0.1}), calibrate.OOFCalibrator("sigmoid").fit(oof)
+    )
+    return fitted.predict(rows)
+
+
 @query("nested_cross_validation")
 def _nested(t: Tables):
     out = M.nested_cv(
@@ -161,10 +188,11 @@ def _meta(t: Tables):
 
 
 @query("stacking_id_mismatches", f"""WITH {EVENTS_SQL}
-SELECT id, CASE WHEN id % 10 = 0 THEN ['a'] ELSE ['a', 'b'] END AS models FROM pred WHERE id % 10 = 0""")
+SELECT id, 'a' AS models FROM pred WHERE id % 10 = 0""")
 def _mismatches(t: Tables):
     rows = _stack_rows(t).where((F.col("model") == "a") | (F.col("id") % 10 != 0))
-    return K.id_mismatches(rows, ["a", "b"])
+    out = K.id_mismatches(rows, ["a", "b"])
+    return out.withColumn("models", F.array_join("models", ","))
 
 
 @query("stacked_predictions")
