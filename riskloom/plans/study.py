@@ -205,10 +205,10 @@ def extra_tables(frame, names, nested, scored, catalog, config, model, seed) ->
     catalog.write("calibration", calibration_curve(scored, [*keys, "split"]), keys)
     curve = dca.decision_curve(scored, [*keys, "split"])
     catalog.write("decision_curve", curve, keys)
-    intervals = test_set_intervals(
-        scored.where(F.col("split") == S.TEST), keys, config.bootstrap_below, config.n_boot, seed
-    )
-    catalog.write("test_intervals", intervals, keys)
+    test = scored.where(F.col("split") == S.TEST)
+    if test.limit(config.bootstrap_below).count() < config.bootstrap_below:
+        intervals = test_set_intervals(test, keys, config.bootstrap_below, config.n_boot, seed)
+        catalog.write("test_intervals", intervals, keys)
 
 
 def train_ensemble(catalog: Catalog, config: StudyConfig, seed: int) -> DataFrame:

@@ -95,7 +95,7 @@ def test_stacker(spark, rows):
 
 @slow
 def test_small_study(spark, tmp_path):
-    from riskloom.plans.study import StudyConfig, evaluate_holdout, run_study
+    from riskloom.plans.study import StudyConfig, evaluate_holdout, optimize_panel, run_study
     from riskloom.sources.catalog import Catalog
 
     rng = np.random.default_rng(11)
@@ -108,7 +108,7 @@ def test_small_study(spark, tmp_path):
     )
     config = StudyConfig(
         models=("LR_EN", "LR_L1"), folds=2, repeats=1, holdout_size=0.2, n_boot=20, objective="youden",
-        stability_threshold=0.5, corr_threshold=0.9, panel_size=3,
+        stability_threshold=0.5, corr_threshold=0.9, panel_size=3, min_panel=3,
         params={"LR_EN": {"C": 1.0}, "LR_L1": {"C": 1.0}},
     )
     catalog = Catalog(spark, str(tmp_path / "study"))
@@ -117,6 +117,18 @@ def test_small_study(spark, tmp_path):
     assert set(pooled) == {"LR_EN", "LR_L1", "ENSEMBLE"} and min(pooled.values()) > 0.7
     # Without feature selection all features tie, so the panel follows the names.
     assert [r.feature for r in out["panel"].orderBy("rank").collect()] == ["n0", "n1", "n2"]
+    splits = catalog.load_splits("IncidentOnly").join(cohort.select("id", "target"), "id").withColumn(
+        "y", (F.col("target") == "Incident").cast("int")
+    )
+    for aggregated in (True, False):
+        cut = optimize_panel(cohort, splits, NAMES, catalog, config, "LR_EN", 0, aggregated, cv_folds=1)
+        assert cut.curve.count() == 2
+    assert catalog.elimination_ranking(model="LR_EN").count() == 2
+    assert catalog.models_with_results() == ["LR_EN", "LR_L1"]
+    assert catalog.best_parameters().count() == 0
+    assert catalog.ensemble_predictions(split="TEST").count() > 0
+    assert catalog.ensemble_parameters().count() == 1
+    assert catalog.load_split_metadata("IncidentOnly", 0).count() == 3
     held = evaluate_holdout(cohort, catalog, config, "LR_EN", 0, clinical_points=[0.3])
     assert held["metrics"].first().n_samples == 48
     assert {r.kind for r in held["thresholds"].collect()} == {"primary", "clin_0p3"}
