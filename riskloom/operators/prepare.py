@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.joins import join_on_keys
-from riskloom.functions.prob import safe_div
 
 # Names of the cohort table and its labels.
 ID = "eid"
@@ -406,7 +405,3 @@ def split_rows(
     if absent is not None:
         raise ValueError(f"id {absent[0]!r} of split {split} is not in the cohort")
     return join_on_keys(cohort, chosen, [id_col], "left_semi")
-
-
-def share(part: Column, whole: Column) -> Column:
-    return safe_div(part, whole)

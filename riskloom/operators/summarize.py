@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -423,7 +422,3 @@ def aggregation_metadata(
     return models.crossJoin(first(stability, "selection_fraction", "top_stable")).crossJoin(
         first(reports, "selection_freq_mean", "top_frequent")
     )
-
-
-def half_width(sd: float, n: int) -> float:
-    return 1.96 * sd / math.sqrt(n)

@@ -31,7 +31,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.prob import clip
 from riskloom.operators import curves as C
 from riskloom.operators import screen as S
 from riskloom.operators.calibrate import OOFCalibrator, positive_probability
@@ -985,7 +984,3 @@ def learning_curve(
     return wide.join(table, ["fold", "fraction"]).select(
         "train_size", "fraction", "fold", "train_score", "val_score"
     )
-
-
-def clipped_probability(df: DataFrame, p_col: str = "y_prob") -> DataFrame:
-    return df.withColumn(p_col, clip(F.col(p_col), 0.0, 1.0))

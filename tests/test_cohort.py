@@ -177,3 +177,29 @@ def test_split_catalog_rules(spark, tmp_path):
     catalog.save_holdout(rows, "S")
     assert catalog.load_holdout("S").count() == 2
     assert catalog.load_split_metadata("S") is None
+
+
+def test_result_sinks(spark, tmp_path):
+    from riskloom.operators import dca, thresholds as T
+
+    catalog = Catalog(spark, str(tmp_path / "results"))
+    rows = [("m", i, int(i % 3 == 0), (i % 10) / 10.0 + 0.01) for i in range(60)]
+    pred = spark.createDataFrame(rows, "model string, id bigint, y_true int, y_prob double")
+    catalog.save_thresholds(T.threshold_bundle(pred, ["model"]))
+    assert {r.kind for r in catalog.read("thresholds", model="m").collect()} == {"youden", "spec_target"}
+    catalog.save_decision_curve(dca.decision_curve(pred, ["model"], [0.1, 0.2, 0.3]), ["model"])
+    assert catalog.read("decision_summary").first().n_thresholds == 3
+    metrics = spark.createDataFrame([("m", 0, 0.8)], "model string, split_seed int, auroc double")
+    catalog.append_cv_metrics(metrics)
+    catalog.append_cv_metrics(metrics)
+    assert catalog.read("cv_metrics").count() == 2
+    folds = [
+        {"fold": k, "features": ["a", "b"][: k + 1], "val_auroc": 0.7, "cv_scores": {2: 0.7, 1: 0.6}}
+        for k in range(2)
+    ]
+    catalog.save_fold_eliminations(folds, "m")
+    assert catalog.read("rfecv_summary").first().mean_optimal_size == 1.5
+    consensus = catalog.read("rfecv_consensus").where("in_consensus").collect()
+    assert [r.feature for r in consensus] == ["a"]
+    catalog.write("stability", spark.createDataFrame([("m", "a", 1.0)], "model string, feature string, selection_fraction double"), ["model"])
+    assert catalog.models_with_results(only=["m"]) == ["m"] and catalog.stability(0.5).count() == 1
