@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm.common import table
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import pack_documents
+from riskloom.llm.quality import fit_resampler, resample
 from riskloom.llm.token_counts import count_tokens
 from riskloom.llm.url_filter import filter_urls
 
@@ -127,3 +128,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resample(docs, fit_resampler(docs, table(spark, sf_dir, "labels")))
