@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
+from riskloom.llm.license_scan import scan_licenses
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.quality import fit_resampler, resample
@@ -134,3 +135,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return resample(docs, fit_resampler(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))

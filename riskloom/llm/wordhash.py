@@ -27,8 +27,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 _RANDOM = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _FOLDED = _RANDOM.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = _RANDOM[ord("a") : ord("z") + 1]
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words: white space; or all ASCII but letters and digits.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+SIGNS = np.ones(256, bool)
+SIGNS[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = False
+SIGNS[0x80:] = False
 # Classes of a word's shape: capitals, small letters and digits; other signs are their own.
 _SHAPE = np.arange(256)
 _SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -64,8 +68,8 @@ def _polynomial(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return mix((sums[last] - sums[first]) * down[first])
 
 
-def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    blank = np.concatenate([[True], _BLANK[data], [True]])
+def _words(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    blank = np.concatenate([[True], between[data], [True]])
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     return edge[::2], edge[1::2]
 
@@ -85,11 +89,12 @@ def segments(text: bytes) -> Iterator[bytes]:
 
 
 def word_hashes(
-    texts: list[bytes], fold_case: bool, shapes: bool = False
+    texts: list[bytes], fold_case: bool, shapes: bool = False, between: np.ndarray = BLANK
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Hashes of all words in order, where each text's words end, and their shapes' hashes.
 
-    ``fold_case`` takes A-Z as a-z. A shape is the sequence of byte classes without
+    ``fold_case`` takes A-Z as a-z; ``between`` says which bytes part words (the blank
+    among them). A shape is the sequence of byte classes without
     repeats, so that ``Word!!`` and ``Ab!`` are alike.
     """
     table = _FOLDED if fold_case else _RANDOM
@@ -101,7 +106,7 @@ def word_hashes(
         if not held:
             return
         data = np.frombuffer(b" ".join(p for _, p in held), np.uint8)
-        first, last = _words(data)
+        first, last = _words(data, between)
         parts.append(_polynomial(table[data], first, last))
         # A segment's words lie before its end in the joined bytes.
         ends = np.cumsum([len(p) + 1 for _, p in held])
