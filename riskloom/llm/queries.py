@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
+from riskloom.llm.fingerprints import fingerprint_documents
 from riskloom.llm.license_scan import scan_licenses
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.packing import pack_documents
@@ -140,3 +141,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
