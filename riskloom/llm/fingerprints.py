@@ -27,6 +27,8 @@ LONGS = BINS // PER_LONG
 PROBES = 8
 #: Rows of one range of ids, which a single task orders.
 RANGE_ROWS = 2048
+#: At most so many ranges; beyond 134 million rows each range grows instead.
+MAX_RANGES = 1 << 16
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -165,14 +167,18 @@ def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
     row comes the first. Null ids come last, repeated ids by text.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-(high - low + 1) * RANGE_ROWS // n)) if low is not None else 1
+    if low is not None:
+        width = -(-(high - low + 1) // max(1, min(MAX_RANGES, n // RANGE_ROWS)))
+    else:
+        low, high, width = 0, -1, 1
     # Ranges are numbered so that a larger id has a smaller number; null ids come last.
-    last = (high - low) // width + 1 if low is not None else 0
+    last = (high - low) // width + 1
     number = F.coalesce(
         F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("long"), F.lit(last)
     )
     ranged = docs.withColumn("range", number)
-    # One row for each range passes through this window.
+    # One row for each range passes through this window: MAX_RANGES and one at most,
+    # so the table can be sent to every task and texts are shuffled once.
     heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head")).select(
         "head",
         F.coalesce(
@@ -181,7 +187,7 @@ def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
         ).alias("into"),
     )
     borrowed = (
-        ranged.join(heads, F.col("doc_id").eqNullSafe(F.col("head")))
+        ranged.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")))
         .withColumn("range", F.col("into"))
         .drop("head", "into")
     )
