@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.ann import nearest
 from riskloom.llm.common import table
 from riskloom.llm.fingerprints import fingerprint_documents
 from riskloom.llm.license_scan import scan_licenses
@@ -146,3 +147,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
