@@ -12,6 +12,7 @@ from riskloom.llm.common import table
 from riskloom.llm.fingerprints import fingerprint_documents
 from riskloom.llm.license_scan import scan_licenses
 from riskloom.llm.mixing import mix_sources
+from riskloom.llm.ngram_lm import score_held_out
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.quality import fit_resampler, resample
 from riskloom.llm.token_counts import count_tokens
@@ -153,3 +154,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query()
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "doc_id held_out n_tokens n_known train_tokens base_score score perplexity"
+    return score_held_out(table(spark, sf_dir, "documents")).select(*columns.split())
