@@ -12,6 +12,7 @@ from riskloom.llm.common import table
 from riskloom.llm.fingerprints import fingerprint_documents
 from riskloom.llm.license_scan import scan_licenses
 from riskloom.llm.mixing import mix_sources
+from riskloom.llm.ngram_join import similar_groups
 from riskloom.llm.ngram_lm import score_held_out
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.quality import fit_resampler, resample
@@ -160,3 +161,32 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id held_out n_tokens n_known train_tokens base_score score perplexity"
     return score_held_out(table(spark, sf_dir, "documents")).select(*columns.split())
+
+
+@query(
+    r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+runs AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words),
+sets AS (SELECT DISTINCT doc_id, md5(s) AS s FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents
+  UNION SELECT y, root FROM reach JOIN links ON x = reach.doc_id),
+groups AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM groups LEFT JOIN sizes USING (doc_id)
+"""
+)
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = similar_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
