@@ -129,6 +129,32 @@ def hash_thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def sized_documents(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("size"),
+        document_hash(F.col("doc_id")).alias("hash"),
+    )
+
+
+def mix_plan(
+    hashed: DataFrame, weights: Sequence[float], cap: float, share: float
+) -> DataFrame:
+    """One row per source: source, source_size, target, copies, threshold."""
+    targets = checkpointed(source_targets(hashed, weights, cap, share))
+    cuts = hash_thresholds(hashed, targets)
+    same = F.col("t.source").eqNullSafe(F.col("c.source"))
+    return targets.alias("t").join(cuts.alias("c"), same, "left").select(
+        "t.source", "source_size", "target", "copies", "threshold"
+    )
+
+
+def copies_taken(hash_: Column) -> Column:
+    """Copies of a document, beside its source's row of the plan."""
+    return (F.col("copies") + F.when(hash_ < F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -146,30 +172,37 @@ def mix_sources(
     table gives an empty result; other columns are ignored. The choice depends on
     ids alone, so reruns and lost executors give the same rows.
     """
-    hashed = checkpointed(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            document_hash(F.col("doc_id")).alias("hash"),
-        )
-    )
-    targets = checkpointed(source_targets(hashed, weights, cap, share))
-    cuts = hash_thresholds(hashed, targets)
-    plan = targets.alias("t").join(
-        cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left"
-    ).select("t.*", "threshold")
-    copies = F.col("copies") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    hashed = checkpointed(sized_documents(docs))
+    plan = mix_plan(hashed, weights, cap, share)
+    same = F.col("h.source").eqNullSafe(F.col("p.source"))
     return (
         hashed.alias("h")
-        .join(plan.alias("p"), F.col("h.source").eqNullSafe(F.col("p.source")))
+        .join(plan.alias("p"), same)
+        .withColumn("taken_copies", copies_taken(F.col("hash")))
         .select(
             "h.doc_id",
             "h.source",
             "h.size",
             "p.source_size",
             "p.target",
-            copies.cast("int").alias("copies"),
-            (copies * F.col("h.size")).cast("long").alias("taken"),
+            F.col("taken_copies").alias("copies"),
+            (F.col("taken_copies") * F.col("h.size")).cast("long").alias("taken"),
         )
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    cap: float = 3,
+    share: float = 1.0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it, with all columns.
+
+    The plan has one row per source and meets the texts where they lie.
+    """
+    plan = mix_plan(checkpointed(sized_documents(docs)), weights, cap, share)
+    same = F.col("d.source").eqNullSafe(F.col("p.source"))
+    taken = copies_taken(document_hash(F.col("d.doc_id")))
+    again = F.when(taken > 0, F.sequence(F.lit(1), taken)).otherwise(F.array().cast("array<int>"))
+    return docs.alias("d").join(plan.alias("p"), same).select("d.*", F.explode(again).alias("__copy")).drop("__copy")

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import bounded_batches, stored
@@ -60,11 +60,16 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64 bits of id and text: rows equal in both are one document."""
+    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+
+
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, text_hash, n, digest) and of the frequency sketch (part, counts)."""
+    """Rows of documents (doc_id, row_key, n, digest) and of the frequency sketch (part, counts)."""
     bounded_batches(docs.sparkSession, 512)
     kind = docs.schema["doc_id"].dataType
-    names = ["doc_id", "text_hash", "n", "digest", "part", "counts"]
+    names = ["doc_id", "row_key", "n", "digest", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -101,9 +106,9 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
             )
 
     text = docs["text"].cast("string")
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(
+    return docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(
         run,
-        f"doc_id {kind.simpleString()}, text_hash long, n long, digest long, "
+        f"doc_id {kind.simpleString()}, row_key long, n long, digest long, "
         "part int, counts binary",
     )
 
@@ -444,8 +449,8 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """Groups of documents whose shingle sets are linked by Jaccard similarity.
 
     Returns one row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id (smallest doc_id of the group), text_hash, digest (of the set),
-    stays (of each group the row with the smallest doc_id, then text_hash; rows equal
+    component_id (smallest doc_id of the group), row_key, digest (of the set),
+    stays (of each group the row with the smallest doc_id, then row_key; rows equal
     in both all say so). Words are separated by white space, A-Z count as a-z; a set
     is the distinct runs of ``width`` words, or all words of a shorter text as one.
     Sets link when 100 × intersection >= ``percent`` × union. A null text or one
@@ -457,7 +462,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(document_sets(docs, width))
-    documents = rows.where("part IS NULL").select("doc_id", "text_hash", "n", "digest")
+    documents = rows.where("part IS NULL").select("doc_id", "row_key", "n", "digest")
 
     classes = frequency_classes(rows)
     first = first_tokens(docs, classes, width, percent, buckets)
@@ -473,7 +478,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     grouped = documents.join(labels, "digest", "left").withColumn(
         "label", F.coalesce("label", "digest")
     )
-    row = F.struct("doc_id", "text_hash")
+    row = F.struct("doc_id", "row_key")
     groups = (
         grouped.where("label IS NOT NULL")
         .groupBy("label")
@@ -486,7 +491,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "text_hash",
+        "row_key",
         "digest",
         (F.col("label").isNull() | row.eqNullSafe(F.col("kept"))).alias("stays"),
     )

@@ -112,6 +112,16 @@ def bucket_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     )
 
 
+def text_scores(texts: list[bytes], log_ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and mean log ratio of each text's n-grams, alike in any company of texts."""
+    buckets, sizes = features(texts)
+    total = np.zeros(len(sizes))
+    some = sizes > 0
+    if some.any():
+        total[some] = np.add.reduceat(log_ratio[buckets], (np.cumsum(sizes) - sizes)[some])
+    return sizes, total / np.maximum(sizes, 1)
+
+
 def mean_log_ratio(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
     """(doc_id, n_grams, score): the mean log ratio of a text's n-grams; 0 without any."""
     bounded_batches(docs.sparkSession, 512)
@@ -119,12 +129,9 @@ def mean_log_ratio(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, sizes = features(_texts(batch.column(1)))
-            sums = np.concatenate([[0.0], np.cumsum(shared.value[buckets])])
-            ends = np.cumsum(sizes)
-            total = sums[ends] - sums[ends - sizes]
+            sizes, score = text_scores(_texts(batch.column(1)), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(total / np.maximum(sizes, 1))],
+                [batch.column(0), pa.array(sizes), pa.array(score)],
                 ["doc_id", "n_grams", "score"],
             )
 
@@ -214,6 +221,22 @@ def fit_resampler(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     return Resampler(log_ratio, best_cut(scores.select("score", "good").toPandas()))
 
 
+def draw(
+    docs: DataFrame, model: Resampler, k: int | None = None
+) -> tuple[DataFrame, float | None]:
+    """Scores of all documents (doc_id, n_grams, score, key), and the least key drawn."""
+    scored = checkpointed(
+        mean_log_ratio(docs, model.log_ratio).withColumn("key", log_weight(F.col("score"), model))
+    )
+    if k is None:
+        k = scored.where(F.col("score") >= model.cut).count()
+    return scored, kth_largest(scored.select("key"), k)
+
+
+def log_weight(score: Column, model: Resampler) -> Column:
+    return score * model.sharpness + gumbel(F.col("doc_id"), model.seed)
+
+
 def resample(docs: DataFrame, model: Resampler, k: int | None = None) -> DataFrame:
     """Draw documents by their weights: doc_id, n_grams, score, key, kept.
 
@@ -225,13 +248,26 @@ def resample(docs: DataFrame, model: Resampler, k: int | None = None) -> DataFra
     noise; documents with equal texts share their score. Other columns are ignored;
     an empty table gives an empty result.
     """
-    scored = checkpointed(
-        mean_log_ratio(docs, model.log_ratio).withColumn(
-            "key", F.col("score") * model.sharpness + gumbel(F.col("doc_id"), model.seed)
-        )
-    )
-    if k is None:
-        k = scored.where(F.col("score") >= model.cut).count()
-    least = kth_largest(scored.select("key"), k)
-    kept = F.lit(False) if least is None else F.col("key") >= least
-    return scored.withColumn("kept", kept)
+    scored, least = draw(docs, model, k)
+    return scored.withColumn("kept", _drawn(F.col("key"), least))
+
+
+def drawn_documents(docs: DataFrame, model: Resampler, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with all their columns.
+
+    Texts are scored again where they lie instead of being shuffled to their keys.
+    """
+    _, least = draw(docs, model, k)
+    shared = docs.sparkSession.sparkContext.broadcast(model.log_ratio)  # BUCKETS numbers
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        texts = [b"" if t is None else t.encode() for t in text]
+        return pd.Series(text_scores(texts, shared.value)[1])
+
+    key = log_weight(score(docs["text"].cast("string")), model)
+    return docs.where(_drawn(key, least))
+
+
+def _drawn(key: Column, least: float | None) -> Column:
+    return F.lit(False) if least is None else key >= least
