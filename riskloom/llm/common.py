@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,18 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start in sorted arrays."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
+
+
+def run_spans(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal keys in sorted arrays."""
+    starts = run_starts(*keys).tolist()
+    return list(zip(starts, [*starts[1:], len(keys[0])], strict=False))

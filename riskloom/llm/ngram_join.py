@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_batches, stored
+from riskloom.llm.common import bounded_batches, run_spans, run_starts, stored
 from riskloom.llm.components import connected_components
 from riskloom.llm.signature_tree import SignatureTree, bitmaps, linked_pairs
 from riskloom.llm.wordhash import mix, shingle_hashes, word_hashes
@@ -165,9 +165,8 @@ def first_tokens(docs: DataFrame, classes: np.ndarray, width: int, percent: int,
             bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((row, bucket))
             token, row, bucket = token[by], row[by], bucket[by]
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             name_of, size_of = np.array(names, np.int64), np.array(sizes, np.uint32)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+            for a, b in run_spans(bucket):
                 mine, k = np.unique(row[a:b], return_counts=True)
                 arrays = (name_of[mine], size_of[mine], k.astype(np.uint32), token[a:b])
                 yield pa.RecordBatch.from_arrays(
@@ -197,10 +196,9 @@ def shared_tokens(first: DataFrame, buckets: int) -> DataFrame:
         token = _joined(group["token"], np.uint64)
         by = np.lexsort((name, token))
         name, n, token = name[by], n[by], token[by]
-        new_token = np.diff(token, prepend=token[:1] + np.uint64(1)) != 0
-        fresh = new_token | (np.diff(name, prepend=name[:1] + 1) != 0)
-        name, n, token, new_token = name[fresh], n[fresh], token[fresh], new_token[fresh]
-        starts = np.flatnonzero(new_token)
+        once = run_starts(token, name)
+        name, n, token = name[once], n[once], token[once]
+        starts = run_starts(token)
         length = np.diff(np.append(starts, len(token)))
         sets = np.repeat(length, length)
         keep = sets > 1
@@ -208,11 +206,9 @@ def shared_tokens(first: DataFrame, buckets: int) -> DataFrame:
         to = (mix(name.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         to = to[by]
-        starts = np.flatnonzero(np.diff(to, prepend=-1))
-        ends = [*starts[1:].tolist(), len(to)]
         rows = [
             (int(to[a]), *(x[by[a:b]].tobytes() for x in (name, n, token, sets)))
-            for a, b in zip(starts.tolist(), ends, strict=True)
+            for a, b in run_spans(to)
         ]
         return pd.DataFrame(rows, columns=["bucket", "digest", "n", "token", "sets"])
 
@@ -229,9 +225,8 @@ def candidate_sets(shared: DataFrame) -> DataFrame:
         token, sets = _joined(group["token"], np.uint64), _joined(group["sets"], np.uint32)
         by = np.lexsort((token, name))
         name, n, token, sets = name[by], n[by], token[by], sets[by]
-        starts = np.flatnonzero(np.diff(name, prepend=name[:1] + 1))
         rows = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(name)], strict=True):
+        for a, b in run_spans(name):
             main = token[a + int(np.argmax(sets[a:b]))]
             rows.append((int(name[a]), int(n[a]), int(main.astype(np.int64)), token[a:b].tobytes()))
         return pd.DataFrame(rows, columns=["digest", "n", "main", "tokens"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_batches
+from riskloom.llm.common import bounded_batches, run_spans, run_starts
 from riskloom.llm.wordhash import mix, word_hashes
 from riskloom.session import ensure_checkpoint_dir
 
@@ -67,15 +67,6 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
-    """Where equal keys start."""
-    change = np.zeros(len(sorted_keys[0]), bool)
-    change[:1] = True
-    for k in sorted_keys:
-        change[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(change)
-
-
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else values[:0]
 
@@ -92,12 +83,12 @@ def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
         p = pair_shard(u, w, shards)
         order = np.lexsort((w, u, p))
         u, w, p = u[order], w[order], p[order]
-        pairs = _runs(p, u, w)
+        pairs = run_starts(p, u, w)
         c = np.diff(np.append(pairs, len(u))).astype(np.uint32)
         u, w, p = u[pairs], w[pairs], p[pairs]
-        groups = _runs(p, u)
+        groups = run_starts(p, u)
         n = np.diff(np.append(groups, len(u))).astype(np.uint32)
-        for start, end in zip(*_spans(p), strict=True):
+        for start, end in run_spans(p):
             a, b = np.searchsorted(groups, [start, end])
             arrays = (u[groups[a:b]], n[a:b], w[start:end], c[start:end])
             yield pa.RecordBatch.from_arrays(
@@ -121,11 +112,6 @@ def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def _spans(sorted_keys: np.ndarray) -> tuple[list[int], list[int]]:
-    starts = _runs(sorted_keys)
-    return starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)]
-
-
 def _joined(column: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
@@ -159,7 +145,7 @@ def build_pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
         key = pair_key(u, w)
         order = np.argsort(key, kind="stable")
         key, u, w, c = key[order], u[order], w[order], c[order]
-        starts = _runs(key)
+        starts = run_starts(key)
         key, u, w, c = key[starts], u[starts], w[starts], _sums(c, starts)
         large = np.flatnonzero(c >= 255)
         _save(
@@ -182,11 +168,11 @@ def build_pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
         q = word_shard(word, shards)
         order = np.lexsort((word, q))
         word, q = word[order], q[order]
-        starts = _runs(q, word)
+        starts = run_starts(q, word)
         columns = [_sums(x[order], starts).astype(np.uint32 if i else np.uint64) for i, x in enumerate(columns)]
         word, q = word[starts], q[starts]
         rows = []
-        for a, b in zip(*_spans(q), strict=True):
+        for a, b in run_spans(q):
             rows.append((int(q[a]), word[a:b].tobytes(), *(x[a:b].tobytes() for x in columns), 0, 0, 0, 0))
         rows.append((-1, b"", b"", b"", b"", b"", b"", *_count_of_counts(c)))
         return _frame(rows, _STATISTICS)
@@ -218,7 +204,7 @@ def build_word_shards(statistics: DataFrame, folder: str) -> DataFrame:
         ]
         order = np.argsort(word, kind="stable")
         word = word[order]
-        starts = _runs(word)
+        starts = run_starts(word)
         columns = [_sums(x[order], starts) for x in columns]
         word = word[starts]
         _save(
@@ -270,7 +256,7 @@ def _pair_counts(model: BigramModel, u: np.ndarray, w: np.ndarray) -> np.ndarray
     key, shard = pair_key(u, w), pair_shard(u, w, model.shards)
     out = np.zeros(len(key), np.int64)
     order = np.lexsort((key, shard))
-    for a, b in zip(*_spans(shard[order]), strict=True):
+    for a, b in run_spans(shard[order]):
         mine = order[a:b]
         data = _mapped(f"{model.folder}/pairs-{shard[mine[0]]}")
         n, m = np.frombuffer(data, np.int64, 2)
@@ -292,7 +278,7 @@ def _word_counts(model: BigramModel, w: np.ndarray) -> list[np.ndarray]:
     shard = word_shard(w, model.shards)
     out = [np.zeros(len(w), np.int64) for _ in range(5)]
     order = np.lexsort((w, shard))
-    for a, b in zip(*_spans(shard[order]), strict=True):
+    for a, b in run_spans(shard[order]):
         mine = order[a:b]
         data = _mapped(f"{model.folder}/words-{shard[mine[0]]}")
         (n,) = np.frombuffer(data, np.int64, 1)
