@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +14,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder of the session.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that setting
-    wins. Only where neither it nor the context has one (tests, local runs) is
-    a temporary folder made.
+    wins. Only a local master without one (tests, single machines) gets a
+    temporary folder: elsewhere executors could not read each other's files.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(current)
     return current
@@ -31,3 +36,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a loop variable with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the workers of a session, which may not have it on their path.
+
+    Functions that run in Python workers refer to the package's modules by name.
+    Spark serves the archive to every executor; once per application is enough.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(root.rglob("*.py")):
+            z.write(module, module.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
