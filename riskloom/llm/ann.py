@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskloom.session import checkpointed
+from riskloom.session import checkpointed, ship_package
 
 #: Centroids are fitted on at most so many vectors; every vector is indexed.
 SAMPLE = 65_536
@@ -236,6 +236,7 @@ def nearest(
     nearest of any query: the others are left out of the lists, not out of the result.
     """
     spark = vectors.sparkSession
+    ship_package(spark)
     points = usable(vectors)
     rows, dimension, longest = points.agg(
         F.count("*"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import ensure_checkpoint_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -34,7 +34,9 @@ def bounded_batches(spark: SparkSession, rows: int) -> None:
     """Let Arrow batches hold at most ``rows`` rows, so that long texts stay few per batch.
 
     The setting is read when a plan is made, so it holds for the session's later plans too.
+    Workers also get this package, which their functions refer to.
     """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

@@ -33,6 +33,8 @@ SKETCH_PARTS = 64
 FILTER_BITS = 24
 #: Sets in one node of the forest.
 NODE_SETS = 256
+#: Largest size in a node in percent of the smallest.
+SIZE_BAND = 105
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -56,6 +58,21 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def least_shared(lo_a, hi_a, lo_b, hi_b, percent: int):
+    """First tokens that two similar sets share at least, for sizes within the ranges.
+
+    Sets of sizes x <= y share at least p / (100 + p) (x + y) tokens, and fewer than
+    y needs lie behind the first tokens. Over ranges this is least for the smallest
+    x and the largest y; for two single sizes the rounding is exact.
+    """
+    whole = 100 * (100 + percent)
+    one = -(-percent * (100 * lo_a - percent * hi_b) // whole)
+    two = -(-percent * (100 * lo_b - percent * hi_a) // whole)
+    exact = -(-percent * (lo_a + lo_b) // (100 + percent)) - needed(np.maximum(lo_a, lo_b), percent) + 1
+    single = (lo_a == hi_a) & (lo_b == hi_b)
+    return np.maximum(1, np.where(single, exact, np.minimum(one, two)))
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
@@ -237,7 +254,7 @@ def candidate_sets(shared: DataFrame) -> DataFrame:
 
 
 def forest_nodes(sets: DataFrame) -> DataFrame:
-    """Add ``node``: at most NODE_SETS neighbours by most common shared token and size.
+    """Add ``node``: at most NODE_SETS neighbours by most common shared token and of like size.
 
     Ranges of the order are dealt out, so a token that very many sets share fills
     many nodes in many tasks.
@@ -245,12 +262,12 @@ def forest_nodes(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node = (TaskContext.get().partitionId() << 32) - 1
-        main, held = None, 0
+        main, held, smallest = None, 0, 0
         for batch in batches:
             nodes = []
-            for m in batch["main"].tolist():
-                if m != main or held == NODE_SETS:
-                    node, main, held = node + 1, m, 0
+            for m, n in zip(batch["main"].tolist(), batch["n"].tolist(), strict=True):
+                if m != main or held == NODE_SETS or 100 * n > SIZE_BAND * smallest:
+                    node, main, held, smallest = node + 1, m, 0, n
                 held += 1
                 nodes.append(node)
             yield batch.assign(node=nodes)
@@ -266,9 +283,8 @@ def forest_nodes(sets: DataFrame) -> DataFrame:
 def node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): nodes, a <= b, that may hold similar sets.
 
-    They must share enough first tokens: two sets of sizes x and y share at least
-    percent / (100 + percent) (x + y) tokens, of which those behind the first tokens
-    are fewer than what each set needs.
+    They must share enough first tokens for sizes in their ranges (``least_shared``),
+    and one's sizes must be near enough to the other's.
     """
     spread = nodes.select("node", "n", F.explode(_unpacked("tokens")).alias("token"))
     ranges = nodes.groupBy("node").agg(
@@ -284,14 +300,19 @@ def node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         .groupBy("node_a", "node_b")
         .agg(
             F.count("*").alias("common"),
-            F.first("lo_a").alias("lo_a"),
-            F.first("lo_b").alias("lo_b"),
-            F.greatest(F.first("hi_a"), F.first("hi_b")).alias("hi"),
+            *[F.first(c).alias(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")],
         )
     )
-    least = F.ceil(percent * (F.col("lo_a") + F.col("lo_b")) / (100 + percent)) - (
-        F.ceil(percent * F.col("hi") / 100) - 1
+    whole = 100 * (100 + percent)
+    box = F.least(
+        F.expr(f"ceil({percent} * (100 * lo_a - {percent} * hi_b) / {whole})"),
+        F.expr(f"ceil({percent} * (100 * lo_b - {percent} * hi_a) / {whole})"),
+    )
+    exact = F.expr(
+        f"ceil({percent} * (lo_a + lo_b) / {100 + percent})"
+        f" - ceil({percent} * greatest(lo_a, lo_b) / 100) + 1"
     )
+    least = F.when(F.expr("lo_a = hi_a AND lo_b = hi_b"), exact).otherwise(box)
     return (
         common.where(F.col("common") >= least)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -308,42 +329,41 @@ def _unpacked(name: str):
     )
 
 
-def _trees(group: pd.DataFrame, column: str, a: int, b: int):
-    """Trees of both nodes over one set of bitmaps, with the rows of each."""
-    tokens = [np.frombuffer(t, np.uint64) for t in group[column]]
-    sizes = group["n"].to_numpy(np.int64)
+def _walk(group: pa.Table, column: str, feasible) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a pair of nodes that stay feasible down to the leaves."""
+    tokens = [np.frombuffer(t, np.uint64) for t in group[column].to_pylist()]
+    sizes, node = group["n"].to_numpy(), group["node"].to_numpy()
     bits = bitmaps(tokens)
-    node = group["node"].to_numpy()
     least = np.array([t[0] if len(t) else 0 for t in tokens], np.uint64)
     order = np.lexsort((sizes, least))
-    rows = [order[node[order] == x] for x in ((a, b) if a != b else (a,))]
+    ends = sorted({group["a"][0].as_py(), group["b"][0].as_py()})
+    rows = [order[node[order] == x] for x in ends]
+    if not all(len(r) for r in rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     trees = [SignatureTree.build(bits[r], sizes[r]) for r in rows]
-    return rows, trees
+    i, j = linked_pairs(trees[0], trees[-1], feasible)
+    return rows[0][i], rows[-1][j]
 
 
 def hopeful_sets(units: DataFrame, percent: int) -> DataFrame:
     """(a, b, node, digest): sets with a partner in their pair of nodes, by first tokens."""
 
     def feasible(overlap, lo_a, hi_a, lo_b, hi_b):
-        least = -(-percent * (lo_a + lo_b) // (100 + percent))
-        behind = needed(np.maximum(hi_a, hi_b), percent) - 1
         return (
-            (overlap >= np.maximum(1, least - behind))
+            (overlap >= least_shared(lo_a, hi_a, lo_b, hi_b, percent))
             & (100 * hi_a >= percent * lo_b)
             & (100 * hi_b >= percent * lo_a)
         )
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, b = map(int, key)
-        rows, trees = _trees(group, "tokens", a, b)
-        found = np.zeros(0, np.int64)
-        if all(len(r) for r in rows):
-            i, j = linked_pairs(trees[0], trees[-1], feasible)
-            found = np.unique(np.concatenate([rows[0][i], rows[-1][j]]))
-        out = group.iloc[found][["node", "digest"]]
-        return out.assign(a=a, b=b)[["a", "b", "node", "digest"]]
+    def run(group: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate(_walk(group, "tokens", feasible)))
+        return group.select(["a", "b", "node", "digest"]).take(pa.array(found))
 
-    return units.groupBy("a", "b").applyInPandas(run, "a long, b long, node long, digest long")
+    return (
+        units.select("a", "b", "node", "digest", "n", "tokens")
+        .groupBy("a", "b")
+        .applyInArrow(run, "a long, b long, node long, digest long")
+    )
 
 
 def wanted_filter(digests: DataFrame) -> np.ndarray:
@@ -417,27 +437,29 @@ def similar_sets(units: DataFrame, percent: int) -> DataFrame:
         most = np.minimum(overlap, np.minimum(hi_a, hi_b))
         return (100 + percent) * most >= percent * (lo_a + lo_b)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows, trees = _trees(group, "whole", *map(int, key))
-        links = []
-        if all(len(r) for r in rows):
-            i, j = linked_pairs(trees[0], trees[-1], feasible)
-            name = group["digest"].to_numpy(np.int64)
-            root = list(range(len(group)))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for x, y in zip(rows[0][i].tolist(), rows[-1][j].tolist(), strict=True):
-                p, q = find(x), find(y)
-                if p != q:
-                    root[p] = q
-                    links.append((int(name[x]), int(name[y])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-
-    return units.groupBy("a", "b").applyInPandas(run, "a long, b long")
+    def run(group: pa.Table) -> pa.Table:
+        name = group["digest"].to_numpy()
+        links: list[tuple[int, int]] = []
+        root = list(range(len(name)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(*(p.tolist() for p in _walk(group, "whole", feasible)), strict=True):
+            p, q = find(x), find(y)
+            if p != q:
+                root[p] = q
+                links.append((x, y))
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": name[ends[:, 0]], "b": name[ends[:, 1]]})
+
+    return (
+        units.select("a", "b", "node", "digest", "n", "whole")
+        .groupBy("a", "b")
+        .applyInArrow(run, "a long, b long")
+    )
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
