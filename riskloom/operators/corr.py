@@ -72,7 +72,7 @@ def correlation(
 ) -> DataFrame:
     """Absolute correlation (i, j, r) of every pair i < j of the given features.
 
-    Missing values are median-imputed; an unknown method means Pearson. Values
+    Missing values and absent rows are median-imputed; an unknown method means Pearson. Values
     are centred and scaled per feature, gathered to one array per person, and
     each task adds up outer products block by block, so the shuffle carries
     feature × feature sums and never people. The feature list bounds their size.
@@ -83,7 +83,11 @@ def correlation(
     keys = spark.createDataFrame(
         [(n, k) for n, k in index.items()], "feature string, __k int"
     )
-    rows = melted.select(id_col, "feature", "value").join(F.broadcast(keys), "feature")
+    rows = _complete_grid(
+        melted.select(id_col, "feature", "value").join(F.broadcast(keys), "feature", "left"),
+        names,
+        id_col,
+    ).join(F.broadcast(keys), "feature")
     rows = impute(rows, "median")
     if (method or "").strip().lower() == "spearman":
         rows = average_ranks(rows)
@@ -122,6 +126,25 @@ def correlation(
     )
 
 
+def _complete_grid(rows: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
+    """(id, feature, value) with a row for every person and feature, absent ones NULL.
+
+    ``rows`` has the feature's number in ``__k``, NULL for features not asked for.
+    """
+    held = F.map_from_entries(
+        F.collect_list(F.when(F.col("__k").isNotNull(), F.struct("__k", "value")))
+    )
+    label = F.array(*[F.lit(n) for n in names])
+    slots = F.transform(
+        label, lambda n, k: F.struct(n.alias("feature"), F.try_element_at("__held", k).alias("value"))
+    )
+    return (
+        rows.groupBy(id_col)
+        .agg(held.alias("__held"))
+        .select(id_col, F.inline(slots))
+    )
+
+
 def correlation_of_vectors(
     df: DataFrame, array_col: str, names: Sequence[str], method: str = "pearson"
 ) -> DataFrame:
@@ -268,12 +291,12 @@ def greedy_refill(
     ranked: Sequence[str],
     conflicts: set[tuple[str, str]],
     target_size: int,
-    pool_limit: int = POOL_LIMIT,
+    pool_limit: int | None = None,
 ) -> list[str]:
     """Walk the ranked names and add each that conflicts with none already in.
 
     Sequential by nature, so it runs on the driver, over names and the pairs
-    above the threshold only; ``pool_limit`` is the operator's own parameter.
+    above the threshold only; ``pool_limit`` names of the ranking at most, if given.
     """
     panel = list(kept)[:target_size] if len(kept) >= target_size else list(kept)
     inside = set(panel)
@@ -290,12 +313,12 @@ def greedy_refill(
 
 
 def _conflicts(pairs: DataFrame, names: Sequence[str], threshold: float) -> set[tuple[str, str]]:
-    """Pairs above the threshold among at most ``POOL_LIMIT`` names."""
+    """Pairs above the threshold among the names."""
     pool = pairs.sparkSession.createDataFrame([(n,) for n in names], "n string")
     rows = (
         pairs.where(F.col("r") >= threshold)
-        .join(F.broadcast(pool.withColumnRenamed("n", "feature_i")), "feature_i", "left_semi")
-        .join(F.broadcast(pool.withColumnRenamed("n", "feature_j")), "feature_j", "left_semi")
+        .join(pool.withColumnRenamed("n", "feature_i"), "feature_i", "left_semi")
+        .join(pool.withColumnRenamed("n", "feature_j"), "feature_j", "left_semi")
         .select("feature_i", "feature_j")
         .collect()
     )
@@ -309,7 +332,7 @@ def prune_and_refill(
     target_size: int,
     threshold: float = 0.8,
     strength: DataFrame | None = None,
-    pool_limit: int = POOL_LIMIT,
+    pool_limit: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Prune the first ``target_size`` names, then refill from the ranking.
 
@@ -354,7 +377,7 @@ def multi_size_panels(
     sizes: Sequence[int],
     threshold: float = 0.8,
     strength: DataFrame | None = None,
-    pool_limit: int = POOL_LIMIT,
+    pool_limit: int | None = None,
 ) -> DataFrame:
     """(panel_size, rank, feature) of every size; correlations are computed once."""
     pairs = checkpointed(pairs)

@@ -361,9 +361,9 @@ def coefficient_selection(
 
 
 def importance_selection(
-    drops: DataFrame, min_importance: float = 0.0, top_n: int = 100, group_cols: Sequence[str] = ()
+    drops: DataFrame, min_importance: float = 0.0, top_n: int | None = None, group_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Features by mean score drop over repeats, at least the minimum, top n.
+    """Features by mean score drop over repeats, at least the minimum; the top n if given.
 
     Where none reaches the minimum, all are kept.
     """
@@ -377,7 +377,7 @@ def importance_selection(
     ranked = rows.withColumn(
         "rank", _rank([F.col("importance").desc(), F.col("feature")], groups)
     )
-    return ranked.where(F.col("rank") <= top_n)
+    return ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
 
 
 def union_of_selections(*selections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

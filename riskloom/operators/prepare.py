@@ -115,17 +115,21 @@ def validate_cohort(df: DataFrame, id_col: str = ID, target_col: str = TARGET) -
     missing = [c for c in (id_col, target_col) if c not in df.columns]
     if missing:
         raise ValueError(f"required columns missing: {missing}")
-    counts = {r[0]: r[1] for r in df.groupBy(target_col).count().collect()}
-    counts.pop(None, None)
-    unknown = set(counts) - {CONTROL, INCIDENT, PREVALENT}
-    if unknown:
-        raise ValueError(f"invalid target labels: {sorted(unknown)}")
-    if not counts.get(CONTROL):
+    label = F.col(target_col)
+    known = label.isin(CONTROL, INCIDENT, PREVALENT)
+    found = df.agg(
+        F.min(F.when(~known, label)).alias("unknown"),
+        F.count_if(label == CONTROL).alias("controls"),
+        F.count_if(label.isin(INCIDENT, PREVALENT)).alias("cases"),
+    ).first()
+    if found["unknown"] is not None:
+        raise ValueError(f"invalid target labels, e.g. {found['unknown']!r}")
+    if not found["controls"]:
         raise ValueError("the cohort needs at least one control")
-    if not counts.get(INCIDENT, 0) + counts.get(PREVALENT, 0):
+    if not found["cases"]:
         raise ValueError("the cohort needs at least one case")
     numeric = [c for c in NUMERIC_METADATA if c in df.columns]
-    bad = [c for c in [*numeric, *feature_columns(df.columns)[:10]] if not _is_numeric(df, c)]
+    bad = [c for c in [*numeric, *feature_columns(df.columns)] if not _is_numeric(df, c)]
     if bad:
         raise ValueError(f"columns must be numeric: {bad}")
 
@@ -308,14 +312,26 @@ def class_report(df: DataFrame, group_cols: Sequence[str], y_col: str = "y_true"
 
 
 def melt_array(
-    df: DataFrame, array_col: str, keep: Sequence[str], prefix: str = "f"
+    df: DataFrame,
+    array_col: str,
+    keep: Sequence[str],
+    prefix: str = "f",
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(keep…, feature, value) from one array column; NaN becomes NULL."""
+    """(keep…, feature, value) from one array column; NaN becomes NULL.
+
+    A feature is called by its entry in ``names``, else by the prefix and its
+    position, filled up to four digits (``lpad`` alone would cut longer ones).
+    """
     value = F.col("__v").cast("double")
+    place = F.col("__i").cast("string")
+    if names is None:
+        width = F.greatest(F.lit(4), F.length(place))
+        feature = F.concat(F.lit(prefix), F.lpad(place, width, F.lit("0")))
+    else:
+        feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__i") + 1)
     return df.select(*keep, F.posexplode(array_col).alias("__i", "__v")).select(
-        *keep,
-        F.concat(F.lit(prefix), F.lpad(F.col("__i").cast("string"), 4, "0")).alias("feature"),
-        F.when(~F.isnan(value), value).alias("value"),
+        *keep, feature.alias("feature"), F.when(~F.isnan(value), value).alias("value")
     )
 
 

@@ -290,16 +290,17 @@ def bootstrap_sd(
 def test_set_intervals(
     df: DataFrame,
     group_cols: Sequence[str],
-    max_rows: int,
+    max_rows: int | None = None,
     n_boot: int = 1000,
     seed: int = 0,
     **cols,
 ) -> DataFrame:
-    """AUROC and PR-AUC intervals of the groups with fewer than ``max_rows`` rows."""
+    """AUROC and PR-AUC intervals of all groups, or of those with fewer than ``max_rows`` rows."""
     groups = list(group_cols)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"))
-    small = sizes.where(F.col("n_rows") < max_rows)
-    rows = join_on_keys(df, small, groups)
+    rows = df
+    if max_rows is not None:
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"))
+        rows = join_on_keys(df, sizes.where(F.col("n_rows") < max_rows), groups)
     counts = C.score_counts(rows, groups, **cols)
     sampled = resampled_counts(counts, groups, ["score"], n_boot, seed)
     roc = C.roc_from_counts(sampled, [*groups, "rep"])

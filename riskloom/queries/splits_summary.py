@@ -38,7 +38,7 @@ def _sd(t: Tables):
 
 @query("test_set_intervals")
 def _intervals(t: Tables):
-    return B.test_set_intervals(t.event_predictions(), ["model"], 10_000_000, N_BOOT)
+    return B.test_set_intervals(t.event_predictions(), ["model"], n_boot=N_BOOT)
 
 
 _PAIR_LIST = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in B.CONFIG_PAIRS)

@@ -192,3 +192,31 @@ def test_paired_comparison_needs_matching_seeds(spark):
     assert row.mean_diff == pytest.approx(d.mean())
     assert row.t_stat == pytest.approx(d.mean() / (d.std(ddof=1) / math.sqrt(3)))
     assert row.p_adj == pytest.approx(row.p_value * 4)
+
+
+def test_absent_rows_drop_no_people(spark):
+    from riskloom.operators.corr import correlation
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=40)
+    b = a + rng.normal(size=40)
+    rows = [(i, "a", float(a[i])) for i in range(40)] + [(i, "b", float(b[i])) for i in range(40)]
+    schema = "id long, feature string, value double"
+    two = correlation(spark.createDataFrame(rows, schema), ["a", "b"], "pearson").first().r
+    rows += [(i, "c", float(rng.normal())) for i in range(30)]  # ten people have no row of c
+    three = correlation(spark.createDataFrame(rows, schema), ["a", "b", "c"], "pearson").collect()
+    assert {(r.feature_i, r.feature_j) for r in three} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert abs(two - abs(np.corrcoef(a, b)[0, 1])) < 1e-12
+    assert abs(next(r.r for r in three if r.feature_j == "b") - two) < 1e-12
+
+
+def test_many_features_keep_their_names(spark):
+    from riskloom.operators.prepare import melt_array
+
+    n = 12_001
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("double")).alias("a"))
+    for names in (None, [f"name{i}" for i in range(n)]):
+        got = {r.feature: r.value for r in melt_array(df, "a", ["id"], names=names).collect()}
+        assert len(got) == n
+        label = (lambda i: f"f{i:04d}") if names is None else names.__getitem__
+        assert all(got[label(i)] == i for i in (0, 9, 1000, 9_999, 10_000, 10_001, n - 1))
