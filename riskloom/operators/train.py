@@ -7,6 +7,7 @@ folds, candidates and panel sizes, never over rows.
 
 from __future__ import annotations
 
+import re
 import itertools
 import math
 import random
@@ -162,7 +163,7 @@ def classifier(model_name: str, params: Mapping | None = None, n_rows: int = 1,
             **shared,
             regParam=1.0 / (p.get("C", 1.0) * max(1, n_rows)),
             elasticNetParam=ratio,
-            maxIter=p.get("max_iter", 200),
+            maxIter=p.get("max_iter", 1000),
             tol=p.get("tol", 1e-4),
             standardization=False,
         )
@@ -756,12 +757,9 @@ def elimination_step(strategy: str, n_features: int) -> int:
     """Features to drop per round of cross-validated elimination."""
     if strategy == "linear":
         return 1
-    if strategy in ("adaptive", "geometric"):
-        return max(1, n_features // 10)
-    try:
-        return max(1, int(strategy))
-    except ValueError:
-        return max(1, n_features // 10)
+    # A number is taken at its word; any other name means a tenth of what is left.
+    fixed = re.fullmatch(r"\s*[+-]?\d+\s*", strategy)
+    return max(1, int(strategy) if fixed else n_features // 10)
 
 
 def _metrics(scores: DataFrame, suffix: str) -> dict:
