@@ -61,13 +61,22 @@ def evaluate_predictions(
 
 
 def evaluate_validation_then_test(
-    predictions: DataFrame, objective: str = "youden", **kw
+    predictions: DataFrame, objective: str = "youden", **objective_args
 ) -> DataFrame:
-    """Choose each model's threshold on VAL and use it on VAL and TEST alike."""
+    """Choose each model's threshold on VAL and use it on VAL and TEST alike.
+
+    ``objective_args`` (as ``fixed_spec``) belong to the objective.
+    """
     keys = ["model", "split_seed"]
     on_val = predictions.where(F.col("split") == "VAL")
-    chosen = T.choose_threshold(on_val, keys, objective).select(*keys, "threshold")
-    return evaluate_predictions(predictions, [*keys, "split"], objective, chosen, **kw)
+    chosen = T.choose_threshold(on_val, keys, objective, **objective_args)
+    return evaluate_predictions(
+        predictions,
+        [*keys, "split"],
+        objective,
+        chosen.select(*keys, "threshold"),
+        **objective_args,
+    )
 
 
 def operating_rates(

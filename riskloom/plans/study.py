@@ -58,7 +58,7 @@ class StudyConfig:
     panel_size: int = 25
     panel_sizes: tuple[int, ...] = (10, 25, 50)
     min_panel: int = 5
-    bootstrap_below: int = 100
+    row_filters: bool = True
     n_boot: int = 1000
 
 
@@ -68,11 +68,28 @@ def make_splits(cohort: DataFrame, catalog: Catalog, config: StudyConfig, overwr
     positives = P.scenario_positives(config.scenario)
     names = {"target_col": "target"}
     extra = {"scheme": "", "temporal": str(config.temporal_col)}
+    if config.row_filters:
+        # What is filtered here is in no split, so no later job sees it.
+        known = {
+            "drop_uncertain_controls": P.EVENT_DATE in rows.columns,
+            "target_col": "target",
+        }
+        extra |= P.filter_audit(rows, **known).first().asDict()
+        rows = P.filter_rows(rows, **known)
+    if config.temporal_col:
+        ends = rows.agg(F.min(config.temporal_col), F.max(config.temporal_col)).first()
+        extra |= {"temporal_start": ends[0], "temporal_end": ends[1]}
     if config.holdout_size > 0:
         parts = checkpointed(
             S.carve_holdout(rows, config.holdout_size, config.temporal_col, **names)
         )
-        catalog.save_holdout(parts.where(F.col("part") == S.HOLDOUT), config.scenario, overwrite)
+        held = parts.where(F.col("part") == S.HOLDOUT)
+        if catalog.save_holdout(held, config.scenario, overwrite):
+            held = P.with_outcome(held.drop("y"), positives, "target")
+            held = held.withColumn("split", F.lit(S.HOLDOUT))
+            catalog.save_holdout_metadata(
+                S.summarize_splits(held, ["split"]), config.scenario, extra
+            )
         rows = parts.where(F.col("part") == "dev").drop("part")
     table, scheme = S.repeated_splits(
         rows,
@@ -157,12 +174,15 @@ def train_model(
         scored.withColumns({**key, "calibrated": F.lit(nested.calibrator is not None)})
     )
     catalog.save_predictions(scored)
-    metrics = evaluate_validation_then_test(
-        scored, config.objective
-    ).withColumn("scenario", F.lit(config.scenario))
+    # Thresholds and metrics are on the scale that the holdout is scored on.
+    active = scored.withColumn("y_prob", F.col("y_prob_adjusted"))
+    aim = {"fixed_spec": config.target_specificity}
+    metrics = evaluate_validation_then_test(active, config.objective, **aim).withColumn(
+        "scenario", F.lit(config.scenario)
+    )
     catalog.write("metrics", metrics, keys)
-    on_val = scored.where(F.col("split") == S.VAL)
-    threshold = T.choose_threshold(on_val, [], config.objective).first()["threshold"]
+    on_val = active.where(F.col("split") == S.VAL)
+    threshold = T.choose_threshold(on_val, [], config.objective, **aim).first()["threshold"]
     catalog.save_model(
         fitted,
         config.scenario,
@@ -188,10 +208,8 @@ def extra_tables(frame, names, nested, scored, catalog, config, model, seed) ->
 
     key = {"scenario": F.lit(config.scenario), "model": F.lit(model), "split_seed": F.lit(seed)}
     keys = ["scenario", "model", "split_seed"]
-    label = F.array(*[F.lit(n) for n in names])
-    long = P.melt_array(
-        frame.select("id", "y", vector_to_array("features").alias("a")), "a", ["id", "y"]
-    ).withColumn("feature", F.element_at(label, F.substring("feature", 2, 9).cast("int") + 1))
+    values = frame.select("id", "y", vector_to_array("features").alias("a"))
+    long = P.melt_array(values, "a", ["id", "y"], names=names)
     screening = checkpointed(mann_whitney(long))
     catalog.write("screening", screening.withColumns(key), keys)
     freq = checkpointed(panels.selection_frequencies(nested.selection_log))
@@ -206,9 +224,8 @@ def extra_tables(frame, names, nested, scored, catalog, config, model, seed) ->
     curve = dca.decision_curve(scored, [*keys, "split"])
     catalog.write("decision_curve", curve, keys)
     test = scored.where(F.col("split") == S.TEST)
-    if test.limit(config.bootstrap_below).count() < config.bootstrap_below:
-        intervals = test_set_intervals(test, keys, config.bootstrap_below, config.n_boot, seed)
-        catalog.write("test_intervals", intervals, keys)
+    intervals = test_set_intervals(test, keys, n_boot=config.n_boot, seed=seed)
+    catalog.write("test_intervals", intervals, keys)
 
 
 def train_ensemble(catalog: Catalog, config: StudyConfig, seed: int) -> DataFrame:
@@ -236,7 +253,9 @@ def train_ensemble(catalog: Catalog, config: StudyConfig, seed: int) -> DataFram
     )
     out = checkpointed(out)
     catalog.save_predictions(out)
-    metrics = evaluate_validation_then_test(out, config.objective)
+    metrics = evaluate_validation_then_test(
+        out, config.objective, fixed_spec=config.target_specificity
+    )
     keys = ["scenario", "model", "split_seed"]
     catalog.write("metrics", metrics.withColumn("scenario", F.lit(config.scenario)), keys)
     coefficients = stacker.coefficients(catalog.spark).withColumns(
@@ -295,8 +314,11 @@ def aggregate_splits(catalog: Catalog, config: StudyConfig) -> dict[str, DataFra
         coefficients = catalog.read("ensemble_coefficients", **where)
         out["ensemble_metadata"] = L.ensemble_metadata(coefficients, pooled_test)
     for name, table in out.items():
-        keys = ["model"] if name == "stability" else []
-        catalog.write(f"aggregated_{name}" if name != "stability" else name, table, keys)
+        keyed = table.withColumn("scenario", F.lit(config.scenario))
+        if name == "stability":
+            catalog.write(name, keyed, ["scenario", "model"])
+        else:
+            catalog.write(f"aggregated_{name}", keyed, ["scenario"])
     return out
 
 
@@ -309,18 +331,21 @@ def optimize_panel(
     model: str,
     seed: int,
     from_aggregated: bool = False,
-    start_size: int = 100,
+    start_size: int | None = None,
     feature_col: str = "features_array",
     **kw,
 ) -> M.Elimination:
-    """Recursive elimination from a model's stable features."""
+    """Recursive elimination from a model's stable features, or the first ``start_size``."""
+    where = {"scenario": config.scenario, "model": model}
     if from_aggregated:
-        rows = catalog.stability(config.stability_threshold, model=model)
+        rows = catalog.stability(config.stability_threshold, **where)
         ordered = rows.orderBy(F.col("selection_fraction").desc(), "feature")
     else:
-        rows = catalog.read("stable_panel", model=model, split_seed=seed).where("kept")
+        rows = catalog.read("stable_panel", split_seed=seed, **where).where("kept")
         ordered = rows.orderBy(F.col("selection_freq").desc(), "feature")
-    start = [r["feature"] for r in ordered.select("feature").limit(start_size).collect()]
+    ordered = ordered.select("feature")
+    ordered = ordered if start_size is None else ordered.limit(start_size)
+    start = [r["feature"] for r in ordered.collect()]
     if len(start) < config.min_panel:
         raise ValueError(f"only {len(start)} stable features for {model}")
     train = checkpointed(_assembled(cohort, splits, seed, S.TRAIN, feature_col))
@@ -328,31 +353,33 @@ def optimize_panel(
     result = M.recursive_elimination(
         train, val, names, start, model, config.params.get(model), config.min_panel, seed=seed, **kw
     )
-    catalog.save_elimination(result, seed)
+    catalog.save_elimination(result, seed, config.scenario)
     return result
 
 
 def make_consensus(
     cohort_long: DataFrame, catalog: Catalog, config: StudyConfig, **kw
 ) -> dict[str, DataFrame]:
-    """Cross-model consensus panel from stored stability and elimination tables."""
-    models = catalog.models_with_results()
+    """Cross-model consensus panel from one scenario's stability and elimination tables."""
+    models = catalog.models_with_results(scenario=config.scenario)
     if len(models) < 2:
         raise ValueError("consensus needs results of at least two models")
-    stability = catalog.read("stability").where(F.col("model").isin(models))
+    stability = catalog.read("stability", scenario=config.scenario).where(
+        F.col("model").isin(models)
+    )
     stable = panels.stable_features(stability, config.stability_threshold)
     names = [r[0] for r in stable.select("feature").distinct().orderBy("feature").collect()]
     pairs = checkpointed(corr.correlation(cohort_long, names, "spearman"))
     result = panels.consensus_panel(
         stability,
         pairs,
-        catalog.elimination_ranking(),
+        catalog.elimination_ranking(scenario=config.scenario),
         config.stability_threshold,
         config.corr_threshold,
         config.panel_size,
         **kw,
     )
-    catalog.save_consensus(result)
+    catalog.save_consensus(result, config.scenario)
     return result
 
 
@@ -390,8 +417,9 @@ def evaluate_holdout(
         "top_risk": T.top_risk_capture(active, [], fractions),
         "decision_curve": dca.decision_curve(active, []),
     }
+    keys = {"scenario": F.lit(config.scenario), "model": F.lit(model), "split_seed": F.lit(seed)}
     for name, table in out.items():
-        catalog.write(f"holdout_{name}", table)
+        catalog.write(f"holdout_{name}", table.withColumns(keys), list(keys))
     return out
 
 
@@ -429,10 +457,9 @@ def run_study(
                 feature_col=feature_col,
             )
     if with_consensus and len(config.models) > 1:
-        label = F.array(*[F.lit(n) for n in names])
-        long = P.melt_array(cohort, feature_col, ["id"]).withColumn(
-            "feature", F.element_at(label, F.substring("feature", 2, 9).cast("int") + 1)
-        )
-        train_ids = splits.where(F.col("split") == S.TRAIN).select("id").distinct()
+        long = P.melt_array(cohort, feature_col, ["id"], names=names)
+        # One seed's TRAIN: the union over seeds would hold every seed's TEST rows.
+        first = (F.col("split") == S.TRAIN) & (F.col("split_seed") == config.seeds[0])
+        train_ids = splits.where(first).select("id").distinct()
         out.update(make_consensus(long.join(train_ids, "id", "left_semi"), catalog, config))
     return out

@@ -47,11 +47,11 @@ class Catalog:
         writer = df.write.mode("append")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(name))
 
-    def partitions(self, name: str, key: str) -> list:
-        """Values of a partition column, sorted (reads no data files' rows)."""
+    def partitions(self, name: str, key: str, **keys) -> list:
+        """Values of a partition column, sorted."""
         if not self.has(name):
             return []
-        rows = self.read(name).select(key).distinct().orderBy(key).collect()
+        rows = self.read(name, **keys).select(key).distinct().orderBy(key).collect()
         return [r[0] for r in rows]
 
     # -- splits --------------------------------------------------------------
@@ -105,11 +105,20 @@ class Catalog:
     def save_split_metadata(
         self, summary: DataFrame, scenario: str, extra: Mapping[str, str] | None = None
     ) -> None:
-        """Append one row per split: counts, prevalence, digest and free settings."""
+        """Replace the scenario's rows, one per split: counts, prevalence, digest and settings."""
         entries = [F.lit(str(x)) for kv in (extra or {}).items() for x in kv]
         settings = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
         rows = summary.withColumns({"scenario": F.lit(scenario), "settings": settings})
-        self.append("split_metadata", rows, ["scenario"])
+        self.write("split_metadata", rows, ["scenario"])
+
+    def save_holdout_metadata(
+        self, summary: DataFrame, scenario: str, extra: Mapping[str, str] | None = None
+    ) -> None:
+        """One row of the holdout: counts, prevalence, digest and free settings."""
+        entries = [F.lit(str(x)) for kv in (extra or {}).items() for x in kv]
+        settings = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+        rows = summary.withColumns({"scenario": F.lit(scenario), "settings": settings})
+        self.write("holdout_metadata", rows, ["scenario"])
 
     def load_split_metadata(self, scenario: str, split_seed: int | None = None) -> DataFrame | None:
         if not self.has("split_metadata"):
@@ -144,8 +153,14 @@ class Catalog:
         """Settings of every stacked model."""
         return self.read("model_metadata", **{**keys, "model": ENSEMBLE})
 
-    def models_with_results(self, only: Sequence[str] | None = None, skip_ensemble: bool = True) -> list[str]:
-        found = self.partitions("stability", "model")
+    def models_with_results(
+        self,
+        only: Sequence[str] | None = None,
+        skip_ensemble: bool = True,
+        scenario: str | None = None,
+    ) -> list[str]:
+        where = {} if scenario is None else {"scenario": scenario}
+        found = self.partitions("stability", "model", **where)
         if only:
             found = [m for m in found if m in set(only)]
         return [m for m in found if not (skip_ensemble and m == ENSEMBLE)]
@@ -160,58 +175,65 @@ class Catalog:
         return None if rows.isEmpty() else rows
 
     def append_cv_metrics(self, metrics: DataFrame) -> None:
-        self.append("cv_metrics", metrics, [k for k in KEYS if k in metrics.columns])
+        """Add metrics of new scenarios, models and seeds; a rerun replaces its own rows."""
+        self.write("cv_metrics", metrics, [k for k in KEYS if k in metrics.columns])
 
     def save_pooled(self, pooled: DataFrame, name: str = "pooled_predictions") -> None:
         """Pooled rows by model; a missing score is the mean over repeat columns."""
         self.write(name, fill_from_repeats(pooled), ["model"])
 
     def save_thresholds(self, thresholds: DataFrame) -> None:
-        self.write("thresholds", thresholds, ["model"])
-
-    def save_consensus(self, result: Mapping[str, DataFrame]) -> None:
-        for part in ("panel", "ranking", "per_model", "clusters"):
-            self.write(f"consensus_{part}", result[part])
-        self.write(
-            "consensus_uncertainty", panel_uncertainty(result["panel"], result["ranking"])
-        )
+        """Thresholds by model, and by scenario and seed where the rows have them."""
+        self.write("thresholds", thresholds, [k for k in KEYS if k in thresholds.columns])
+
+    def save_consensus(self, result: Mapping[str, DataFrame], scenario: str = "") -> None:
+        """Tables of one scenario's consensus; those of other scenarios stay."""
+        parts = {name: result[name] for name in ("panel", "ranking", "per_model", "clusters")}
+        parts["uncertainty"] = panel_uncertainty(result["panel"], result["ranking"])
+        for name, table in parts.items():
+            self.write(
+                f"consensus_{name}", table.withColumn("scenario", F.lit(scenario)), ["scenario"]
+            )
 
     def save_decision_curve(self, curve: DataFrame, group_cols: Sequence[str]) -> None:
         self.write("decision_curve", curve, list(group_cols))
         self.write("decision_summary", dca_summary(curve, group_cols), list(group_cols))
 
-    def save_elimination(self, result, split_seed: int = 0) -> None:
+    def save_elimination(self, result, split_seed: int = 0, scenario: str = "") -> None:
         from riskloom.operators.pareto import knee_size, recommended_sizes
 
-        keys = ["model", "split_seed"]
-        seed = F.lit(split_seed)
-        curve = result.curve.withColumn("split_seed", seed)
+        keys = list(KEYS)
+        key = {"scenario": F.lit(scenario), "split_seed": F.lit(split_seed)}
+        curve = result.curve.withColumns(key)
         self.write("rfe_curve", curve, keys)
-        self.write("rfe_ranking", result.ranking.withColumn("split_seed", seed), keys)
+        self.write("rfe_ranking", result.ranking.withColumns(key), keys)
         sizes = curve.withColumnRenamed("auroc_val", "auroc")
         chosen = recommended_sizes(sizes, keys).join(knee_size(sizes, keys), keys)
         self.write("rfe_recommended", chosen, keys)
 
-    def save_fold_eliminations(self, folds: Sequence[Mapping], model: str, split_seed: int = 0) -> None:
+    def save_fold_eliminations(
+        self, folds: Sequence[Mapping], model: str, split_seed: int = 0, scenario: str = ""
+    ) -> None:
         """Tables of cross-validated elimination: folds, CV scores, consensus, summary."""
         from riskloom.operators.panels import fold_consensus, fold_summary
 
-        keys = ["model", "split_seed"]
-        rows = [(model, split_seed, f["fold"], f["features"], f["val_auroc"]) for f in folds]
+        keys = list(KEYS)
+        named = "scenario string, model string, split_seed int, fold int"
+        rows = [
+            (scenario, model, split_seed, f["fold"], f["features"], f["val_auroc"]) for f in folds
+        ]
         table = self.spark.createDataFrame(
-            rows, "model string, split_seed int, fold int, features array<string>, val_auroc double"
+            rows, f"{named}, features array<string>, val_auroc double"
         )
         scores = [
-            (model, split_seed, f["fold"], int(size), score)
+            (scenario, model, split_seed, f["fold"], int(size), score)
             for f in folds
             for size, score in f["cv_scores"].items()
         ]
         self.write("rfecv_folds", table, keys)
         self.write(
             "rfecv_scores",
-            self.spark.createDataFrame(
-                scores, "model string, split_seed int, fold int, size int, score double"
-            ),
+            self.spark.createDataFrame(scores, f"{named}, size int, score double"),
             keys,
         )
         self.write("rfecv_consensus", fold_consensus(table, group_cols=keys), keys)

@@ -192,6 +192,7 @@ def test_result_sinks(spark, tmp_path):
     metrics = spark.createDataFrame([("m", 0, 0.8)], "model string, split_seed int, auroc double")
     catalog.append_cv_metrics(metrics)
     catalog.append_cv_metrics(metrics)
+    catalog.append_cv_metrics(metrics.withColumn("split_seed", F.lit(1)))
     assert catalog.read("cv_metrics").count() == 2
     folds = [
         {"fold": k, "features": ["a", "b"][: k + 1], "val_auroc": 0.7, "cv_scores": {2: 0.7, 1: 0.6}}
@@ -203,3 +204,25 @@ def test_result_sinks(spark, tmp_path):
     assert [r.feature for r in consensus] == ["a"]
     catalog.write("stability", spark.createDataFrame([("m", "a", 1.0)], "model string, feature string, selection_fraction double"), ["model"])
     assert catalog.models_with_results(only=["m"]) == ["m"] and catalog.stability(0.5).count() == 1
+
+
+def test_results_of_scenarios_models_and_seeds_stay_apart(spark, tmp_path):
+    from types import SimpleNamespace
+
+    catalog = Catalog(spark, str(tmp_path / "apart"))
+    curve = spark.createDataFrame([("m", 4, 0.8), ("m", 2, 0.7)], "model string, size int, auroc_val double")
+    ranking = spark.createDataFrame([("m", "a", 1)], "model string, feature string, elimination_order int")
+    for _ in range(2):  # a rerun replaces its own rows
+        for scenario in ("S1", "S2"):
+            for seed in (0, 1):
+                catalog.save_elimination(SimpleNamespace(curve=curve, ranking=ranking), seed, scenario)
+                metrics = spark.createDataFrame([(scenario, "m", seed, 0.8)], "scenario string, model string, split_seed int, auroc double")
+                catalog.append_cv_metrics(metrics)
+            summary = spark.createDataFrame([(0, "TRAIN", 9)], "split_seed int, split string, n int")
+            catalog.save_split_metadata(summary, scenario, {"scheme": "x"})
+            catalog.save_holdout_metadata(summary.drop("split_seed"), scenario, {"n_in": 3})
+    assert catalog.read("rfe_curve").count() == 8 and catalog.read("rfe_ranking").count() == 4
+    assert catalog.elimination_ranking(scenario="S1", split_seed=1).count() == 1
+    assert catalog.read("cv_metrics").count() == 4
+    assert catalog.load_split_metadata("S1").count() == 1
+    assert catalog.read("holdout_metadata", scenario="S2").first().settings == {"n_in": "3"}
