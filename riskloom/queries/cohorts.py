@@ -310,17 +310,29 @@ def _split_summary(t: Tables):
     return S.summarize_splits(_split_table(t), ["split_seed", "split"])
 
 
-@query("split_overlap", """SELECT CAST(NULL AS INTEGER) AS split_seed, CAST(NULL AS BIGINT) AS id,
-  CAST(NULL AS VARCHAR) AS splits FROM customer WHERE FALSE""")
+def _with_violations(t: Tables):
+    """The split table and a seed 900 that breaks both rules on known rows."""
+    known = t.cohort().select("id", "target", F.lit(900).alias("split_seed"))
+    extra = F.when(F.col("id") % 10 == 0, F.lit("TEST")).when(F.col("id") % 10 == 3, F.lit("VAL"))
+    planted = known.select("*", F.explode(F.array_compact(F.array(F.lit("TRAIN"), extra))).alias("split"))
+    columns = ["split_seed", "id", "target", "split"]
+    return _split_table(t).select(*columns).unionByName(planted.select(*columns))
+
+
+@query("split_overlap", """SELECT 900 AS split_seed, c_custkey AS id,
+  CASE WHEN c_custkey % 10 = 0 THEN 'TEST,TRAIN' ELSE 'TRAIN,VAL' END AS splits
+FROM customer WHERE c_custkey % 10 IN (0, 3)""")
 def _overlap(t: Tables):
-    out = S.split_overlap(_split_table(t))
+    out = S.split_overlap(_with_violations(t))
     return out.withColumn("splits", F.array_join("splits", ","))
 
 
-@query("prevalent_leakage", """SELECT CAST(NULL AS INTEGER) AS split_seed, CAST(NULL AS BIGINT) AS id,
-  CAST(NULL AS VARCHAR) AS split FROM customer WHERE FALSE""")
+@query("prevalent_leakage", """SELECT 900 AS split_seed, c_custkey AS id,
+  CASE WHEN c_custkey % 10 = 0 THEN 'TEST' ELSE 'VAL' END AS split
+FROM customer WHERE c_custkey % 10 IN (0, 3) AND c_nationkey >= 22""")
 def _leakage(t: Tables):
-    return S.prevalent_in_evaluation(_split_table(t), "target").select("split_seed", "id", "split")
+    found = S.prevalent_in_evaluation(_with_violations(t), "target")
+    return found.select("split_seed", "id", "split")
 
 
 @query("stratified_folds", f"""WITH {DATED_SQL},
