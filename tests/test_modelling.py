@@ -93,7 +93,6 @@ def test_stacker(spark, rows):
         K.require_same_ids(both.where("model = 'good' OR id <> 3"), ["good", "bad"])
 
 
-@slow
 def test_small_study(spark, tmp_path):
     from riskloom.plans.study import StudyConfig, evaluate_holdout, optimize_panel, run_study
     from riskloom.sources.catalog import Catalog
