@@ -246,7 +246,9 @@ class BigramModel:
 
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> memoryview:
-    if not os.path.exists(path):
+    if not os.path.isdir(os.path.dirname(path)):
+        raise FileNotFoundError(f"this worker does not see the model folder of {path}")
+    if not os.path.exists(path):  # no pair or word fell into this shard
         return memoryview(np.zeros(2, np.int64)).cast("B")
     with open(path, "rb") as f:
         return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))

@@ -98,9 +98,8 @@ def test_packing_round_trip(spark, odd):
             want[(r[0], s, len(part) // 4, zlib.crc32(part), len(ids))] += 1
     assert by_doc == want
     assert pack_documents(empty_docs(spark), BYTE_BPE).count() == 0
-    assert sorted(map(tuple, pack_documents(odd, BYTE_BPE, 64).collect())) == sorted(
-        map(tuple, pieces)
-    ) or any(p.doc_id is None for p in pieces)
+    again = pack_documents(odd, BYTE_BPE, 64).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, pieces))
 
 
 def test_license_scan_by_definition(spark):
@@ -157,7 +156,7 @@ def test_fingerprints_by_definition(spark, odd):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r.near_edited - jaccard(text[i], edited)) < 0.2
         assert abs(r.near_next - jaccard(text[i], after)) < 0.2
-    assert got[ids[-3]].fingerprint == got[ids[-2]].fingerprint != got[ids[-1]].fingerprint
+    assert got[ids[-3]].fingerprint == got[ids[-2]].fingerprint != got[ids[-4]].fingerprint
     assert got[ids[0]].fingerprint == "" and len(got[ids[-1]].fingerprint) == 256
     assert fingerprint_documents(odd).count() == odd.count()
     assert fingerprint_documents(empty_docs(spark)).count() == 0
@@ -184,7 +183,7 @@ def test_quality_keeps_clean_and_drops_junk(spark, odd):
     junk = [babble(i, 60).upper().replace(" ", "!! ") for i in range(500, 530)]
     docs = spark.createDataFrame(rows(good + junk + odd_texts()), SCHEMA)
     labels = spark.createDataFrame(
-        [(i, int(i < 120), 0) for i in [*range(0, 150, 2), None]], "doc_id long, quality int, toxic int"
+        [(i, int(i is None or i < 120), 0) for i in [*range(0, 150, 2), None]], "doc_id long, quality int, toxic int"
     )
     model = fit_resampler(docs, labels)
     kept = {r.doc_id: r.kept for r in resample(docs, model).collect()}
