@@ -142,7 +142,7 @@ def _documents(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarr
 
 def word_frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
     """How often each of the given words occurs in all documents."""
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
     words = list(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def scan_licenses(
     task and no document is shuffled.
     """
     frequency = word_frequencies(docs, vocabulary(phrases, templates))
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, templates, threshold, frequency)

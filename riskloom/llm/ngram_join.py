@@ -84,7 +84,7 @@ def row_key(docs: DataFrame) -> Column:
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (doc_id, row_key, n, digest) and of the frequency sketch (part, counts)."""
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
     kind = docs.schema["doc_id"].dataType
     names = ["doc_id", "row_key", "n", "digest", "part", "counts"]
 

@@ -77,7 +77,7 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 def count_pairs(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, u, n, w, c): packed pairs; ``n`` followers ``w`` for each ``u``, counts ``c``."""
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
 
     def packed(u: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
         p = pair_shard(u, w, shards)
@@ -383,7 +383,7 @@ def score_texts(docs: DataFrame, model: BigramModel) -> DataFrame:
     text is an end alone. One row comes out for each that goes in; other columns are
     ignored; an empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,7 +120,7 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 
 def document_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
     """Pieces of at most ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

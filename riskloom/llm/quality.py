@@ -85,7 +85,7 @@ def bucket_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     Each task adds up its own documents, so at most one row per task and bucket
     is shuffled.
     """
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -124,7 +124,7 @@ def text_scores(texts: list[bytes], log_ratio: np.ndarray) -> tuple[np.ndarray,
 
 def mean_log_ratio(docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:
     """(doc_id, n_grams, score): the mean log ratio of a text's n-grams; 0 without any."""
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

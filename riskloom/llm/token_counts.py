@@ -243,7 +243,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     included; other columns are ignored; an empty table gives an empty result.
     Nothing is shuffled, and a lost task is simply run again.
     """
-    bounded_batches(docs.sparkSession, 512)
+    bounded_batches(docs.sparkSession, 128)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)

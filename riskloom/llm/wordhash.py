@@ -14,7 +14,7 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes that are hashed together; bounds memory to about 50 times that.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
