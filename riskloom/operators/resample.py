@@ -3,7 +3,8 @@
 Drawing n rows with replacement is a multinomial draw over distinct scores. It
 is done in two exact steps: first how many draws fall into each hash cell of a
 group (one small row per replicate), then, cell by cell, how they spread over
-the scores inside. No row is copied per draw and no group meets in one task.
+the scores inside. Rows are counted first; a count row is read once for every 25
+replicates, and no group meets in one task.
 """
 
 from __future__ import annotations

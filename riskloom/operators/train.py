@@ -7,10 +7,11 @@ folds, candidates and panel sizes, never over rows.
 
 from __future__ import annotations
 
-import re
 import itertools
 import math
 import random
+import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -181,6 +182,8 @@ def classifier(model_name: str, params: Mapping | None = None, n_rows: int = 1,
         )
     if model_name == "RF":
         depth = p.get("max_depth")
+        if depth is None:
+            warnings.warn(f"trees are cut at Spark's depth limit {MAX_TREE_DEPTH}", stacklevel=2)
         return RandomForestClassifier(
             **shared,
             numTrees=p.get("n_estimators", 500),
@@ -356,6 +359,8 @@ def search(
     for choice in choices:
         builder = ParamGridBuilder()
         for key, value in choice.items():
+            if key not in _SPARK_PARAM:
+                raise ValueError(f"{key!r} cannot be searched: Spark's estimators have no such parameter")
             name, convert = _SPARK_PARAM[key]
             if name is None:
                 name = "numTrees" if model_name == "RF" else "maxIter"

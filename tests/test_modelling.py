@@ -63,7 +63,7 @@ def test_elimination_keeps_the_signal(spark, rows):
     assert out.ranking.count() == 3
 
 
-def test_sizes_grids_and_candidates():
+def test_sizes_grids_and_candidates(spark, rows):
     assert M.evaluation_sizes(100, 5) == [100, 50, 25, 12, 6, 5]
     assert M.evaluation_sizes(100, 5, "fine") == [100, 75, 50, 37, 25, 18, 12, 9, 6, 5]
     assert M.evaluation_sizes(8, 5, "linear") == [8, 7, 6, 5]
@@ -76,6 +76,8 @@ def test_sizes_grids_and_candidates():
     assert len({tuple(c.values()) for c in some}) == 5
     with pytest.raises(ValueError):
         M.parameter_grid("nope")
+    with pytest.raises(ValueError, match="gamma"):
+        M.search(rows, "LR_EN", [{"gamma": 1.0}], 2)
 
 
 def test_stacker(spark, rows):
