@@ -7,6 +7,7 @@ hashes everywhere; different ones collide with a chance near 2^-64 a pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ _FOLDED[ord("A") : ord("Z") + 1] = _RANDOM[ord("a") : ord("z") + 1]
 #: Bytes between words: white space; or all ASCII but letters and digits.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BLANKS = [bytes([b]) for b in np.flatnonzero(BLANK)]
+_ANY_BLANK = re.compile(rb"[ \t-\r]")
 SIGNS = np.ones(256, bool)
 SIGNS[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = False
 SIGNS[0x80:] = False
@@ -75,14 +78,18 @@ def _words(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def segments(text: bytes) -> Iterator[bytes]:
-    """Cut a long text between words; a word longer than a segment stays whole."""
+    """Cut a long text between words; a word longer than a segment stays whole.
+
+    A part may begin with the blank it was cut at, so cuts are searched behind that.
+    """
     at = 0
     while len(text) - at > SEGMENT:
-        cut = text.rfind(b" ", at, at + SEGMENT)
+        cut = max(text.rfind(b, at + 1, at + SEGMENT) for b in _BLANKS)
         if cut < 0:
-            cut = text.find(b" ", at + SEGMENT)
-            if cut < 0:
+            found = _ANY_BLANK.search(text, at + SEGMENT)
+            if found is None:
                 break
+            cut = found.start()
         yield text[at:cut]
         at = cut
     yield text[at:]

@@ -18,6 +18,7 @@ from riskloom.llm.ngram_lm import discounts, score_held_out
 from riskloom.llm.packing import Tokens, first_fit_decreasing, pack_documents
 from riskloom.llm.quality import drawn_documents, fit_resampler, kth_largest, resample
 from riskloom.llm.token_counts import TokenCounter, count_tokens
+from riskloom.llm.wordhash import SEGMENT, SIGNS, segments, word_hashes
 from tests.llm.fixtures import SCHEMA, babble, empty_docs, odd_docs, odd_texts, rows, shingles, words
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -213,6 +214,28 @@ def test_scores_do_not_depend_on_company():
     assert [quality.text_scores([t], ratio)[1][0] for t in texts] == together.tolist()
 
 
+def test_long_texts_are_cut_at_any_blank():
+    plain = b"\n".join(b"w%d" % i for i in range(2 * SEGMENT // 6))
+    assert len(plain) > 2 * SEGMENT
+    dense = "\u6587".encode() * SEGMENT  # one word of three segments
+    for text in (b" " + plain, b"hi " + plain, plain.replace(b"\n", b"\t"), b" " + dense, b"a " + dense + b"\vb"):
+        parts = []
+        for part in segments(text):
+            parts.append(part)
+            assert part and len(parts) < 9
+        assert b"".join(parts) == text
+        assert [w for p in parts for w in p.split()] == text.split()
+    parts = list(segments(b" " + plain))
+    assert len(parts) > 2 and max(map(len, parts)) <= SEGMENT
+    some = [b"a b", b"hi " + plain, b"", b" " + dense, b"c"]
+    hashes, ends, _ = word_hashes(some, True)
+    assert list(ends) == list(np.cumsum([len(t.split()) for t in some]))
+    assert hashes[2] == word_hashes([b"hi"], True)[0][0]
+    last = plain.rsplit(b"\n", 1)[1]
+    assert hashes[ends[1] - 1] == word_hashes([last], True)[0][0]
+    assert len(word_hashes([b" " + plain], False, between=SIGNS)[0]) == len(plain.split())
+
+
 def test_language_model_by_definition(spark, odd):
     texts = [babble(i, 30 + i, 60) for i in range(60)] + [None, "", "unseen words only", "w1 w1 w1"]
     docs = spark.createDataFrame(rows(texts), SCHEMA)
