@@ -12,6 +12,7 @@ all vectors to the same length; queries have 0 there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,11 @@ from riskloom.session import checkpointed, ship_package
 
 #: Centroids are fitted on at most so many vectors; every vector is indexed.
 SAMPLE = 65_536
-#: Wanted vectors per list, and the most centroids.
+#: Wanted vectors per list, and about the most centroids: beyond that, lists grow longer.
 LIST_SIZE = 128
-MAX_LISTS = 8_192
+MAX_LISTS = 512
+#: A query reads this share of the lists, whatever their number.
+SHARE = 0.15
 #: A list or its queries beyond this size is dealt to several tasks.
 BLOCK = 4_096
 
@@ -54,8 +57,9 @@ class Index:
     def near(self, points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` centroids nearest to each point and their squared distances.
 
-        All points walk at once: each step opens every point's nearest unopened
-        centroid and merges its neighbours, until no point has one among its best.
+        A large share of the centroids is found by all distances. For a small one all
+        points walk at once: each step opens every point's nearest unopened centroid and
+        merges its neighbours, until no point has one among its best.
         """
         width = min(width, len(self.centroids))
         norms = (self.centroids**2).sum(1)
@@ -65,6 +69,10 @@ class Index:
             return np.maximum(square[rows, None] - 2 * dots + norms[ids], 0.0)
 
         square = (points**2).sum(1)
+        if width * 8 >= len(self.centroids):
+            gap = np.maximum(square[:, None] - 2 * points @ self.centroids.T + norms, 0.0)
+            best = np.argsort(gap, axis=1, kind="stable")[:, :width]
+            return best, np.take_along_axis(gap, best, 1)
         everyone = np.arange(len(points))
         start = np.broadcast_to(self.entries, (len(points), len(self.entries)))
         best = np.full((len(points), width), -1)
@@ -180,11 +188,11 @@ def _placed(
     """(vec_id, vector, list): the lists of each vector, at most ``lists``.
 
     A list is taken if its centroid is at most ``ratio`` times as far as the nearest.
-    ``sizes`` (rows of each list) marks queries: they take further lists until
-    ``enough`` rows lie in those taken.
+    ``sizes`` (rows of each list) marks queries: they take further lists, of all there
+    are, until ``enough`` rows lie in those taken.
     """
     queries = sizes is not None
-    shared = vectors.sparkSession.sparkContext.broadcast((index, sizes))  # MAX_LISTS rows
+    shared = vectors.sparkSession.sparkContext.broadcast((index, sizes))  # about MAX_LISTS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows_of = shared.value
@@ -193,13 +201,13 @@ def _placed(
                 part = batch.slice(at, 1024)
                 x = _matrix(part.column(1), own.dimension)
                 points = own.lift_queries(x) if queries else own.lift(x)
-                best, dist = own.near(points, max(lists, 32))
+                best, dist = own.near(points, len(own.centroids) if queries else max(lists, 32))
                 take = dist <= dist[:, :1] * ratio**2 + 1e-12
+                take[:, lists:] = False
                 if queries:
                     held = rows_of[best]
                     take |= np.cumsum(held, axis=1) - held < enough
                 take &= best >= 0
-                take[:, lists:] = False
                 row, place = np.nonzero(take)
                 rows = pa.array(row)
                 data = np.ascontiguousarray(x)
@@ -231,8 +239,8 @@ def nearest(
     no candidate; shorter vectors count as ending in zeros. Rows of one id count once,
     by their best score. Ties go to the smaller id. An empty table gives an empty
     result. A vector is kept in up to ``copies`` lists whose centroids are within
-    ``border`` times the nearest one's distance; a query reads up to ``probes`` lists
-    within ``reach``, and more until they hold k others. Of equal vectors only the k+1 smallest ids can be among the
+    ``border`` times the nearest one's distance; a query reads up to ``probes`` lists, or
+    SHARE of all if that is more, within ``reach``, and more until they hold k others. Of equal vectors only the k+1 smallest ids can be among the
     nearest of any query: the others are left out of the lists, not out of the result.
     """
     spark = vectors.sparkSession
@@ -263,8 +271,9 @@ def nearest(
         sizes[row["list"]] = row["count"]
     # So many rows hold k different ids besides the query's own, whatever is kept twice.
     enough = (k + 1) * copies
-    probed = checkpointed(_placed(asked, index, probes, reach, sizes, enough))
-    # One row per list: MAX_LISTS at most.
+    read = max(probes, math.ceil(SHARE * len(index.centroids)))
+    probed = checkpointed(_placed(asked, index, read, reach, sizes, enough))
+    # One row per list: about MAX_LISTS.
     blocks = (
         posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
         .join(probed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("asked")), "list")

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from riskloom.llm.ann import nearest
+from riskloom.llm.ann import fit_index, nearest
 from riskloom.llm.components import connected_components
 from riskloom.llm.mixing import document_hash, mix_sources, mixed_documents
 from riskloom.llm.ngram_join import similar_groups
@@ -232,6 +232,21 @@ def test_nearest_vectors_recall_and_odd_rows(spark):
     assert nearest(df.limit(0), df, 20).count() == 0 and nearest(df, df.limit(0), 20).count() == 0
 
 
+def test_lists_read_follow_the_index(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = {i: v.tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    queries = list(range(0, 6000, 60))
+    got = nearest(df, df.where("vec_id % 60 = 0"), 20, probes=1).collect()
+    want = exact(data, queries, 20)
+    hits = sum(r.vec_id in want[r.query_id] for r in got)
+    assert hits >= 0.85 * 20 * len(queries)
+    # However long the table, the lists read by default are a tenth of all or more.
+    assert len(fit_index(x, 10**9, 1.0).centroids) <= 1024
+
+
 def test_pipeline_stages(spark, tmp_path):
     good = [babble(i, 80) for i in range(60)]
     copies = [near_copy(good[0], k, 1) for k in range(5)] + [good[1], good[1].upper()]
