@@ -53,12 +53,12 @@ def _svm(t: Tables):
 
 @query("random_forest_scores")
 def _forest(t: Tables):
-    return _scores(t, "RF", {"n_estimators": 20, "max_depth": 5})
+    return _scores(t, "RF", {})
 
 
 @query("boosted_tree_scores")
 def _boosted(t: Tables):
-    return _scores(t, "XGBoost", {"n_estimators": 10, "max_depth": 3})
+    return _scores(t, "XGBoost", {})
 
 
 @query("coefficient_importance")
@@ -71,7 +71,7 @@ def _coefficients(t: Tables):
 def _permutation(t: Tables):
     rows = _train(t)
     model = M.fit_model(rows, "LR_EN", {"C": 1.0, "l1_ratio": 0.5})
-    return M.permutation_drops(model, rows, NAMES, repeats=2, only=NAMES[:8])
+    return M.permutation_drops(model, rows, NAMES)
 
 
 @query("model_based_selection")
@@ -130,8 +130,8 @@ def _calibrated(t: Tables):
 @query("nested_cross_validation")
 def _nested(t: Tables):
     out = M.nested_cv(
-        _train(t), NAMES, "LR_EN", folds=3, repeats=2, inner_folds=2,
-        strategy=M.FeatureStrategy(k_best=16),
+        _train(t), NAMES, "LR_EN", choices=M.candidates(M.parameter_grid("LR_EN")),
+        repeats=2, strategy=M.FeatureStrategy(k_best=16),
     )
     return out.oof
 
@@ -140,7 +140,7 @@ def _nested(t: Tables):
 def _elimination(t: Tables):
     train, val = _halves(t)
     out = M.recursive_elimination(
-        train, val, NAMES, NAMES[:8], "LR_EN", {"C": 1.0}, 4, cv_folds=2, n_boot=20, min_auroc_frac=0.0
+        train, val, NAMES, NAMES, "LR_EN", {"C": 1.0}, 4, min_auroc_frac=0.0
     )
     return out.curve
 
@@ -148,9 +148,7 @@ def _elimination(t: Tables):
 @query("cross_validated_elimination")
 def _rfecv(t: Tables):
     train, val = _halves(t)
-    out = M.cross_validated_elimination(
-        train, val, NAMES, NAMES[:8], "LR_EN", {"C": 1.0}, 4, step=2, cv_folds=2
-    )
+    out = M.cross_validated_elimination(train, val, NAMES, NAMES, "LR_EN", {"C": 1.0}, 4)
     rows = [(int(k), float(v)) for k, v in out["cv_scores"].items()]
     return t.spark.createDataFrame(rows, "size int, score double")
 
@@ -259,14 +257,9 @@ def _study(t: Tables):
     # The cohort has neither sex nor age, so strata come from the outcome.
     config = StudyConfig(
         scenario="IncidentPlusPrevalent",
-        models=("LR_EN", "LR_L1"),
-        folds=2,
-        repeats=1,
-        params={"LR_EN": {"C": 0.1}, "LR_L1": {"C": 0.1}},
         stability_threshold=0.5,
         corr_threshold=0.9,
         panel_size=5,
-        n_boot=20,
         objective="youden",
     )
     catalog = Catalog(t.spark, fresh_folder(t.spark, "study"))

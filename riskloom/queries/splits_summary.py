@@ -17,28 +17,26 @@ from riskloom.queries.registry import (
     rounded,
 )
 
-N_BOOT = 40
-
 
 @query("bootstrap_auroc_interval")
 def _bootstrap(t: Tables):
-    return B.stratified_bootstrap_ci(t.event_predictions(), ["model"], "auroc", N_BOOT, 7)
+    return B.stratified_bootstrap_ci(t.event_predictions(), ["model"], "auroc", seed=7)
 
 
 @query("bootstrap_difference_interval")
 def _difference(t: Tables):
     rows = t.event_predictions().withColumn("other", (F.col("id") % 101) / 101.0)
-    return B.bootstrap_difference_ci(rows, ["model"], "y_prob", "other", n_boot=N_BOOT)
+    return B.bootstrap_difference_ci(rows, ["model"], "y_prob", "other")
 
 
 @query("bootstrap_auroc_sd")
 def _sd(t: Tables):
-    return B.bootstrap_sd(t.event_predictions(), ["model"], N_BOOT)
+    return B.bootstrap_sd(t.event_predictions(), ["model"])
 
 
 @query("test_set_intervals")
 def _intervals(t: Tables):
-    return B.test_set_intervals(t.event_predictions(), ["model"], n_boot=N_BOOT)
+    return B.test_set_intervals(t.event_predictions(), ["model"])
 
 
 _PAIR_LIST = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in B.CONFIG_PAIRS)
