@@ -40,7 +40,7 @@ from riskloom.operators.discrimination import discrimination_aggregates, brier_o
 from riskloom.operators.panels import importance_selection
 from riskloom.operators.prepare import melt_array
 from riskloom.operators.splits import even_fractions, fold_column, hash_ranked, training_prefix
-from riskloom.session import checkpointed
+from riskloom.session import checkpointed, ensure_checkpoint_dir
 
 MODELS = ("LR_EN", "LR_L1", "LinSVM_cal", "RF", "XGBoost")
 MAX_TREE_DEPTH = 30
@@ -172,9 +172,9 @@ def classifier(model_name: str, params: Mapping | None = None, n_rows: int = 1,
         return LinearSVC(
             **shared,
             regParam=1.0 / (p.get("C", 1.0) * max(1, n_rows)),
-            # The hinge loss has no smooth optimum: every further iteration costs
-            # many passes over the rows and hardly moves the margin.
-            maxIter=p.get("max_iter", 20),
+            # The hinge loss has no smooth optimum: an iteration costs many passes over
+            # the rows; ``tol`` may end them sooner.
+            maxIter=p.get("max_iter", 5000),
             tol=p.get("tol", 1e-3),
             standardization=False,
             rawPredictionCol="svm_raw",
@@ -197,7 +197,7 @@ def classifier(model_name: str, params: Mapping | None = None, n_rows: int = 1,
     if model_name == "XGBoost":
         return GBTClassifier(
             **shared,
-            maxIter=p.get("n_estimators", 100),
+            maxIter=p.get("n_estimators", 1000),
             maxDepth=p.get("max_depth", 5),
             stepSize=p.get("learning_rate", 0.05),
             subsamplingRate=p.get("subsample", 0.8),
@@ -222,6 +222,8 @@ def fit_model(
     A linear SVM gets its probability from a logistic fit on cross-fitted
     margins, so no row calibrates the machine that saw it.
     """
+    if model_name == "XGBoost":
+        ensure_checkpoint_dir(train.sparkSession)  # rounds cut their lineage only there
     stages = []
     source = "features"
     rows = train
@@ -529,7 +531,7 @@ def model_selection(
         "LR_L1": ("LR_L1", {"C": 1.0}),
         "LinSVM_cal": ("LinSVM_cal", {"C": 1.0}),
         "RF": ("RF", {"n_estimators": 200, "max_depth": 8, "min_samples_leaf": 5}),
-        "XGBoost": ("XGBoost", {"n_estimators": 50, "max_depth": 5, "learning_rate": 0.3}),
+        "XGBoost": ("XGBoost", {"n_estimators": 200, "max_depth": 5, "learning_rate": 0.3}),
     }
     if model_name not in light:
         raise ValueError(f"unknown model {model_name!r}, one of {MODELS}")

@@ -39,6 +39,20 @@ def test_models_find_the_signal(spark, rows, model, params):
     assert auroc(scores, []).first().auroc > 0.8
 
 
+def test_default_iterations_are_the_reference_ones(spark, rows, monkeypatch):
+    assert M.classifier("LinSVM_cal").getMaxIter() == 5000
+    assert M.classifier("XGBoost").getMaxIter() == 1000
+    seen = {}
+
+    def fit(train, kind, params, **kwargs):
+        seen.update(params)
+
+    monkeypatch.setattr(M, "fit_model", fit)
+    monkeypatch.setattr(M, "coefficient_importance", lambda model, names: dict.fromkeys(names, 1.0))
+    M.model_selection(rows, NAMES, "XGBoost")
+    assert seen["n_estimators"] == 200
+
+
 def test_importance_orders_signal_first(spark, rows):
     model = M.fit_model(rows, "LR_EN", {"C": 1.0})
     coef = M.coefficient_importance(model, NAMES)
