@@ -11,18 +11,27 @@ from riskloom.llm.ann import nearest
 from riskloom.llm.common import table
 from riskloom.llm.fingerprints import fingerprint_documents
 from riskloom.llm.license_scan import scan_licenses
+from riskloom.llm.merkle import manifest
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.ngram_join import similar_groups
 from riskloom.llm.ngram_lm import score_held_out
 from riskloom.llm.packing import pack_documents
+from riskloom.llm.prefix_trie import prefix_trie
 from riskloom.llm.quality import fit_resampler, resample
 from riskloom.llm.token_counts import count_tokens
+from riskloom.llm.token_shards import write_token_shards
 from riskloom.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: crc32 of a decimal number as text, bit by bit.
+CRC32 = r"""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8 * len({0})),
+    lambda i: CASE WHEN i % 8 = 0 THEN ascii(({0})[i // 8 + 1])::BIGINT ELSE 0 END)),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"""
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -190,3 +199,114 @@ FROM groups LEFT JOIN sizes USING (doc_id)
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = similar_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    rf"""
+WITH given AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, c::VARCHAR AS s, c - (c % 20 + 20) % 20 AS b, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST,
+    substr(sha256(strlen(role)::VARCHAR || ':' || role || text), 1, 32)) AS ts FROM given GROUP BY c),
+cut AS (SELECT *, {CRC32.format("s")} % 4 AS h FROM own),
+rebuilt AS (
+  SELECT x.c, list_concat(coalesce(y.ts[1:x.h], []), x.ts[x.h + 1:]) AS ts
+  FROM cut x LEFT JOIN cut y ON y.c = x.b),
+steps AS (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS depth FROM rebuilt),
+members AS (
+  SELECT c, depth, ts[1:depth] AS path, CASE WHEN depth > 0 THEN ts[1:depth - 1] END AS up,
+    depth = len(ts) AS ends, CASE WHEN depth > 0 THEN len(regexp_extract_all(ts[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w
+  FROM steps),
+nodes AS (
+  SELECT path, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path, depth),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    (SELECT count(*) FROM nodes k WHERE k.up = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.path = n.up),
+sums AS (
+  SELECT a.path, sum((k.n_convs - 1) * k.w) AS saved, count(*) FILTER (k.n_children = 0) AS leaves
+  FROM linked k, unnest(range(0, k.depth + 1)) u(d) JOIN linked a ON a.path = k.path[1:u.d] GROUP BY a.path)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN sums USING (path)
+"""
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = write_token_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return store.lookup(docs.select("doc_id").distinct())
+
+
+def _merkle_sql() -> str:
+    """Levels are written out: eight of them hold 16 million nodes."""
+    levels = 8
+    steps = []
+
+    def tree(name: str, source: str) -> None:
+        steps.append(f"{name}0 AS ({source})")
+        for k in range(levels):
+            steps.append(
+                f"""{name}{k + 1} AS (SELECT g, pos // CASE WHEN n > 1 THEN 8 ELSE 1 END AS pos,
+  CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h,
+  count(*) OVER (PARTITION BY g) AS n FROM {name}{k} GROUP BY g, n, pos // CASE WHEN n > 1 THEN 8 ELSE 1 END)"""
+            )
+
+    def sides(name: str, g: str, pos: str, k: int) -> str:
+        run = f"FROM {name}{k} s WHERE s.g = {g} AND s.n > 1 AND s.pos // 8 = ({pos} // {8**k}) // 8"
+        return ", ".join(
+            f"coalesce((SELECT string_agg(h, '' ORDER BY pos) {run} AND s.pos {c} {pos} // {8**k}), '') AS {name}{side}{k}"
+            for side, c in (("l", "<"), ("r", ">"))
+        )
+
+    value = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')".format
+    head = " || ".join(map(value, ("doc_id", "source", "lang", "n_chars")))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tree(
+        "t",
+        "SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, h, "
+        "count(*) OVER (PARTITION BY g) AS n, doc_id, changed FROM leaves",
+    )
+    tree(
+        "u",
+        f"SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS n, g AS lang FROM t{levels}",
+    )
+    names = [f"{n}{{}}{k}" for n in "tu" for k in range(levels)]
+    proof = " || ".join(x.format(s) for x in names for s in "lr")
+    chain = []
+    previous = "whole"
+    for k, x in enumerate(names):
+        size = "tn" if k < levels else "un"
+        chain.append(
+            f"f{k} AS (SELECT * REPLACE (CASE WHEN {size} > {8 ** (k % levels)} "
+            f"THEN sha256({x.format('l')} || cur || {x.format('r')}) ELSE cur END AS cur) FROM {previous})"
+        )
+        previous = f"f{k}"
+    lefts = ",\n  ".join([sides("t", "b.g", "b.pos", k) for k in range(levels)] + [sides("u", "0", "u.pos", k) for k in range(levels)])
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256({head} || {value("text")}) AS h,
+    CASE WHEN {CRC32.format("(doc_id::VARCHAR)")} % 3 = 0 THEN sha256({head} || {value(low)}) END AS changed
+  FROM documents),
+{",".join(steps)},
+whole AS (
+  SELECT b.doc_id, b.h AS leaf, u.h AS subroot, (SELECT h FROM u{levels}) AS root, coalesce(b.changed, b.h) AS cur,
+    b.n AS tn, u.n AS un,
+  {lefts}
+  FROM t0 b JOIN u0 u ON u.lang = b.g),
+{",".join(chain)}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM {previous}
+"""
+
+
+@query(_merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
