@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import bounded_batches
+from riskloom.llm.packing import byte_letters
 from riskloom.session import ensure_checkpoint_dir
 
 MAGIC = b"IDSHARD1"
@@ -39,25 +40,87 @@ SPREAD = 2
 #: Keys that so many levels leave colliding are listed in full.
 LEVELS = 48
 #: Words kept with their ids, in bytes of both, and the longest of them.
-CACHE_BYTES, CACHE_WORD = 64 << 20, 48
+CACHE_BYTES, CACHE_WORD = 128 << 20, 48
 WINDOW = 4 << 20
 
 
 # --- words to ids -----------------------------------------------------------------
 
 
+class QuickWords:
+    """A word vocabulary as a table of ranks, for runs of letters below U+0100.
+
+    There composing changes nothing and every letter has one lower case. The mark that
+    ends a word becomes a byte of its own, which joins the byte before it first of all;
+    the other merges keep their order. Tests hold the ids against the file's own library,
+    which encodes all other runs.
+    """
+
+    #: Fixed value: the pieces that the vocabulary merges within.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    END = "\x01"
+
+    def __init__(self, spec: dict, width: int):
+        import regex
+        from tiktoken import Encoding
+
+        model, byte = spec["model"], {c: b for b, c in enumerate(byte_letters())}
+        suffix, end = model["end_of_word_suffix"], self.END.encode()
+
+        def plain(token: str) -> bytes:
+            ends = token.endswith(suffix)
+            return bytes(byte[c] for c in token.removesuffix(suffix)) + end * ends
+
+        single = [t for b, t in enumerate(byte_letters()) if b != end[0]]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ordered = [*single, *(t + suffix for t in single), *merged]
+        self.ids = [model["vocab"][t].to_bytes(width, "little") for t in ordered]
+        self.ids.append(b"")  # the mark alone, which never stays alone
+        ranks = {plain(t): i for i, t in enumerate(ordered)}
+        ranks.setdefault(end, len(ordered))
+        self.encoding = Encoding("word_ends", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+        self.mark = regex.compile(self.PIECES)
+        self.unlike = regex.compile(r"[^\x02-\xff]|<\|")
+
+    @classmethod
+    def of(cls, spec: dict, width: int) -> QuickWords | None:
+        model, steps = spec["model"], (spec["normalizer"] or {}).get("normalizers", [])
+        pieces = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        fits = (
+            model["type"] == "BPE"
+            and model["end_of_word_suffix"]
+            and not (model["dropout"] or model["unk_token"] or model["ignore_merges"] or model["byte_fallback"])
+            and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+            and [p.get("type") for p in pieces] == ["Split", "ByteLevel"]
+            and pieces[0]["pattern"].get("Regex") == cls.PIECES
+            and pieces[0]["invert"]
+            and not (pieces[1]["add_prefix_space"] or pieces[1]["use_regex"])
+            and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        )
+        return cls(spec, width) if fits else None
+
+    def __call__(self, run: str) -> bytes | None:
+        """Ids of a run, or None if it is not of these letters."""
+        if self.unlike.search(run):
+            return None
+        marked = "".join([p + self.END for p in self.mark.findall(run.lower())])
+        return b"".join([self.ids[i] for i in self.encoding.encode_ordinary(marked)])
+
+
 class WordIds(dict):
     """Ids of runs between blanks as bytes of ``kind``; short runs are kept, up to CACHE_BYTES.
 
     The vocabulary's own pieces never cross a blank, so runs can be encoded one by one.
     """
 
-    def __init__(self, library, kind: str):
+    def __init__(self, library, kind: str, quick: QuickWords | None = None):
         super().__init__()
-        self.library, self.kind, self.held = library, kind, 0
+        self.library, self.kind, self.quick, self.held = library, kind, quick, 0
 
     def __missing__(self, word: str) -> bytes:
-        found = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        found = self.quick(word) if self.quick and len(word) <= CACHE_WORD else None
+        if found is None:
+            found = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         if len(word) <= CACHE_WORD:
             if self.held > CACHE_BYTES:
                 self.clear()
@@ -79,7 +142,6 @@ class Encoder:
             spec = json.load(f)
         library = Tokenizer.from_file(path)
         self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [spec["pre_tokenizer"] or {}]
         first = steps[0]
         # Only what the pattern matches is kept, and no match of this one holds a blank.
@@ -87,14 +149,15 @@ class Encoder:
             first.get("type") == "Split"
             and first.get("behavior") == "Removed"
             and bool(first.get("invert"))
-            and first["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
+            and first["pattern"].get("Regex") == QuickWords.PIECES
             and not any(t["lstrip"] or t["rstrip"] or set(t["content"]) & {" ", "\n"} for t in spec["added_tokens"])
         )
-        self.words = WordIds(library, self.kind)
+        self.words = WordIds(library, f"<u{self.width}", QuickWords.of(spec, self.width))
 
     def ids(self, text: str) -> bytes:
         if not self.drops_blanks:
-            return np.array(self.words.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            found = self.words.library.encode(text, add_special_tokens=False).ids
+            return np.array(found, self.words.kind).tobytes()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
