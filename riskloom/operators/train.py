@@ -7,13 +7,13 @@ folds, candidates and panel sizes, never over rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import random
-import re
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel, keyword_only
@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import curves as C
+from riskloom.operators import linear_cv
 from riskloom.operators import screen as S
 from riskloom.operators.calibrate import OOFCalibrator, positive_probability
 from riskloom.operators.discrimination import discrimination_aggregates, brier_of_counts
+from riskloom.operators.fits import MAX_FEATURES, Fit, fit_many, moments, pack
 from riskloom.operators.panels import importance_selection
 from riskloom.operators.prepare import melt_array
 from riskloom.operators.splits import even_fractions, fold_column, hash_ranked, training_prefix
@@ -44,6 +46,8 @@ from riskloom.session import checkpointed, ensure_checkpoint_dir
 
 MODELS = ("LR_EN", "LR_L1", "LinSVM_cal", "RF", "XGBoost")
 MAX_TREE_DEPTH = 30
+#: Rows that one task of a tree fit reads at least.
+TREE_TASK_ROWS = 10_000
 
 # Default search grids per model.
 LR_C = (1e-4, 100.0, 7)
@@ -126,9 +130,9 @@ def class_weight(df: DataFrame, y_col: str = "y") -> float:
 
 
 def with_class_weights(
-    df: DataFrame, mode: str | None = "balanced", y_col: str = "y", out_col: str = "weight"
+    df: DataFrame, mode: str | Mapping | None = "balanced", y_col: str = "y", out_col: str = "weight"
 ) -> DataFrame:
-    """Weights per row: n / (2 · class size), neg/pos for cases only, or one."""
+    """Weights per row: n / (2 · class size), neg/pos for cases only, given ones, or one."""
     if mode is None or mode == "none":
         return df.withColumn(out_col, F.lit(1.0))
     row = df.agg(F.count_if(F.col(y_col) == 1).alias("p"), F.count_if(F.col(y_col) != 1).alias("n")).first()
@@ -137,6 +141,8 @@ def with_class_weights(
         case, control = (p + n) / (2.0 * p), (p + n) / (2.0 * n)
     elif mode == "scale_pos":
         case, control = max(1.0, n / p), 1.0
+    elif isinstance(mode, Mapping):
+        case, control = float(mode.get(1, 1.0)), float(mode.get(0, 1.0))
     else:
         raise ValueError(f"unknown class weight mode: {mode}")
     return df.withColumn(out_col, F.when(F.col(y_col) == 1, case).otherwise(control))
@@ -235,8 +241,14 @@ def fit_model(
             StandardScaler(inputCol=source, outputCol="scaled", withMean=True, withStd=True)
         )
         source = "scaled"
-    n = train.count() if model_name in ("LR_EN", "LR_L1", "LinSVM_cal") else 1
+    n = train.count()
     estimator = classifier(model_name, params, n, seed).setFeaturesCol(source)
+    if model_name in ("RF", "XGBoost"):
+        # Trees read the rows once a level: few rows in many tasks cost only waiting.
+        rows = train.coalesce(max(1, n // TREE_TASK_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+        fitted = Pipeline(stages=[*stages, estimator]).fit(rows)
+        rows.unpersist()
+        return fitted
     if model_name != "LinSVM_cal":
         return Pipeline(stages=[*stages, estimator]).fit(rows)
     base = Pipeline(stages=[*stages, estimator])
@@ -342,11 +354,22 @@ def search(
     scoring: str = "roc_auc",
     seed: int = 42,
     parallelism: int = 4,
+    indices: Sequence[int] | None = None,
 ) -> tuple[dict, float, list[float]]:
-    """Best of the candidate parameters by inner cross-validation.
+    """Best of the candidate parameters by inner cross-validation on the features ``indices``.
 
-    Returns the choice, its mean score and all mean scores.
+    Returns the choice, its mean score and all mean scores. Logistic models are fitted
+    for all folds and candidates together and may search ``k`` and ``class_weight``.
     """
+    if linear_cv.batched(train, model_name):
+        metric = {"v": linear_cv.METRICS[scoring]()}
+        found = linear_cv.candidate_scores(train, model_name, choices, inner_folds, metric, seed, indices)["v"]
+        place = linear_cv.best_of(found)
+        scores = [float("nan") if s is None else float(s) for s in found]
+        return dict(choices[place]), scores[place], scores
+    if indices is not None:
+        sliced = VectorSlicer(inputCol="features", outputCol="part", indices=sorted(indices)).transform(train)
+        train = sliced.drop("features").withColumnRenamed("part", "features")
     n = train.count()
     estimator = classifier(model_name, None, n, seed).setFeaturesCol("scaled")
     if model_name == "LinSVM_cal":
@@ -393,6 +416,14 @@ def two_objective_scores(
     All held-out scores go into one table, so both metrics of all trials and
     folds come from a single grouped job.
     """
+    listed = [(k, {n: str(v) for n, v in c.items()}) for k, c in enumerate(choices)]
+    if linear_cv.batched(train, model_name):
+        metrics = {"auroc": C.auroc_of_roc(), "brier": brier_of_counts()}
+        found = linear_cv.candidate_scores(train, model_name, choices, n_folds, metrics, seed)
+        rows = [(k, found["auroc"][k], found["brier"][k], params) for k, params in listed]
+        return train.sparkSession.createDataFrame(
+            rows, "trial int, auroc double, brier double, params map<string,string>"
+        )
     folds = fold_column(train, n_folds, 1, seed).select("id", "fold")
     rows = train.join(folds, "id").persist(StorageLevel.MEMORY_AND_DISK)
     scored = None
@@ -412,7 +443,6 @@ def two_objective_scores(
     means = per_fold.groupBy("trial").agg(
         F.avg("auroc").alias("auroc"), F.avg("brier").alias("brier")
     )
-    listed = [(k, {n: str(v) for n, v in c.items()}) for k, c in enumerate(choices)]
     params = train.sparkSession.createDataFrame(listed, "trial int, params map<string,string>")
     return means.join(params, "trial")
 
@@ -512,6 +542,16 @@ def importance(
     return {r["feature"]: float(r["v"] or 0.0) for r in rows}
 
 
+def hinge_weights(train: DataFrame, names: Sequence[str], c: float = 1.0) -> dict[str, float]:
+    """Absolute coefficients of a linear machine: |β|₁ + C · Σ weight · max(0, 1 - margin)²."""
+    blocks = pack(train.drop("fold", "repeat").withColumn("member", F.array(F.lit(0))), 1)
+    sums = moments(blocks)
+    penalty = 1.0 / (c * max(float(sums.weights.sum()), 1e-300))
+    fitted = fit_many(blocks, sums, [Fit(penalty=penalty, ratio=1.0)], loss="squared_hinge")
+    blocks.release()
+    return {n: abs(float(v)) for n, v in zip(names, fitted.standardised[0], strict=False)}
+
+
 def model_selection(
     train: DataFrame,
     names: Sequence[str],
@@ -536,8 +576,10 @@ def model_selection(
     if model_name not in light:
         raise ValueError(f"unknown model {model_name!r}, one of {MODELS}")
     kind, params = light[model_name]
-    model = fit_model(train, kind, params, seed=seed)
-    values = coefficient_importance(model, names)
+    if kind == "LinSVM_cal" and len(names) <= MAX_FEATURES:
+        values = hinge_weights(train, names, params["C"])
+    else:
+        values = coefficient_importance(fit_model(train, kind, params, seed=seed), names)
     ordered = sorted(values.items(), key=lambda e: (-e[1], e[0]))
     if threshold == "median":
         level = float(np.median(list(values.values())))
@@ -578,9 +620,21 @@ class FeatureStrategy:
 
 
 def fold_features(
-    train: DataFrame, names: Sequence[str], model_name: str, strategy: FeatureStrategy, seed: int = 42
+    train: DataFrame,
+    names: Sequence[str],
+    model_name: str,
+    strategy: FeatureStrategy,
+    seed: int = 42,
+    columns: Sequence[str] | None = None,
 ) -> list[str]:
-    """Names kept by screening, then k best, then the model selector; or a fixed panel."""
+    """Names kept by screening, then k best, then the model selector; or a fixed panel.
+
+    ``columns`` names the vector's features where ``names`` are only some of them.
+    """
+    if columns is not None and list(columns) != list(names):
+        at = {n: i for i, n in enumerate(columns)}
+        part = VectorSlicer(inputCol="features", outputCol="part", indices=[at[n] for n in names])
+        train = part.transform(train).drop("features").withColumnRenamed("part", "features")
     if strategy.fixed_panel:
         missing = sorted(set(strategy.fixed_panel) - set(names))
         if missing:
@@ -644,7 +698,7 @@ class NestedCV:
     selection_log: DataFrame
     param_log: DataFrame
     calibrator: OOFCalibrator | None = None
-    folds: list = field(default_factory=list)
+    coefficients: DataFrame | None = None
 
 
 def nested_cv(
@@ -665,9 +719,18 @@ def nested_cv(
 
     ``calibration``: ``none``, ``per_fold`` (a map fitted on cross-fitted inner
     scores) or ``oof_posthoc`` (one map fitted on all out-of-fold rows).
+
+    Logistic models take the k best features (``strategy.k_best`` or a candidate's own
+    ``k``) inside every inner training set, and all their fits share the passes over
+    the rows; ``coefficients`` then has a row per outer split and feature taken.
     """
     spark = df.sparkSession
     strategy = strategy or FeatureStrategy()
+    if linear_cv.batched(df, model_name):
+        return _nested_linear(
+            df, names, model_name, folds, repeats, inner_folds, choices, strategy, calibration,
+            calibration_method, scoring, seed,
+        )
     assigned = fold_column(df, folds, repeats, seed).select("id", "repeat", "fold")
     rows = df.persist(StorageLevel.MEMORY_AND_DISK)
     assigned = checkpointed(assigned)
@@ -718,6 +781,52 @@ def nested_cv(
     )
 
 
+def _nested_linear(
+    df, names, model_name, folds, repeats, inner_folds, choices, strategy, calibration, method, scoring, seed
+) -> NestedCV:
+    spark = df.sparkSession
+    base = None
+    if strategy.fixed_panel or strategy.model_selector or strategy.screen_top_n > 0:
+
+        def base(train: DataFrame) -> list[str]:
+            return fold_features(train, names, model_name, strategy, seed)
+
+    k = None if strategy.fixed_panel else strategy.k_best
+    found = linear_cv.nested(
+        df, names, model_name, folds, repeats, inner_folds, choices, k, base, scoring, seed
+    )
+    oof, calibrator = found["oof"], None
+    if calibration == "per_fold":
+        parts = []
+        for o in range(folds * repeats):
+            one = OOFCalibrator(method).fit(found["inner"].where(F.col("column") == o))
+            mine = (F.col("repeat") == o // folds) & (F.col("fold") == o % folds)
+            parts.append(one.transform(oof.where(mine)))
+        oof = checkpointed(functools.reduce(DataFrame.unionByName, parts))
+    elif calibration == "oof_posthoc":
+        calibrator = OOFCalibrator(method).fit(oof)
+    numbered = [(model_name, o // folds, o) for o in range(folds * repeats)]
+    used = [(*key, sorted(f)) for key, f in zip(numbered, found["features"], strict=True)]
+    params = [
+        (*key, score, {n: str(v) for n, v in choice.items()})
+        for key, score, choice in zip(numbered, found["scores"], found["choices"], strict=True)
+    ]
+    position = {n: i for i, n in enumerate(names)}
+    weights = [
+        (*key, n, float(row[position[n]]))
+        for key, row, chosen in zip(numbered, found["coefficients"], found["features"], strict=True)
+        for n in chosen
+    ]
+    keys = "model string, repeat int, outer_split int, "
+    return NestedCV(
+        oof=oof.select("id", "y_true", "repeat", "fold", "y_prob"),
+        selection_log=spark.createDataFrame(used, keys + "features array<string>"),
+        param_log=spark.createDataFrame(params, keys + "best_score double, params map<string,string>"),
+        calibrator=calibrator,
+        coefficients=spark.createDataFrame(weights, keys + "feature string, coefficient double"),
+    )
+
+
 def cross_fitted(
     df: DataFrame,
     model_name: str,
@@ -727,6 +836,8 @@ def cross_fitted(
     seed: int = 42,
 ) -> DataFrame:
     """(id, y_true, y_prob) with every row scored by a model that did not see it."""
+    if linear_cv.batched(df, model_name):
+        return linear_cv.cross_fitted(df, model_name, params or {}, indices, n_folds, seed)
     base = df.drop("fold", "repeat")
     folds = fold_column(base, n_folds, 1, seed).select("id", "fold")
     rows = base.join(folds, "id").persist(StorageLevel.MEMORY_AND_DISK)
@@ -760,15 +871,6 @@ def evaluation_sizes(largest: int, smallest: int, strategy: str = "geometric") -
     return sorted(sizes, reverse=True)
 
 
-def elimination_step(strategy: str, n_features: int) -> int:
-    """Features to drop per round of cross-validated elimination."""
-    if strategy == "linear":
-        return 1
-    # A number is taken at its word; any other name means a tenth of what is left.
-    fixed = re.fullmatch(r"\s*[+-]?\d+\s*", strategy)
-    return max(1, int(strategy) if fixed else n_features // 10)
-
-
 def _metrics(scores: DataFrame, suffix: str) -> dict:
     roc = C.roc_table(scores, [])
     row = roc.agg(*discrimination_aggregates(include_youden=False), brier_of_counts().alias("b")).first()
@@ -811,11 +913,25 @@ def recursive_elimination(
     from riskloom.operators.resample import bootstrap_sd
 
     spark = train.sparkSession
+    sizes = evaluation_sizes(len(start), min_size, step_strategy)
+    if linear_cv.batched(train, model_name):
+        measured, gone = linear_cv.elimination_curve(
+            train, validation, names, start, model_name, params or {}, sizes, cv_folds, n_boot, seed
+        )
+        points, best = [], 0.0
+        for point in measured:
+            points.append({"auroc_cv_std": 0.0, **point})
+            best = max(best, point["auroc_val"] or 0.0)
+            if (point["auroc_val"] or 0.0) < best * min_auroc_frac:
+                break
+        gone = gone[: len(start) - points[-1]["size"]]
+        removed = [(model_name, n, i) for i, n in enumerate(gone)]
+        return _elimination(spark, model_name, points, removed, best)
     position = {n: i for i, n in enumerate(names)}
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     current, removed, points, best = list(start), [], [], 0.0
-    for size in evaluation_sizes(len(current), min_size, step_strategy):
+    for size in sizes:
         while len(current) > max(size, min_size):
             ordered = sorted(current, key=position.__getitem__)
             model = fit_model(train, model_name, params, [position[n] for n in ordered], seed=seed)
@@ -847,6 +963,10 @@ def recursive_elimination(
             break
     train.unpersist()
     validation.unpersist()
+    return _elimination(spark, model_name, points, removed, best)
+
+
+def _elimination(spark, model_name, points, removed, best) -> Elimination:
     fields = [
         f"{m}_{s}" for s in ("cv", "val") for m in ("auroc", "prauc", "brier", "sens95")
     ]
@@ -908,6 +1028,21 @@ def cross_validated_elimination(
     job. Equal means go to the smaller size. Returns the chosen features, mean
     score per size, the ranking (1 = chosen) and the validation AUROC.
     """
+    if linear_cv.batched(train, model_name):
+        found = linear_cv.eliminated(
+            train, validation, names, start, model_name, params or {}, min_features, step, cv_folds, seed
+        )
+        sizes = [len(s) for s in found["sets"]]
+        at = max(range(len(sizes)), key=lambda i: (found["scores"][sizes[i]] or 0.0, -sizes[i]))
+        ranking = {n: at + 2 - max(i for i in range(at + 1) if n in found["sets"][i]) - 1 for n in start}
+        return {
+            "fold": fold,
+            "features": sorted(found["sets"][at]),
+            "optimal_size": sizes[at],
+            "cv_scores": found["scores"],
+            "ranking": ranking,
+            "val_auroc": found["validation"][at],
+        }
     position = {n: i for i, n in enumerate(names)}
     folds = fold_column(train.drop("fold", "repeat"), cv_folds, 1, seed).select("id", "fold")
     rows = train.drop("fold", "repeat").join(folds, "id").persist(StorageLevel.MEMORY_AND_DISK)

@@ -149,6 +149,8 @@ def train_model(
     )
     catalog.write("selection_log", nested.selection_log.drop("model").withColumns(key), keys)
     catalog.write("param_log", nested.param_log.drop("model").withColumns(key), keys)
+    if nested.coefficients is not None:
+        catalog.write("coefficient_log", nested.coefficients.drop("model").withColumns(key), keys)
     category = frame.select("id", F.col("target").alias("category"))
     catalog.write("oof", nested.oof.join(category, "id").withColumns(key), keys)
     catalog.append_cv_metrics(cv_repeat_metrics(nested.oof.withColumns(key), keys))
@@ -157,8 +159,16 @@ def train_model(
     position = {n: i for i, n in enumerate(names)}
     params = config.params.get(model, {})
     if config.choices.get(model):
-        params, _, _ = M.search(frame, model, config.choices[model], config.inner_folds, seed=seed)
-    fitted = M.fit_model(frame, model, params, [position[n] for n in chosen], seed=seed)
+        params, _, _ = M.search(
+            frame, model, config.choices[model], config.inner_folds, seed=seed,
+            indices=[position[n] for n in chosen],
+        )
+    if params.get("k"):
+        chosen = M.fold_features(frame, chosen, model, M.FeatureStrategy(k_best=params["k"]), seed, names)
+    weighted = frame
+    if "class_weight" in params:
+        weighted = M.with_class_weights(frame, params["class_weight"])
+    fitted = M.fit_model(weighted, model, params, [position[n] for n in chosen], seed=seed)
     prevalence = frame.agg(F.avg("y")).first()[0]
     target_prevalence = config.target_prevalence or prevalence
     scored = None

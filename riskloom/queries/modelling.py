@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import calibrate, stacking as K, train as M
+from riskloom.operators import calibrate, fits as B, stacking as K, train as M
 from riskloom.operators.splits import fold_column
 from riskloom.plans import evaluate as E
 from riskloom.queries.metrics import AP, AUROC, SENS95, YOUDEN
@@ -136,6 +136,29 @@ def _nested(t: Tables):
     return out.oof
 
 
+@query("k_best_per_training_set", """WITH v AS (SELECT vec_id % 3 AS fold, label < 2 AS y,
+  UNNEST(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+h(held_out) AS (VALUES (0), (1), (2)),
+m AS (SELECT held_out, j, COUNT(*) FILTER (y) AS n1, COUNT(*) FILTER (NOT y) AS n0,
+  AVG(x) FILTER (y) - AVG(x) FILTER (NOT y) AS gap,
+  COALESCE(VAR_POP(x) FILTER (y) * COUNT(*) FILTER (y), 0)
+    + COALESCE(VAR_POP(x) FILTER (NOT y) * COUNT(*) FILTER (NOT y), 0) AS ss
+  FROM v JOIN h ON fold <> held_out GROUP BY held_out, j),
+f AS (SELECT held_out, j, n1 * n0 / (n1 + n0) * gap ** 2 / (ss / (n1 + n0 - 2)) AS f FROM m)
+SELECT held_out::INT AS held_out, 'f' || lpad(j::VARCHAR, 4, '0') AS feature, ROUND(f, 6) AS f_score FROM f
+QUALIFY ROW_NUMBER() OVER (PARTITION BY held_out ORDER BY f DESC, j) <= 16""")
+def _k_best_per_training_set(t: Tables):
+    rows = _train(t).withColumn("member", F.array(F.pmod("id", F.lit(3)).cast("int")))
+    blocks = B.pack(rows, 3)
+    sums = B.moments(blocks)
+    blocks.release()
+    out = []
+    for g in range(3):
+        scores = sums.f_scores(B.Fit(0, g))
+        out += [(g, NAMES[j], float(scores[j])) for j in sums.best(B.Fit(0, g), 16)]
+    return rounded(t.spark.createDataFrame(out, "held_out int, feature string, f_score double"), 6)
+
+
 @query("recursive_elimination_curve")
 def _elimination(t: Tables):
     train, val = _halves(t)

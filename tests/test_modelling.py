@@ -82,7 +82,6 @@ def test_sizes_grids_and_candidates(spark, rows):
     assert M.evaluation_sizes(100, 5, "fine") == [100, 75, 50, 37, 25, 18, 12, 9, 6, 5]
     assert M.evaluation_sizes(8, 5, "linear") == [8, 7, 6, 5]
     assert M.evaluation_sizes(4, 5) == [4]
-    assert M.elimination_step("adaptive", 57) == 5 and M.elimination_step("3", 57) == 3
     grid = M.parameter_grid("LR_EN")
     assert len(grid["C"]) == 7 and grid["C"][0] == pytest.approx(1e-4)
     assert len(M.candidates(grid)) == 21
