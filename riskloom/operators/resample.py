@@ -3,8 +3,8 @@
 Drawing n rows with replacement is a multinomial draw over distinct scores. It
 is done in two exact steps: first how many draws fall into each hash cell of a
 group (one small row per replicate), then, cell by cell, how they spread over
-the scores inside. Rows are counted first; a count row is read once for every 25
-replicates, and no group meets in one task.
+the scores inside. Rows are counted first and no group meets in one task. Where
+a metric is a sum over ordered scores, a cell gives one row of sums per replicate.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.joins import join_on_keys
-from riskloom.functions.ordered import exact_quantiles
+from riskloom.functions.ordered import CELL, exact_quantiles, probability_cell
 from riskloom.functions.prob import finite, safe_div
 from riskloom.functions.tails import (
     ks_p,
@@ -162,6 +163,185 @@ def resampled_counts(
     )
 
 
+# --- metrics of replicates from partial sums --------------------------------------
+
+#: Coarse cells of a group's ordered scores, and replicates that are drawn at once.
+ORDERED_CELLS = 128
+REPS_AT_ONCE = 50
+PARTIALS = "n_pos bigint, n_neg bigint, won double, precision double, youden double"
+
+
+def with_ordered_cells(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Add ``__c``: cells in ascending score order that hold about equally many scores.
+
+    The fixed fine cells of probabilities are counted and neighbours put together,
+    so a running sum of at most 4,096 rows per group is all that is ordered.
+    """
+    groups = list(group_cols)
+    fine = counts.withColumn(CELL, probability_cell(F.col("score")))
+    sizes = fine.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"))
+    whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    before = whole.orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)
+    share = F.coalesce(F.sum("__n").over(before), F.lit(0)) * ORDERED_CELLS / F.sum("__n").over(whole)
+    return join_on_keys(fine, sizes.select(*groups, CELL, F.floor(share).cast("int").alias("__c")), [*groups, CELL]).drop(CELL)
+
+
+def _ordered_draws(stratified: bool):
+    """Vectorised: a replicate's draws per cell and class, and those in higher cells."""
+
+    def run(pos: pd.Series, neg: pd.Series, seeds: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, n, s in zip(pos, neg, seeds, strict=True):
+            p, n = np.asarray(p, dtype=np.int64), np.asarray(n, dtype=np.int64)
+            rng = _generator(s)
+            if stratified:
+                a = rng.multinomial(p.sum(), p / p.sum()) if p.sum() else p
+                b = rng.multinomial(n.sum(), n / n.sum()) if n.sum() else n
+            else:
+                both = np.concatenate([p, n])
+                drawn = rng.multinomial(both.sum(), both / both.sum())
+                a, b = drawn[: len(p)], drawn[len(p) :]
+            above = [x.sum() - np.cumsum(x) for x in (a, b)]
+            out.append((a.tolist(), b.tolist(), above[0].tolist(), above[1].tolist()))
+        return pd.DataFrame(out, columns=["pos", "neg", "tp", "fp"])
+
+    return F.pandas_udf(
+        run, "pos array<bigint>, neg array<bigint>, tp array<bigint>, fp array<bigint>"
+    )
+
+
+def drawn_counts(rng: np.random.Generator, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How ``n`` draws with replacement (one row each) fall on keys of the given sizes.
+
+    Few draws a key are drawn one by one, many draws a key by their counts: the
+    distribution is the same, the cost that of the cheaper way.
+    """
+    keys, total = len(sizes), int(sizes.sum())
+    if not total:
+        return np.zeros((len(n), keys), np.int64)
+    if total > 4 * keys:
+        return rng.multinomial(n, sizes / total)
+    key_of = np.repeat(np.arange(keys), sizes)
+    row = np.repeat(np.arange(len(n)), n) * keys
+    return np.bincount(row + key_of[rng.integers(0, total, len(row))], minlength=len(n) * keys).reshape(-1, keys)
+
+
+def _cell_partials(groups: list[str]):
+    """Grouped: draw all replicates of one cell and sum up what the metrics need of it."""
+    columns = [*groups, "rep", "n_pos", "n_neg", "won", "precision", "youden"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        left = left.sort_values("score", ascending=False)
+        right = right.sort_values("rep")
+        k = {c: left[c].to_numpy().astype(np.int64) for c in ("pos", "neg")}
+        cell_seed, parts = int(right["seed"].iloc[0]), []
+        for at in range(0, len(right), REPS_AT_ONCE):
+            part = right.iloc[at : at + REPS_AT_ONCE]
+            rng = _generator(cell_seed, at)
+            a, b = (drawn_counts(rng, part[f"d_{c}"].to_numpy(), v) for c, v in k.items())
+            n_pos, n_neg = (part[c].to_numpy()[:, None] for c in ("n_pos", "n_neg"))
+            # Rows run from the highest score down; the offsets are what higher cells drew.
+            tp = part["tp"].to_numpy()[:, None] + np.cumsum(a, axis=1)
+            fp = part["fp"].to_numpy()[:, None] + np.cumsum(b, axis=1)
+            there = a + b > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                precision = np.where(a > 0, a * (tp / (tp + fp)), 0.0)
+                gap = np.where(there, tp / n_pos - fp / n_neg, -np.inf)
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "rep": part["rep"].to_numpy(),
+                        "n_pos": n_pos[:, 0],
+                        "n_neg": n_neg[:, 0],
+                        "won": (a * (n_neg - fp + b / 2)).sum(1),
+                        "precision": precision.sum(1),
+                        "youden": gap.max(1),
+                    }
+                )
+            )
+        out = pd.concat(parts, ignore_index=True)
+        for g in groups:
+            out[g] = left[g].iloc[0]
+        return out[columns]
+
+    return run
+
+
+def replicate_metrics(
+    counts: DataFrame,
+    group_cols: Sequence[str],
+    n_boot: int,
+    seed: int = 0,
+    stratified: bool = True,
+) -> DataFrame:
+    """(group…, rep, auroc, prauc, youden) of bootstrap samples of ``score_counts`` rows.
+
+    Draws go to ordered cells first, so every cell knows what lies above it before its
+    own scores are drawn: each (replicate, cell) then gives one row of sums, whatever
+    the number of scores. Metrics are null for samples of one class.
+    """
+    groups = list(group_cols)
+    cells = checkpointed(
+        with_ordered_cells(counts.where((F.col("pos") > 0) | (F.col("neg") > 0)), groups)
+    )
+    per_cell = cells.groupBy(*groups, "__c").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # At most ORDERED_CELLS entries per group.
+    packed = per_cell.groupBy(*groups).agg(
+        F.array_sort(F.collect_list(F.struct("__c", "pos", "neg"))).alias("__cells")
+    )
+    reps = packed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    reps = reps.repartition(*groups, "rep")
+    drawn = reps.select(
+        *groups,
+        "rep",
+        F.transform("__cells", lambda c: c["__c"]).alias("c"),
+        _ordered_draws(stratified)(
+            F.transform("__cells", lambda c: c["pos"]),
+            F.transform("__cells", lambda c: c["neg"]),
+            F.xxhash64(F.lit(seed), *groups, F.col("rep")),
+        ).alias("d"),
+    )
+
+    def total(name: str) -> Column:
+        return F.aggregate(F.col(f"d.{name}"), F.lit(0).cast("bigint"), lambda s, v: s + v)
+
+    entries = F.arrays_zip(
+        F.col("c"), F.col("d.pos").alias("p"), F.col("d.neg").alias("n"), F.col("d.tp").alias("tp"), F.col("d.fp").alias("fp")
+    )
+    right = drawn.select(
+        *groups, "rep", total("pos").alias("n_pos"), total("neg").alias("n_neg"), F.explode(entries).alias("e")
+    ).select(
+        *groups,
+        "rep",
+        "n_pos",
+        "n_neg",
+        F.col("e.c").alias("__c"),
+        F.col("e.p").alias("d_pos"),
+        F.col("e.n").alias("d_neg"),
+        F.col("e.tp").alias("tp"),
+        F.col("e.fp").alias("fp"),
+        F.xxhash64(F.lit(seed + 1), *groups, F.col("e.c")).alias("seed"),
+    ).where((F.col("d_pos") > 0) | (F.col("d_neg") > 0))
+    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join([*(f"`{g}` {kind[g]}" for g in groups), "rep int", PARTIALS])
+    at = [*groups, "__c"]
+    partials = (
+        cells.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_cell_partials(groups), schema)
+    )
+    p, n = F.max("n_pos").cast("double"), F.max("n_neg").cast("double")
+
+    def both(value: Column) -> Column:
+        return F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), value)
+
+    return partials.groupBy(*groups, "rep").agg(
+        both(F.sum("won") / (p * n)).alias("auroc"),
+        both(F.sum("precision") / p).alias("prauc"),
+        both(F.greatest(F.max("youden"), F.lit(0.0))).alias("youden"),
+    )
+
+
 def interval_of_replicates(
     values: DataFrame,
     group_cols: Sequence[str],
@@ -199,12 +379,19 @@ def bootstrap_replicates(
 
     ``metric`` names one of ``METRICS`` or is any aggregate over ROC rows.
     """
+    return _replicates_of_counts(
+        C.score_counts(df, list(group_cols), **cols), group_cols, metric, n_boot, seed, stratified
+    )
+
+
+def _replicates_of_counts(counts, group_cols, metric, n_boot, seed, stratified=True) -> DataFrame:
     groups = list(group_cols)
-    counts = C.score_counts(df, groups, **cols)
+    if isinstance(metric, str):
+        values = replicate_metrics(counts, groups, n_boot, seed, stratified)
+        return values.select(*groups, "rep", F.col(metric).alias("value"))
     sampled = resampled_counts(counts, groups, ["score"], n_boot, seed, stratified)
     roc = C.roc_from_counts(sampled, [*groups, "rep"])
-    value = METRICS[metric]() if isinstance(metric, str) else metric
-    return roc.groupBy(*groups, "rep").agg(C.only_two_class(value).alias("value"))
+    return roc.groupBy(*groups, "rep").agg(C.only_two_class(metric).alias("value"))
 
 
 def stratified_bootstrap_ci(
@@ -221,9 +408,9 @@ def stratified_bootstrap_ci(
     Groups with fewer than two cases or two controls get no interval.
     """
     groups = list(group_cols)
-    counts = C.score_counts(df, groups, **cols)
+    counts = checkpointed(C.score_counts(df, groups, **cols))
     sizes = counts.groupBy(*groups).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    values = bootstrap_replicates(df, groups, metric, n_boot, seed, **cols)
+    values = _replicates_of_counts(counts, groups, metric, n_boot, seed)
     out = interval_of_replicates(values, groups, n_boot, min_valid_frac)
     enough = (F.col("__p") >= 2) & (F.col("__n") >= 2)
     return (
@@ -303,14 +490,7 @@ def test_set_intervals(
         sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_rows"))
         rows = join_on_keys(df, sizes.where(F.col("n_rows") < max_rows), groups)
     counts = C.score_counts(rows, groups, **cols)
-    sampled = resampled_counts(counts, groups, ["score"], n_boot, seed)
-    roc = C.roc_from_counts(sampled, [*groups, "rep"])
-    values = checkpointed(
-        roc.groupBy(*groups, "rep").agg(
-            C.only_two_class(C.auroc_of_roc()).alias("auroc"),
-            C.only_two_class(C.average_precision_of_roc()).alias("prauc"),
-        )
-    )
+    values = checkpointed(replicate_metrics(counts, groups, n_boot, seed))
     out = None
     for name in ("auroc", "prauc"):
         part = interval_of_replicates(values, groups, n_boot, value_col=name).withColumn(

@@ -152,6 +152,69 @@ def test_knee_and_sizes(spark):
     assert got == {0.95: 25, 0.9: 25, 0.85: 25 if 0.95 * 0.85 > 0.80 else 10}
 
 
+@pytest.mark.parametrize("sizes", [[1, 1, 2, 0, 1], [30, 1, 20, 9]])
+def test_drawn_counts_follow_the_sizes(sizes):
+    sizes, n = np.array(sizes), np.full(4_000, 7)
+    got = B.drawn_counts(np.random.default_rng(1), n, sizes)
+    assert (got.sum(1) == 7).all() and got.shape == (4_000, len(sizes))
+    p = sizes / sizes.sum()
+    assert np.allclose(got.mean(0), 7 * p, atol=0.1)
+    assert np.allclose(got.var(0), 7 * p * (1 - p), atol=0.15)
+
+
+def test_replicate_metrics_equal_brute_force(spark, monkeypatch):
+    """One group of many ties and another with few rows: the draws themselves are measured again."""
+    monkeypatch.setattr(B, "ORDERED_CELLS", 5)
+    rng = np.random.default_rng(8)
+    data = [("a", round(float(s), 2), int(n), int(m)) for s, n, m in zip(
+        np.unique(rng.random(300).round(2)), rng.integers(0, 4, 300), rng.integers(0, 5, 300), strict=False)]
+    data += [("b", 0.1, 0, 3), ("b", 0.1001, 2, 1), ("b", 0.9, 1, 0), ("c", 0.5, 3, 0)]
+    counts = spark.createDataFrame(data, "g string, score double, pos bigint, neg bigint")
+    got = {(r.g, r.rep): r for r in B.replicate_metrics(counts, ["g"], 40, 3).collect()}
+    # The same draws, row by row: every (replicate, cell) spreads with the same generator.
+    celled = B.with_ordered_cells(counts.where("pos > 0 or neg > 0"), ["g"]).toPandas()
+    assert celled[celled.g == "a"]["__c"].nunique() > 3
+    for g, part in celled.groupby("g"):
+        cells = part.groupby("__c")[["pos", "neg"]].sum().sort_index()
+        seeds = spark.range(40).selectExpr("id as rep", f"xxhash64(3, '{g}', cast(id as int)) as s").toPandas()
+        cell_seeds = {
+            c: spark.range(1).selectExpr(f"xxhash64(4, '{g}', cast({c} as int)) as s").first().s for c in cells.index
+        }
+        draws = []
+        for s in seeds.s:
+            gen = B._generator(s)
+            p, n = (cells[x].to_numpy() for x in ("pos", "neg"))
+            draws.append([gen.multinomial(v.sum(), v / v.sum()) if v.sum() else v for v in (p, n)])
+        sample = {rep: [] for rep in range(40)}
+        for i, c in enumerate(cells.index):
+            rows_ = part[part["__c"] == c].sort_values("score", ascending=False)
+            reps = [r for r in range(40) if draws[r][0][i] or draws[r][1][i]]
+            gen = B._generator(cell_seeds[c], 0)
+            both = [
+                B.drawn_counts(gen, np.array([draws[r][k][i] for r in reps]), rows_[x].to_numpy())
+                for k, x in enumerate(("pos", "neg"))
+            ]
+            for j, r in enumerate(reps):
+                for m, score in enumerate(rows_.score):
+                    a, b = (int(x[j][m]) for x in both)
+                    sample[r].append((score, a, b))
+        for r, items in sample.items():
+            items.sort(reverse=True)
+            s = np.repeat([x[0] for x in items], [x[1] + x[2] for x in items])
+            y = np.concatenate([[1] * x[1] + [0] * x[2] for x in items]).astype(int)
+            assert (y.sum(), len(y) - y.sum()) == (part.pos.sum(), part.neg.sum())
+            mine = got[g, r]
+            if g == "c":
+                assert mine.auroc is None and mine.prauc is None
+                continue
+            gap = s[y == 1][:, None] - s[y == 0][None, :]
+            assert mine.auroc == pytest.approx((gap > 0).mean() + 0.5 * (gap == 0).mean())
+            at = [(np.sum(y[s >= t]) / y.sum(), np.mean(y[s >= t]), np.sum(1 - y[s >= t]) / np.sum(1 - y)) for t in sorted(set(s), reverse=True)]
+            ap = sum((b[0] - a[0]) * b[1] for a, b in zip([(0, 0, 0), *at], at, strict=False))
+            assert mine.prauc == pytest.approx(ap)
+            assert mine.youden == pytest.approx(max(0, max(t - f for t, _, f in at)))
+
+
 def test_bootstrap_keeps_class_totals_and_repeats(spark):
     rng = np.random.default_rng(6)
     p = rng.random(300)
