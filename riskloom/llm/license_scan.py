@@ -2,10 +2,10 @@
 
 A template's words are ordered by their frequency in the whole corpus, rarest
 first. A block that holds enough of a template must hold one of its first words
-(prefix filter), must be long enough (length filter), and the words that follow the
-first one found must suffice (positional filter); what is left is counted exactly.
-Blocks of twice a template's length overlap by half, so every stretch of a
-template's length lies inside a block.
+(prefix filter) behind its start (positional filter) and as many words of the
+template as are needed (length filter); what is left is counted exactly. A block is
+twice as long as its template and starts at any word of the template in the text: no
+other block can hold more, so a notice is found wherever it stands.
 """
 
 from __future__ import annotations
@@ -77,13 +77,18 @@ class Scanner:
         number = {w: i for i, w in enumerate(self.words)}
         self.phrases = [([number[w] for w in words_of(p)], label) for p, label in phrases]
         self.templates = []
+        # Templates by their first words: a text is held only against those it may contain.
+        self.by_first: dict[int, list[int]] = {}
         for label, text in templates:
             words = words_of(text)
             ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             need = int(np.ceil(round(threshold * len(ordered), 9)))
-            rank = np.full(len(self.words), -1)
-            rank[[number[w] for w in ordered]] = np.arange(len(ordered))
-            self.templates.append((label, rank, len(ordered), need, len(words)))
+            ids = np.array([number[w] for w in ordered], np.int64)
+            by_number = np.argsort(ids)
+            for first in ids[: len(ids) - need + 1].tolist():
+                self.by_first.setdefault(first, []).append(len(self.templates))
+            self.templates.append((label, ids[by_number], by_number, need, len(words)))
+        self.firsts = np.array(sorted(self.by_first), np.int64)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of vocabulary words in a run of word hashes, and their numbers."""
@@ -101,33 +106,50 @@ class Scanner:
             out.append((starts, label))
         return out
 
-    def containment(self, where: np.ndarray, what: np.ndarray, n: int) -> list[tuple[float, str]]:
-        """Largest containment of each template found in one block, if it is enough."""
+    def containment(self, where: np.ndarray, what: np.ndarray) -> list[tuple[float, str]]:
+        """Largest containment of each template found in any block, if it is enough."""
+        present = np.intersect1d(what, self.firsts)
+        hopeful = sorted({t for first in present.tolist() for t in self.by_first[first]})
         out = []
-        for label, rank, size, need, width in self.templates:
-            mine = rank[what] >= 0
-            spot, place = where[mine], rank[what[mine]]
-            if len(spot) < need:
-                continue
-            block = np.concatenate([spot // width, spot // width - 1])
-            place = np.concatenate([place, place])
-            block, place = block[block >= 0], place[block >= 0]
-            # Length filter: a block at the end of the text may be too short.
-            room = np.minimum(n - block * width, 2 * width)
-            # Prefix filter: one of the first size - need + 1 words is in the block.
-            start = block[(place <= size - need) & (room >= need)]
-            keep = np.isin(block, start)
-            if not keep.any():
-                continue
-            pairs = np.unique(np.stack([block[keep], place[keep]], 1), axis=0)
-            blocks, first, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-            # Positional filter: what follows the first word found must suffice.
-            hopeful = np.minimum(size - pairs[first, 1], count) >= need
-            if hopeful.any():
-                out.append((float(count[hopeful].max()) / size, label))
+        for label, ids, ranks, need, width in (self.templates[t] for t in hopeful):
+            at = np.minimum(np.searchsorted(ids, what), len(ids) - 1)
+            mine = ids[at] == what
+            most = _most_distinct(where[mine], ranks[at[mine]], need, len(ids), 2 * width)
+            if most >= need:
+                out.append((most / len(ids), label))
         return out
 
 
+def _most_distinct(spot: np.ndarray, place: np.ndarray, need: int, size: int, length: int) -> int:
+    """Most distinct words of a template in a block of ``length`` words, if it is ``need`` or more.
+
+    ``spot``: where words of the template stand, ascending; ``place``: their places in its
+    order, rarest first. Blocks that cannot reach ``need`` may count as 0.
+    """
+    ends = np.searchsorted(spot, spot + length)
+    # Prefix filter: the next of the first words must lie in the block. Length filter: so many words.
+    first = np.flatnonzero(place <= size - need)
+    if not len(first):
+        return 0
+    after = np.searchsorted(first, np.arange(len(spot)))
+    near = first[np.minimum(after, len(first) - 1)]
+    starts = np.flatnonzero((after < len(first)) & (near < ends) & (ends - np.arange(len(spot)) >= need))
+    order = np.argsort(place, kind="stable")
+    before = np.full(len(spot), -1, np.int64)
+    same = place[order[1:]] == place[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    best = 0
+    for at in range(0, len(starts), 16_384):  # at most ``length`` words each
+        some = starts[at : at + 16_384]
+        sizes = ends[some] - some
+        offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        word = np.arange(sizes.sum()) - np.repeat(offsets - some, sizes)
+        # A word counts where it stands in the block for the first time.
+        new = before[word] < np.repeat(some, sizes)
+        best = max(best, int(np.add.reduceat(new.astype(np.int64), offsets).max()))
+    return best
+
+
 def vocabulary(
     phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]]
 ) -> list[str]:
@@ -173,8 +195,9 @@ def scan_licenses(
     base_labels, labels (also those of templates of which a block holds the share
     ``threshold`` of distinct words), score (1 if a phrase was found, else the
     largest containment that reached the threshold, else 0). Words are runs of ASCII
-    letters and digits and of all other signs beyond ASCII, A-Z taken as a-z. Labels
-    are distinct, sorted and joined by commas, empty without any. A null text is
+    letters and digits and of all other signs beyond ASCII, A-Z taken as a-z. A template
+    may be given twice or share words with others; very long texts are read whole, in
+    segments. Labels are distinct, sorted and joined by commas, empty without any. A null text is
     empty; repeated rows give repeated rows; other columns are ignored; an empty
     table gives an empty result. Templates are few and fixed, so they go to every
     task and no document is shuffled.
@@ -193,7 +216,7 @@ def scan_licenses(
             for start, end, a, b in zip(starts.tolist(), ends.tolist(), lo, hi, strict=True):
                 own, numbers = where[a:b] - start, what[a:b]
                 found = [(s, label) for s, label in scanner.places(own, numbers) if len(s)]
-                like = scanner.containment(own, numbers, end - start)
+                like = scanner.containment(own, numbers)
                 base = {label for _, label in found}
                 rows.append(
                     (

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from riskloom.llm import quality
 from riskloom.llm.fingerprints import fingerprint_documents
-from riskloom.llm.license_scan import PHRASES, scan_licenses
+from riskloom.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, words_of
 from riskloom.llm.ngram_lm import discounts, score_held_out
 from riskloom.llm.packing import Tokens, first_fit_decreasing, pack_documents
 from riskloom.llm.quality import drawn_documents, fit_resampler, kth_largest, resample
@@ -136,6 +137,34 @@ def test_license_scan_by_definition(spark):
     assert scan_licenses(empty_docs(spark)).count() == 0
 
 
+def test_license_templates_by_definition_at_every_offset(spark):
+    notice = "released aa bb cc under dd ee ff the mit"
+    texts = [" ".join(["w"] * k) + " " + notice + tail for k in range(8) for tail in ("", " x y", " License z")]
+    texts += ["released under " * 3 + "the", "mit " * 9, "License the mit released", "under the mit released under the"]
+    rng = random.Random(6)
+    vocabulary_ = "released under the mit license all rights reserved version 2 apache licensed this work is x y z".split()
+    texts += [" ".join(rng.choice(vocabulary_) for _ in range(rng.randrange(60))) for _ in range(120)]
+    # A long text beyond two segments, cut by other blanks only, with one notice at its end.
+    texts.append(" " + "pad\n" * (2 * SEGMENT // 4 + 99) + notice.replace(" ", "\n"))
+    extra = [*TEMPLATES, ("mit", TEMPLATES[6][1]), ("twice", "all all rights rights reserved")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows(texts), SCHEMA), PHRASES, extra).collect()}
+    assert all("mit" in got[i].labels.split(",") for i in range(24))
+    for i, text in enumerate(texts):
+        w = words_of(text)
+        found, best = set(), 0.0
+        for label, template in extra:
+            own = words_of(template)
+            size, length = len(set(own)), 2 * len(own)
+            starts = [k for k, x in enumerate(w) if x in own]
+            most = max((len({x for x in w[k : k + length] if x in own}) for k in starts), default=0)
+            if most / size >= 0.8 - 1e-12:
+                found.add(label)
+                best = max(best, most / size)
+        r = got[i]
+        assert set(r.labels.split(",")) - {""} == found | (set(r.base_labels.split(",")) - {""}), (i, text[:200])
+        assert r.score == pytest.approx(1.0 if r.n_base else best)
+
+
 def test_fingerprints_by_definition(spark, odd):
     texts = [None, "", "one", "a b c d e f", *[babble(i, 40 * i + 3) for i in range(1, 12)]]
     texts += [texts[-1], texts[-1] + " tail"]
