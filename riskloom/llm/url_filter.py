@@ -67,7 +67,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     def full(target: Column) -> Column:
         return (
             F.when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.substring(target, 3, 1 << 20)))
+            .when(target.startswith("//"), F.concat(scheme, F.substr(target, F.lit(3))))
             .when(target.startswith("/"), F.concat(site, target))
         )
 
