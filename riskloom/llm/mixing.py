@@ -22,6 +22,10 @@ LEVEL_BITS = 12
 LEVELS = 3
 
 
+#: A plan of at most so many rows (about 100 bytes each) is broadcast.
+BROADCAST_SOURCES = 100_000
+
+
 def document_hash(doc_id: Column) -> Column:
     """60 bits of the MD5 of the id as text (null: of the empty text)."""
     digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -94,7 +98,12 @@ def _crossing(sums: DataFrame, key: str) -> DataFrame:
     )
 
 
-def hash_thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
+def _sent(per_source: DataFrame, few: bool) -> DataFrame:
+    """A row per source goes to every task if the sources were counted and are few."""
+    return F.broadcast(per_source) if few else per_source
+
+
+def hash_thresholds(hashed: DataFrame, targets: DataFrame, few: bool = False) -> DataFrame:
     """(source, threshold): documents with a smaller hash fill ``rest`` most nearly."""
     edge = targets.where("rest > 0").select(
         "source", F.lit(0).cast("long").alias("prefix"), "rest"
@@ -104,7 +113,7 @@ def hash_thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         used, shift = shift, shift - LEVEL_BITS
         mine = hashed.alias("h").join(
-            edge.alias("e"),
+            _sent(edge, few).alias("e"),
             F.col("h.source").eqNullSafe(F.col("e.source"))
             & (F.shiftright("h.hash", used) == F.col("e.prefix")),
         )
@@ -114,7 +123,7 @@ def hash_thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
         )
         edge = checkpointed(_crossing(sums, "prefix").drop("size"))
     last = hashed.alias("h").join(
-        edge.alias("e"),
+        _sent(edge, few).alias("e"),
         F.col("h.source").eqNullSafe(F.col("e.source"))
         & (F.shiftright("h.hash", shift) == F.col("e.prefix")),
     )
@@ -141,13 +150,19 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def mix_plan(
     hashed: DataFrame, weights: Sequence[float], cap: float, share: float
 ) -> DataFrame:
-    """One row per source: source, source_size, target, copies, threshold."""
+    """One row per source: source, source_size, target, copies, threshold.
+
+    Up to BROADCAST_SOURCES sources it is marked to be broadcast: documents then stay
+    where they lie, and no task gets all those of one source.
+    """
     targets = checkpointed(source_targets(hashed, weights, cap, share))
-    cuts = hash_thresholds(hashed, targets)
+    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    cuts = hash_thresholds(hashed, targets, few)
     same = F.col("t.source").eqNullSafe(F.col("c.source"))
-    return targets.alias("t").join(cuts.alias("c"), same, "left").select(
+    plan = targets.alias("t").join(cuts.alias("c"), same, "left").select(
         "t.source", "source_size", "target", "copies", "threshold"
     )
+    return _sent(checkpointed(plan), few)
 
 
 def copies_taken(hash_: Column) -> Column:
