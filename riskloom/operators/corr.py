@@ -72,7 +72,8 @@ def correlation(
 ) -> DataFrame:
     """Absolute correlation (i, j, r) of every pair i < j of the given features.
 
-    Missing values and absent rows are median-imputed; an unknown method means Pearson. Values
+    Missing values and absent rows are median-imputed, repeated rows of a person and
+    feature count once by their mean; an unknown method means Pearson. Values
     are centred and scaled per feature, gathered to one array per person, and
     each task adds up outer products block by block, so the shuffle carries
     feature × feature sums and never people. The feature list bounds their size.
@@ -138,8 +139,10 @@ def _complete_grid(rows: DataFrame, names: Sequence[str], id_col: str) -> DataFr
     slots = F.transform(
         label, lambda n, k: F.struct(n.alias("feature"), F.try_element_at("__held", k).alias("value"))
     )
+    # Both groupings keep the partitions of the one exchange by person.
+    once = rows.repartition(id_col).groupBy(id_col, "__k").agg(F.avg("value").alias("value"))
     return (
-        rows.groupBy(id_col)
+        once.groupBy(id_col)
         .agg(held.alias("__held"))
         .select(id_col, F.inline(slots))
     )

@@ -273,6 +273,19 @@ def test_absent_rows_drop_no_people(spark):
     assert abs(next(r.r for r in three if r.feature_j == "b") - two) < 1e-12
 
 
+def test_repeated_rows_of_a_person_count_once(spark):
+    from riskloom.operators.corr import correlation
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 30))
+    rows = [(i, "a", float(a[i])) for i in range(30)] + [(i, "b", float(b[i])) for i in range(30)]
+    rows += [(3, "a", float(a[3]) + 2), (3, "a", None), (4, "b", float(b[4]))]  # mean, nothing, the same
+    a[3] += 1
+    schema = "id long, feature string, value double"
+    got = correlation(spark.createDataFrame(rows, schema), ["a", "b"], "pearson").first().r
+    assert got == pytest.approx(abs(np.corrcoef(a, b)[0, 1]))
+
+
 def test_many_features_keep_their_names(spark):
     from riskloom.operators.prepare import melt_array
 
