@@ -9,6 +9,8 @@ packed sixteen to a long; equal bits by chance are taken out of the estimate.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -158,28 +160,76 @@ def hex_fingerprint(packed: Column) -> Column:
     )
 
 
+def _edges(docs: DataFrame) -> tuple[list[float], int]:
+    """Sorted quantiles of the ids, one per RANGE_ROWS rows (MAX_RANGES at most), and the
+    number of ranges for rows without id."""
+    known, n = docs.agg(F.count("doc_id"), F.count("*")).first()
+    ranges = min(MAX_RANGES, known // RANGE_ROWS)
+    found = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        ids = docs.select(F.col("doc_id").cast("double").alias("id"))
+        found = ids.approxQuantile("id", shares, 0.25 / ranges)
+    return found, max(1, min(MAX_RANGES, (n - known) // RANGE_ROWS))
+
+
+def _count_below(edges: list[float], c: Column, reached: bool) -> Column:
+    """Number of sorted edges below ``c`` (or not above it, if ``reached``).
+
+    The edges stand in runs: whole runs are counted by their last edge, then one is read.
+    """
+    if not edges:
+        return F.lit(0)
+    size = math.isqrt(len(edges) - 1) + 1
+    runs = [edges[i : i + size] for i in range(0, len(edges), size)]
+    # A literal that is parsed once when the plan is made, not 65,536 expressions.
+    table = F.from_json(F.lit(json.dumps(runs)), "array<array<double>>")
+    last = F.from_json(F.lit(json.dumps([r[-1] for r in runs])), "array<double>")
+
+    def counted(values: Column) -> Column:
+        return F.size(F.filter(values, lambda e: e <= c if reached else e < c))
+
+    whole = counted(last)
+    inside = F.when(whole < len(runs), counted(F.get(table, whole))).otherwise(0)
+    return whole * size + inside
+
+
 def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
     """Add columns ``derived`` from each row's own, and ``next``, a struct of the text and
-    those of the next row by descending ``doc_id``.
+    those of the next row by descending ``doc_id``, a number.
 
-    Ids are cut into ranges of about RANGE_ROWS rows; each range is ordered in one
-    task, with the first row of the range after it added at its end. After the last
-    row comes the first. Null ids come last, repeated ids by text.
+    Quantiles cut the ids into ranges of about RANGE_ROWS rows, however the ids lie; an id
+    that many rows share, and rows without id, are cut further by a hash of the text (ids
+    of 2^53 and more are not). Each range is ordered in one task, with the first row of the
+    range after it added at its end. After the last row comes the first. Null ids come
+    last, repeated ids by hash and text.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is not None:
-        width = -(-(high - low + 1) // max(1, min(MAX_RANGES, n // RANGE_ROWS)))
-    else:
-        low, high, width = 0, -1, 1
+    edges, unknown = _edges(docs)
+    spot = F.shiftrightunsigned(F.xxhash64("text"), 11)
+    share = F.col("spot") / F.lit(2.0**53)
+    at = F.col("doc_id").cast("double")
+    # An id that is itself an edge, or several, lies on both sides of them.
+    room = F.when(F.abs(at) < 2.0**53, F.col("upto") - F.col("below") + 1).otherwise(1)
     # Ranges are numbered so that a larger id has a smaller number; null ids come last.
-    last = (high - low) // width + 1
-    number = F.coalesce(
-        F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("long"), F.lit(last)
+    number = (
+        F.when(F.col("doc_id").isNull(), len(edges) + unknown - F.floor(share * unknown))
+        .otherwise(len(edges) - F.col("below") - F.floor(share * room))
+        .cast("long")
     )
-    ranged = docs.withColumn("range", number)
-    # One row for each range passes through this window: MAX_RANGES and one at most,
+    ranged = (
+        docs.withColumns(
+            {
+                "spot": spot,
+                "below": _count_below(edges, at, False),
+                "upto": _count_below(edges, at, True),
+            }
+        )
+        .withColumn("range", number)
+        .drop("below", "upto")
+    )
+    # One row for each range passes through this window: twice MAX_RANGES and one at most,
     # so the table can be sent to every task and texts are shuffled once.
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head")).select(
+    heads = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "spot")).alias("head")).select(
         "head",
         F.coalesce(
             F.lag("range").over(W.orderBy("range")),
@@ -187,7 +237,7 @@ def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
         ).alias("into"),
     )
     borrowed = (
-        ranged.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")))
+        ranged.join(F.broadcast(heads), F.struct("doc_id", "spot").eqNullSafe(F.col("head")))
         .withColumn("range", F.col("into"))
         .drop("head", "into")
     )
@@ -196,9 +246,11 @@ def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
         .unionByName(borrowed.withColumn("own", F.lit(False)))
         .withColumns(derived)
     )
-    order = W.partitionBy("range").orderBy(F.desc("own"), F.desc_nulls_last("doc_id"), "text")
+    order = W.partitionBy("range").orderBy(
+        F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("spot"), "text"
+    )
     follower = F.lead(F.struct("text", *derived)).over(order)
-    return rows.withColumn("next", follower).where("own").drop("own", "range")
+    return rows.withColumn("next", follower).where("own").drop("own", "range", "spot")
 
 
 def fingerprint_documents(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -208,7 +260,7 @@ def fingerprint_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     fingerprint, edited_fingerprint (hexadecimal; empty for a text without words),
     near_edited, near_next. The edited text has its last third replaced by as many
     first characters of the next document by descending id (all of a shorter one).
-    A null text is empty. Shingles are ``width`` words. Repeated rows give repeated
+    ``doc_id`` is a whole number of any size or null. A null text is empty. Shingles are ``width`` words. Repeated rows give repeated
     rows; other columns are ignored; an empty table gives an empty result. Texts are
     shuffled once, by ranges of ids.
     """

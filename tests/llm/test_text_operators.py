@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from riskloom.llm import quality
-from riskloom.llm.fingerprints import fingerprint_documents
+from riskloom.llm.fingerprints import _edges, fingerprint_documents, with_next
 from riskloom.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, words_of
 from riskloom.llm.ngram_lm import discounts, score_held_out
 from riskloom.llm.packing import Tokens, first_fit_decreasing, pack_documents
@@ -208,6 +208,33 @@ def test_next_document_across_many_ranges(spark, monkeypatch):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_next_document_for_ids_of_any_kind(spark, monkeypatch):
+    monkeypatch.setattr("riskloom.llm.fingerprints.RANGE_ROWS", 8)
+    plain = [*range(200), 1 << 40, (1 << 62) + 1, 1 << 62, -(1 << 62) - 5]
+    hot, unknown = [77] * 120, [None] * 100
+    ids = plain + hot + unknown
+    texts = [f"t{i} " * 9 for i in range(len(ids))]
+    docs = spark.createDataFrame(rows(texts, ids), SCHEMA).select("doc_id", "text")
+    paired = with_next(docs, {}).collect()
+    assert sorted(r.text for r in paired) == sorted(texts)
+    # Following the next rows visits every row once, by descending id, null ids last.
+    follows = {r.text: r.next.text for r in paired}
+    id_of = dict(zip(texts, ids, strict=True))
+    at = next(t for t in texts if id_of[t] == (1 << 62) + 1)
+    walk = []
+    for _ in texts:
+        walk.append(id_of[at])
+        at = follows[at]
+    assert walk == sorted((i for i in ids if i is not None), reverse=True) + unknown
+    # An outlier, a hot id and rows without id leave no range with many rows.
+    edges, unknown_ranges = _edges(docs)
+    assert len(edges) > 30 and unknown_ranges > 8
+    place = [sum(e < i for e in edges) for i in plain]
+    assert max(place.count(k) for k in place) < 40
+    same = spark.createDataFrame(rows(["a b", "a b", "a b"], [None, None, 3]), SCHEMA)
+    assert [r.next.text for r in with_next(same.select("doc_id", "text"), {}).collect()] == ["a b"] * 3
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, odd):
     good = [babble(i, 60) for i in range(120)]
     junk = [babble(i, 60).upper().replace(" ", "!! ") for i in range(500, 530)]
