@@ -27,9 +27,14 @@ from riskloom.session import checkpointed, ship_package
 
 #: Centroids are fitted on at most so many vectors; every vector is indexed.
 SAMPLE = 65_536
-#: Wanted vectors per list, and about the most centroids: beyond that, lists grow longer.
+#: Wanted vectors per list, and about the most centroids, which every task holds with
+#: their graph (8 MB at 64 numbers): beyond a million vectors, lists grow longer.
 LIST_SIZE = 128
-MAX_LISTS = 512
+MAX_LISTS = 8_192
+#: Nearest centroids that a centroid links to, and links back to those it names.
+DEGREE, BACK = 32, 8
+#: Centroids that a walk opens in one step.
+OPENED = 8
 #: A query reads this share of the lists, whatever their number.
 SHARE = 0.15
 #: A list or its queries beyond this size is dealt to several tasks.
@@ -57,48 +62,52 @@ class Index:
     def near(self, points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` centroids nearest to each point and their squared distances.
 
-        A large share of the centroids is found by all distances. For a small one all
-        points walk at once: each step opens every point's nearest unopened centroid and
-        merges its neighbours, until no point has one among its best.
+        All points walk the graph at once: each step opens every point's OPENED nearest
+        unopened centroids and merges their neighbours, until no point has an unopened one
+        among its best. Only where all centroids are wanted there is nothing to walk for.
         """
         width = min(width, len(self.centroids))
         norms = (self.centroids**2).sum(1)
-
-        def distance(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            dots = np.einsum("nd,nkd->nk", points[rows], self.centroids[ids])
-            return np.maximum(square[rows, None] - 2 * dots + norms[ids], 0.0)
-
         square = (points**2).sum(1)
-        if width * 8 >= len(self.centroids):
+        if width == len(self.centroids):
             gap = np.maximum(square[:, None] - 2 * points @ self.centroids.T + norms, 0.0)
-            best = np.argsort(gap, axis=1, kind="stable")[:, :width]
+            best = np.argsort(gap, axis=1, kind="stable")
             return best, np.take_along_axis(gap, best, 1)
         everyone = np.arange(len(points))
-        start = np.broadcast_to(self.entries, (len(points), len(self.entries)))
         best = np.full((len(points), width), -1)
         dist = np.full((len(points), width), np.inf)
         opened = np.ones((len(points), width), bool)
+        met = np.zeros((len(points), len(self.centroids)), bool)
 
         def merge(rows: np.ndarray, ids: np.ndarray) -> None:
-            d = distance(rows, ids)
-            d[(ids[:, :, None] == best[rows][:, None, :]).any(2)] = np.inf
+            ids = np.sort(ids, axis=1)
+            new = ~met[rows[:, None], ids]
+            new[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+            met[rows[:, None], ids] = True
+            # Distances of new neighbours only; the others cannot come in again.
+            d = np.full(ids.shape, np.inf)
+            row, place = np.nonzero(new)
+            to = ids[row, place]
+            dots = np.einsum("nd,nd->n", points[rows[row]], self.centroids[to])
+            d[row, place] = np.maximum(square[rows[row]] - 2 * dots + norms[to], 0.0)
             all_ids = np.concatenate([best[rows], ids], 1)
             all_d = np.concatenate([dist[rows], d], 1)
-            all_open = np.concatenate([opened[rows], ~np.isfinite(d)], 1)
+            all_open = np.concatenate([opened[rows], ~new], 1)
             order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
             best[rows] = np.take_along_axis(all_ids, order, 1)
             dist[rows] = np.take_along_axis(all_d, order, 1)
             opened[rows] = np.take_along_axis(all_open, order, 1)
 
-        merge(everyone, start)
+        merge(everyone, np.broadcast_to(self.entries, (len(points), len(self.entries))))
         rows = everyone
-        while len(rows):
-            rows = rows[~opened[rows].all(1)]
-            if not len(rows):
-                break
-            at = np.argmin(opened[rows], axis=1)
-            opened[rows, at] = True
-            merge(rows, self.graph[best[rows, at]])
+        while len(rows := rows[~opened[rows].all(1)]):
+            # Opened ones sort last; a row with fewer unopened than OPENED opens some again.
+            at = np.argsort(opened[rows], axis=1, kind="stable")[:, :OPENED]
+            opened[rows[:, None], at] = True
+            known = best[rows[:, None], at]
+            ids = self.graph[np.where(known < 0, known[:, :1], known)]
+            merge(rows, ids.reshape(len(rows), -1))
+        best[~np.isfinite(dist)] = -1
         return best, dist
 
 
@@ -115,6 +124,24 @@ def _split(points: np.ndarray, rng: np.random.Generator, parts: int) -> np.ndarr
     return label
 
 
+def _with_links_back(graph: np.ndarray) -> np.ndarray:
+    """Add up to BACK links to each row, from centroids that it is near to but does not name.
+
+    Centroids that few others name come first: no walk would reach them. Free places
+    hold the row itself.
+    """
+    n, degree = graph.shape
+    wide = np.concatenate([graph, np.repeat(np.arange(n)[:, None], BACK, 1)], 1)
+    named = [set(row) for row in graph.tolist()]
+    used = np.zeros(n, np.int64)
+    for v in np.argsort(np.bincount(graph.ravel(), minlength=n), kind="stable").tolist():
+        for u in graph[v].tolist():
+            if used[u] < BACK and v not in named[u]:
+                wide[u, degree + used[u]] = v
+                used[u] += 1
+    return wide
+
+
 def fit_index(sample: np.ndarray, rows: int, longest: float, seed: int = 5) -> Index:
     """Split the sample again and again until every list would hold LIST_SIZE of ``rows``.
 
@@ -139,12 +166,13 @@ def fit_index(sample: np.ndarray, rows: int, longest: float, seed: int = 5) -> I
         # Equal vectors cannot be told apart: they stay one list.
         (done if len(pieces) == 1 else todo).extend(pieces)
     centroids = np.array([lifted[p].mean(0) for p in done])
-    degree = min(32, len(centroids))
+    degree = min(DEGREE, len(centroids))
     graph = np.empty((len(centroids), degree), np.int64)
     norms = (centroids**2).sum(1)
     for i in range(0, len(centroids), 1024):
         gap = norms[None, :] - 2 * centroids[i : i + 1024] @ centroids.T
         graph[i : i + 1024] = np.argsort(gap, axis=1, kind="stable")[:, :degree]
+    graph = _with_links_back(graph)
     entries = rng.permutation(len(centroids))[: min(64, len(centroids))]
     return Index(centroids, graph, entries, sample.shape[1], longest)
 
@@ -177,6 +205,11 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _padded(values: np.ndarray, width: int, filler: int = -1) -> np.ndarray:
+    more = np.full((len(values), width - values.shape[1]), filler, values.dtype)
+    return np.concatenate([values, more], 1)
+
+
 def _placed(
     vectors: DataFrame,
     index: Index,
@@ -194,21 +227,34 @@ def _placed(
     queries = sizes is not None
     shared = vectors.sparkSession.sparkContext.broadcast((index, sizes))  # about MAX_LISTS rows
 
+    def chosen(own: Index, rows_of: np.ndarray | None, points: np.ndarray):
+        """(row, place) of each list taken, and all that were looked at."""
+        best, dist = own.near(points, max(lists, 32))
+        take = (dist <= dist[:, :1] * ratio**2 + 1e-12) & (best >= 0)
+        take[:, lists:] = False
+        if queries:
+            # Rows whose lists hold too few: small or empty ones lie near, so look at all.
+            held = (rows_of[best] * take).sum(1)
+            if (held < enough).any() and best.shape[1] < len(own.centroids):
+                best = _padded(best, len(own.centroids))
+                take = _padded(take, len(own.centroids), False)
+                short = np.flatnonzero(held < enough)
+                best[short], gap = own.near(points[short], len(own.centroids))
+                near = gap <= gap[:, :1] * ratio**2 + 1e-12
+                near[:, lists:] = False
+                take[short] = near
+            held = rows_of[best]
+            take |= (np.cumsum(held, axis=1) - held < enough) & (best >= 0)
+        return *np.nonzero(take), best
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows_of = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 x = _matrix(part.column(1), own.dimension)
                 points = own.lift_queries(x) if queries else own.lift(x)
-                best, dist = own.near(points, len(own.centroids) if queries else max(lists, 32))
-                take = dist <= dist[:, :1] * ratio**2 + 1e-12
-                take[:, lists:] = False
-                if queries:
-                    held = rows_of[best]
-                    take |= np.cumsum(held, axis=1) - held < enough
-                take &= best >= 0
-                row, place = np.nonzero(take)
+                row, place, best = chosen(own, rows_of, points)
                 rows = pa.array(row)
                 data = np.ascontiguousarray(x)
                 blobs = pa.array([r.tobytes() for r in data], pa.binary())

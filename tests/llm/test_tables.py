@@ -3,6 +3,8 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as contract
@@ -243,8 +245,45 @@ def test_lists_read_follow_the_index(spark):
     want = exact(data, queries, 20)
     hits = sum(r.vec_id in want[r.query_id] for r in got)
     assert hits >= 0.85 * 20 * len(queries)
-    # However long the table, the lists read by default are a tenth of all or more.
-    assert len(fit_index(x, 10**9, 1.0).centroids) <= 1024
+
+
+@pytest.mark.parametrize("n", [60_000, 150_000])
+def test_recall_on_large_tables(spark, tmp_path, n):
+    """Vectors without any clusters, the hardest for an index: recall of the code itself."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat = pa.ListArray.from_arrays(np.arange(0, n * 64 + 1, 64, dtype=np.int32), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    step = n // 200
+    got = nearest(df, df.where(f"vec_id % {step} = 0"), 20).toPandas()
+    asked = np.arange(0, n, step)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 20, axis=1)[:, :20]
+    want = {(int(q), int(v)) for q, row in zip(asked, best, strict=True) for v in row}
+    assert len(got) == len(want)
+    recall = len(want & set(zip(got.query_id, got.vec_id, strict=True))) / len(want)
+    print(f"recall {recall:.4f} of {n} vectors")
+    assert recall >= 0.9
+
+
+def test_walks_find_the_nearest_centroids():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40_000, 32))
+    index = fit_index(x, len(x), float(np.linalg.norm(x, axis=1).max()))
+    points = index.lift_queries(rng.normal(size=(300, 32)))
+    best, dist = index.near(points, 48)
+    everything, gap = index.near(points, len(index.centroids))
+    assert best.shape == (300, 48) and (best >= 0).all() and (np.diff(dist, axis=1) >= 0).all()
+    assert all(len(set(row)) == 48 for row in best)
+    np.testing.assert_allclose(dist, np.take_along_axis(
+        gap, np.argsort(everything, axis=1), 1)[np.arange(300)[:, None], best])
+    hits = sum(len(set(a) & set(b)) for a, b in zip(best, everything[:, :48], strict=True))
+    assert hits >= 0.97 * best.size
+    # Lists grow in number with the rows, not in length.
+    assert len(index.centroids) > 250
 
 
 def test_pipeline_stages(spark, tmp_path):
