@@ -22,6 +22,8 @@ from riskloom.functions.ordered import exact_quantiles
 from riskloom.functions.prob import clip, finite, inv_logit, logit, safe_div, shift_prevalence
 from riskloom.operators.curves import score_counts
 from riskloom.operators.discrimination import band_over_splits
+from riskloom.operators.isotonic import block_ends, isotonic_blocks
+from riskloom.session import checkpointed
 
 MAX_NEWTON_STEPS = 25
 GRADIENT_TOLERANCE = 1e-10
@@ -259,7 +261,7 @@ class OOFCalibrator:
 
     def fit(self, oof: DataFrame, p_col: str = "y_prob", y_col: str = "y_true") -> OOFCalibrator:
         """Fit on rows that have a score and a label; needs 10 rows and two classes."""
-        counts = score_counts(oof, [], y_col, p_col)
+        counts = checkpointed(score_counts(oof, [], y_col, p_col))
         n_pos, n_neg = counts.agg(F.sum("pos"), F.sum("neg")).first()
         n_pos, n_neg = n_pos or 0, n_neg or 0
         if n_pos + n_neg < 10:
@@ -267,12 +269,8 @@ class OOFCalibrator:
         if not n_pos or not n_neg:
             raise ValueError("calibration needs both classes")
         if self.method == "isotonic":
-            # Isotonic regression on distinct scores with weights is the same
-            # fit as on rows, and shuffles far less.
-            n = F.col("pos") + F.col("neg")
-            rows = counts.select(
-                "score", (F.col("pos") / n).alias("rate"), n.cast("double").alias("n")
-            )
+            # The driver's fit sees only the ends of blocks that tasks have pooled.
+            rows = block_ends(isotonic_blocks(counts))
             self.model = IsotonicRegression(
                 featuresCol="score", labelCol="rate", weightCol="n", isotonic=True
             ).fit(rows)

@@ -289,6 +289,10 @@ def kept_features(component_map: DataFrame) -> DataFrame:
     ).select("feature", "selection_freq")
 
 
+#: Names of a ranking that are looked at together when a panel is refilled.
+CHUNK = 256
+
+
 def greedy_refill(
     kept: Sequence[str],
     ranked: Sequence[str],
@@ -298,8 +302,8 @@ def greedy_refill(
 ) -> list[str]:
     """Walk the ranked names and add each that conflicts with none already in.
 
-    Sequential by nature, so it runs on the driver, over names and the pairs
-    above the threshold only; ``pool_limit`` names of the ranking at most, if given.
+    Sequential by nature, so it runs on the driver, over a chunk of names and their pairs
+    above the threshold; ``pool_limit`` names of the ranking at most, if given.
     """
     panel = list(kept)[:target_size] if len(kept) >= target_size else list(kept)
     inside = set(panel)
@@ -315,17 +319,52 @@ def greedy_refill(
     return panel
 
 
-def _conflicts(pairs: DataFrame, names: Sequence[str], threshold: float) -> set[tuple[str, str]]:
-    """Pairs above the threshold among the names."""
-    pool = pairs.sparkSession.createDataFrame([(n,) for n in names], "n string")
-    rows = (
-        pairs.where(F.col("r") >= threshold)
-        .join(pool.withColumnRenamed("n", "feature_i"), "feature_i", "left_semi")
-        .join(pool.withColumnRenamed("n", "feature_j"), "feature_j", "left_semi")
-        .select("feature_i", "feature_j")
-        .collect()
+def _refill_in_chunks(
+    kept: Sequence[str],
+    ranked: Sequence[str],
+    pairs: DataFrame,
+    threshold: float,
+    target_size: int,
+) -> list[str]:
+    """``greedy_refill`` over a table of pairs, CHUNK names of the ranking at a time.
+
+    Of each chunk, names that conflict with the panel so far drop out on Spark, and only
+    pairs among the others come to the driver: at most CHUNK names and CHUNK² / 2 pairs,
+    whatever the number of features. The walk ends with the chunk that fills the panel.
+    """
+    spark = pairs.sparkSession
+    near = pairs.where(F.col("r") >= threshold).select("feature_i", "feature_j")
+    ways = near.unionByName(
+        near.select(F.col("feature_j").alias("feature_i"), F.col("feature_i").alias("feature_j"))
     )
-    return {(min(a, b), max(a, b)) for a, b in rows}
+
+    def names(values: Sequence[str], column: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{column} string"))
+
+    panel = greedy_refill(kept, [], set(), target_size)
+    for at in range(0, len(ranked), CHUNK):
+        if len(panel) >= target_size:
+            break
+        chunk = [n for n in ranked[at : at + CHUNK] if n not in set(panel)]
+        if not chunk:
+            continue
+        linked = ways.join(names(chunk, "feature_i"), "feature_i", "left_semi")
+        blocked = set()
+        if panel:
+            met = linked.join(names(panel, "feature_j"), "feature_j", "left_semi")
+            blocked = {r[0] for r in met.select("feature_i").distinct().collect()}
+        free = [n for n in chunk if n not in blocked]
+        if len(free) > 1:
+            among = (
+                ways.where(F.col("feature_i") < F.col("feature_j"))
+                .join(names(free, "feature_i"), "feature_i", "left_semi")
+                .join(names(free, "feature_j"), "feature_j", "left_semi")
+            )
+            conflicts = {(r["feature_i"], r["feature_j"]) for r in among.distinct().collect()}
+        else:
+            conflicts = set()
+        panel = greedy_refill(panel, free, conflicts, target_size)
+    return panel
 
 
 def prune_and_refill(
@@ -350,10 +389,7 @@ def prune_and_refill(
         )
     )
     kept = [r["feature"] for r in kept_features(component_map).collect()]
-    pool = [*kept, *list(ranked)[:pool_limit]]
-    panel = greedy_refill(
-        kept, ranked, _conflicts(pairs, pool, threshold), target_size, pool_limit
-    )
+    panel = _refill_in_chunks(kept, list(ranked)[:pool_limit], pairs, threshold, target_size)
     added = panel[len(kept) :]
     if added:
         extra = (

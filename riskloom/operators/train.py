@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.feature import StandardScaler, VectorSlicer
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -226,8 +226,12 @@ def fit_model(
     """Scale, restrict to ``indices`` and fit; the result has a ``probability`` column.
 
     A linear SVM gets its probability from a logistic fit on cross-fitted
-    margins, so no row calibrates the machine that saw it.
+    margins, or from a monotone one with ``calibration_method`` "isotonic" among its
+    parameters, so no row calibrates the machine that saw it.
     """
+    method = dict(params or {}).get("calibration_method", "sigmoid")
+    if method not in ("sigmoid", "isotonic"):
+        raise ValueError(f"unknown calibration method: {method}")
     if model_name == "XGBoost":
         ensure_checkpoint_dir(train.sparkSession)  # rounds cut their lineage only there
     stages = []
@@ -263,9 +267,22 @@ def fit_model(
         )
         part = margin.transform(part).select("y", "margin")
         held_out = part if held_out is None else held_out.unionByName(part)
-    platt = LogisticRegression(featuresCol="margin", labelCol="y", regParam=0.0).fit(held_out)
+    if method == "isotonic":
+        last = _monotone_probability(held_out)
+    else:
+        last = [LogisticRegression(featuresCol="margin", labelCol="y", regParam=0.0).fit(held_out)]
     with_fold.unpersist()
-    return PipelineModel(stages=[*base.fit(train).stages, margin, platt])
+    return PipelineModel(stages=[*base.fit(train).stages, margin, *last])
+
+
+def _monotone_probability(margins: DataFrame) -> list:
+    """Stages from a ``margin`` vector to a ``probability`` that rises with it."""
+    value = vector_to_array("margin")[0].alias("p")
+    fitted = OOFCalibrator("isotonic").fit(margins.select("y", value), "p", "y").model
+    fitted.setFeaturesCol("margin").setPredictionCol("svm_rate")
+    other = SQLTransformer(statement="SELECT *, 1 - svm_rate AS svm_other FROM __THIS__")
+    both = VectorAssembler(inputCols=["svm_other", "svm_rate"], outputCol="probability")
+    return [fitted, other, both]
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("id", "y")) -> DataFrame:

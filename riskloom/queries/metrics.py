@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.operators import calibrate, curves, discrimination as D
+from riskloom.operators import calibrate, curves, discrimination as D, isotonic
 from riskloom.queries.registry import (
     COARSE_SQL,
     EVENTS_SQL,
@@ -266,6 +266,30 @@ def _isotonic(t: Tables):
     return fitted.transform(pred.select("id", "model", "y_true", "y_prob"))
 
 
+# From each end of a block the next end is the score with the least mean up to it,
+# the last of equal ones.
+_BLOCKS = f"""WITH RECURSIVE {EVENTS_SQL},
+c AS (SELECT y_prob AS score, SUM(y_true) AS s, COUNT(*) AS w FROM pred
+      WHERE y_prob IS NOT NULL AND ISFINITE(y_prob) GROUP BY y_prob),
+p AS (SELECT ROW_NUMBER() OVER o AS k, score, CAST(SUM(s) OVER o AS DOUBLE) AS s,
+             CAST(SUM(w) OVER o AS DOUBLE) AS w FROM c WINDOW o AS (ORDER BY score)),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS before, CAST(0 AS DOUBLE) AS s,
+         CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS weight
+  UNION ALL
+  SELECT * FROM (SELECT p.k, g.k AS before, p.s, p.w, p.s - g.s AS total, p.w - g.w AS weight
+    FROM g JOIN p ON p.k > g.k ORDER BY (p.s - g.s) / (p.w - g.w), p.k DESC LIMIT 1))
+SELECT ROUND(a.score, 9) AS low, ROUND(b.score, 9) AS high, total, weight,
+       ROUND(total / weight, 9) AS value
+FROM g JOIN p AS a ON a.k = g.before + 1 JOIN p AS b ON b.k = g.k WHERE g.k > 0"""
+
+
+@query("isotonic_blocks", _BLOCKS)
+def _isotonic_blocks(t: Tables):
+    blocks = isotonic.isotonic_blocks(curves.score_counts(t.event_predictions(), []))
+    return rounded(blocks.withColumn("value", blocks["total"] / blocks["weight"]))
+
+
 _PLATT = f"""WITH {EVENTS_SQL},
 d AS (SELECT 1 AS one, id, y_true, LN(q / (1 - q)) AS x
       FROM (SELECT *, GREATEST(LEAST(y_prob, 1 - 1e-7), 1e-7) AS q FROM pred)),

@@ -104,6 +104,20 @@ def test_prune_and_refill(spark):
     assert R.greedy_refill(["a", "c"], ["b"], set(), 1) == ["a"]
 
 
+def test_refill_in_chunks_equals_one_walk(spark, monkeypatch):
+    monkeypatch.setattr("riskloom.operators.corr.CHUNK", 7)
+    rng = np.random.default_rng(11)
+    ranked = [f"f{i:03d}" for i in rng.permutation(80)]
+    edges = [(a, b, float(rng.random())) for a in ranked for b in ranked if a < b and rng.random() < 0.3]
+    # Pairs may name their features in either order.
+    rows = [(a, b, r) if rng.random() < 0.5 else (b, a, r) for a, b, r in edges]
+    pairs = spark.createDataFrame(rows, "feature_i string, feature_j string, r double")
+    conflicts = {(a, b) for a, b, r in edges if r >= 0.5}
+    for kept, size in (([], 25), (ranked[:3], 12), (ranked[:3], 2), ([], 200)):
+        want = R.greedy_refill(kept, ranked, conflicts, size)
+        assert R._refill_in_chunks(kept, ranked, pairs, 0.5, size) == want
+
+
 def test_selection_log_by_hand(spark):
     log = spark.createDataFrame(
         [(0, '["A","B","A"]'), (0, '["A","C"]'), (1, '["A","B"]'), (1, '["B","C"]'), (1, "oops")],

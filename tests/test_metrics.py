@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import calibrate, curves, dca, discrimination as D, thresholds as T
+from riskloom.operators import calibrate, curves, dca, discrimination as D, isotonic, thresholds as T
 
 
 def frame(spark, y, p, model="m"):
@@ -168,6 +168,50 @@ def test_isotonic_is_monotone_and_improves(spark):
         calibrate.OOFCalibrator().fit(df.limit(5))
 
 
+def brute_isotonic(score, pos, neg):
+    """Fitted value of each score: the largest over starts of the least mean over ends."""
+    s, w = np.cumsum(np.r_[0, pos]), np.cumsum(np.r_[0, pos + neg])
+    n = len(score)
+    out = []
+    for i in range(n):
+        out.append(max(min((s[b + 1] - s[a]) / (w[b + 1] - w[a]) for b in range(i, n)) for a in range(i + 1)))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "noise", "flat"])
+def test_blocks_of_many_ranges_equal_brute_force(spark, monkeypatch, shape):
+    monkeypatch.setattr("riskloom.operators.isotonic.RANGE_SCORES", 5)
+    monkeypatch.setattr("riskloom.operators.isotonic.FAN_IN", 3)
+    rng = np.random.default_rng(8)
+    score = np.sort(rng.normal(size=90))
+    rate = {"rising": np.linspace(0, 1, 90), "falling": np.linspace(1, 0, 90)}.get(shape, np.full(90, 0.4))
+    size = rng.integers(1, 9, 90)
+    pos = np.zeros(90, int) if shape == "flat" else rng.binomial(size, rate)
+    table = [(float(a), int(k), int(n - k)) for a, k, n in zip(score, pos, size)]
+    counts = spark.createDataFrame(table, "score double, pos long, neg long").repartition(7)
+    blocks = isotonic.isotonic_blocks(counts).orderBy("low").collect()
+    values = [b.total / b.weight for b in blocks]
+    assert all(a < b for a, b in zip(values, values[1:]))
+    want = brute_isotonic(score, pos, size - pos)
+    got = [next(v for b, v in zip(blocks, values) if b.low <= x <= b.high) for x in score]
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    assert sum(b.weight for b in blocks) == size.sum()
+    assert isotonic.isotonic_blocks(counts.limit(0)).count() == 0
+
+
+def test_calibrator_gives_the_values_of_the_blocks(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(400), 2)
+    y = (rng.random(400) < p**2).astype(int)
+    df = frame(spark, y, p)
+    got = calibrate.OOFCalibrator("isotonic").fit(df).transform(df, out_col="q").collect()
+    score = np.unique(p)
+    pos = np.array([y[p == v].sum() for v in score])
+    neg = np.array([(1 - y[p == v]).sum() for v in score])
+    want = dict(zip(score, brute_isotonic(score, pos, neg)))
+    assert max(abs(r.q - want[r.y_prob]) for r in got) < 1e-12
+
+
 def test_calibration_is_applied_once(spark):
     df = frame(spark, [0, 1] * 10, np.linspace(0.05, 0.95, 20))
     maps = {"m": calibrate.OOFCalibrator("sigmoid").fit(df)}
