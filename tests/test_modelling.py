@@ -31,8 +31,8 @@ def rows(spark):
 @pytest.mark.parametrize(
     "model, params",
     [("LR_EN", {"C": 1.0}), pytest.param("LinSVM_cal", {"C": 1.0}, marks=slow),
-     ("LinSVM_cal", {"C": 1.0, "max_iter": 40}),
-     ("LinSVM_cal", {"C": 1.0, "max_iter": 40, "calibration_method": "isotonic"}),
+     ("LinSVM_cal", {"C": 1.0, "max_iter": 8}),
+     ("LinSVM_cal", {"C": 1.0, "max_iter": 8, "calibration_method": "isotonic"}),
      ("RF", {"n_estimators": 10, "max_depth": 4}), ("XGBoost", {"n_estimators": 5, "max_depth": 2})],
 )
 def test_models_find_the_signal(spark, rows, model, params):
