@@ -26,9 +26,10 @@ LEVELS = 3
 BROADCAST_SOURCES = 100_000
 
 
-def document_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text (null: of the empty text)."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def document_hash(doc_id: Column, text: Column | None = None) -> Column:
+    """60 bits of the MD5 of the id as text; without an id, of the document's text."""
+    instead = F.lit("") if text is None else F.coalesce(text.cast("string"), F.lit(""))
+    digest = F.md5(F.coalesce(doc_id.cast("string"), instead))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -143,7 +144,7 @@ def sized_documents(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        document_hash(F.col("doc_id")).alias("hash"),
+        document_hash(F.col("doc_id"), F.col("text")).alias("hash"),
     )
 
 
@@ -183,9 +184,9 @@ def mix_sources(
     A whole document is taken 0 to ``cap`` times; a source misses its target by
     half of one document at most (repeats of one id count as one). Sources are
     compared by code point, null is a source of its own and comes last. Documents
-    without an id share one hash. Ties of the half go to the smaller set. An empty
+    without an id are told apart by their text. Ties of the half go to the smaller set. An empty
     table gives an empty result; other columns are ignored. The choice depends on
-    ids alone, so reruns and lost executors give the same rows.
+    ids (or texts, where there is none), so reruns and lost executors give the same rows.
     """
     hashed = checkpointed(sized_documents(docs))
     plan = mix_plan(hashed, weights, cap, share)
@@ -218,6 +219,6 @@ def mixed_documents(
     """
     plan = mix_plan(checkpointed(sized_documents(docs)), weights, cap, share)
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    taken = copies_taken(document_hash(F.col("d.doc_id")))
+    taken = copies_taken(document_hash(F.col("d.doc_id"), F.col("d.text")))
     again = F.when(taken > 0, F.sequence(F.lit(1), taken)).otherwise(F.array().cast("array<int>"))
     return docs.alias("d").join(plan.alias("p"), same).select("d.*", F.explode(again).alias("__copy")).drop("__copy")

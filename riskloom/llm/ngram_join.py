@@ -78,8 +78,12 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """64 bits of id and text: rows equal in both are one document."""
-    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+    """Id and 128 bits of the text: rows equal in both are one document."""
+    return F.concat_ws(
+        ":",
+        F.coalesce(docs["doc_id"].cast("string"), F.lit("")),
+        F.coalesce(F.md5(docs["text"].cast("string")), F.lit("")),
+    )
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -90,9 +94,9 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        id_type = None
+        id_type = key_type = None
         for batch in batches:
-            id_type = batch.column(0).type
+            id_type, key_type = batch.column(0).type, batch.column(1).type
             sets = shingle_sets(_texts(batch.column(2)), width)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             slots = (flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -115,7 +119,8 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(size, id_type),
-                    *[pa.nulls(size, pa.int64())] * 3,
+                    pa.nulls(size, key_type),
+                    *[pa.nulls(size, pa.int64())] * 2,
                     pa.array(range(size), pa.int32()),
                     pa.array(parts, pa.binary()),
                 ],
@@ -125,7 +130,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
     text = docs["text"].cast("string")
     return docs.select("doc_id", row_key(docs).alias("row_key"), text).mapInArrow(
         run,
-        f"doc_id {kind.simpleString()}, row_key long, n long, digest long, "
+        f"doc_id {kind.simpleString()}, row_key string, n long, digest long, "
         "part int, counts binary",
     )
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -192,6 +193,15 @@ def test_mixing_by_definition(spark):
     assert mix_sources(spark.createDataFrame(rows([None, ""]), SCHEMA)).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_mixing_without_ids_comes_as_near_to_its_targets(spark):
+    texts = [babble(i, 10) for i in range(300)]
+    docs = spark.createDataFrame(rows(texts, sources=["a"] * 200 + ["b"] * 100), SCHEMA)
+    docs = docs.withColumn("doc_id", F.when(F.col("source") == "b", F.col("doc_id")))
+    got = mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert all(abs(r.taken - r.target) <= 5 for r in got.collect())
+    assert mixed_documents(docs).where("source = 'a'").count() * 10 == got.where("source = 'a'").first().taken
+
+
 def exact(vectors: dict, queries: list, k: int):
     out = {}
     for q in queries:
