@@ -494,9 +494,12 @@ def elimination_paths(
     step: int = 1,
     loss: str = "logistic",
     tol: float = 1e-5,
+    always: frozenset[int] = frozenset(),
 ) -> list[tuple[list[frozenset[int]], Fitted]]:
     """Per fit: nested feature sets down to ``smallest``, and the fit on each of them.
 
+    Features in ``always`` are in every set and do not count.
+
     All fits go down together. The fit on a smaller set starts from the larger one's
     coefficients; the features with the smallest standardised coefficients leave,
     of equal ones those with the smaller names.
@@ -510,12 +513,12 @@ def elimination_paths(
         )
         for i, chosen in enumerate(current):
             seen[i].append((chosen, last.coefficients[i], last.intercepts[i], last.standardised[i]))
-        if all(len(c) <= smallest for c in current):
+        if all(len(c - always) <= smallest for c in current):
             break
         for i, chosen in enumerate(current):
             weight = np.abs(last.standardised[i])
-            out = sorted(chosen, key=lambda j: (weight[j], names[j]))[: min(step, len(chosen) - smallest)]
-            current[i] = chosen - set(out)
+            free = sorted(chosen - always, key=lambda j: (weight[j], names[j]))
+            current[i] = chosen - set(free[: min(step, max(0, len(free) - smallest))])
     paths = []
     for entries in seen:
         sets, coef, base, std = zip(*entries, strict=True)

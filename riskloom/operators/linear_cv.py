@@ -350,8 +350,12 @@ def elimination_curve(
     cv_folds: int,
     n_boot: int,
     seed: int,
+    always: Sequence[str] = (),
 ) -> tuple[list[dict], list[str]]:
-    """Points of the curve at ``sizes`` and the names in the order in which they left."""
+    """Points of the curve at ``sizes`` and the names in the order in which they left.
+
+    Names in ``always`` are in every fit; neither sizes nor points count them.
+    """
     from riskloom.operators.resample import bootstrap_sd
 
     position = {n: i for i, n in enumerate(names)}
@@ -359,11 +363,12 @@ def elimination_curve(
     rows = _weighted(train, [params])
     blocks = pack(with_folds(rows, folds, seed) if cv_folds > 1 else _all_rows(rows), folds)
     sums = moments(blocks)
+    kept = frozenset(position[n] for n in always)
     whole = candidate_fit(
-        sums, Fit(0), model_name, params, int(sums.rows.sum()), frozenset(position[n] for n in start)
+        sums, Fit(0), model_name, params, int(sums.rows.sum()), kept | {position[n] for n in start}
     )
-    (sets, path), = elimination_paths(blocks, sums, [whole], names, sizes[-1])
-    at = [next(i for i, s in enumerate(sets) if len(s) <= size) for size in sizes]
+    (sets, path), = elimination_paths(blocks, sums, [whole], names, sizes[-1], always=kept)
+    at = [next(i for i, s in enumerate(sets) if len(s - kept) <= size) for size in sizes]
     if cv_folds > 1:
         fits = []
         for g in range(cv_folds):
@@ -380,7 +385,8 @@ def elimination_curve(
     outer = fold_scores(held, path, {(0, 0): at})
     outer = checkpointed(outer.select("y_true", F.posexplode("scores").alias("place", "y_prob")))
     held.release()
-    points = [{"size": len(sets[i]), "features": sorted(names[j] for j in sets[i])} for i in at]
+    free = [sets[i] - kept for i in at]
+    points = [{"size": len(s), "features": sorted(names[j] for j in s)} for s in free]
     for suffix, table in (("cv", inner), ("val", outer)):
         aggregates = [*discrimination_aggregates(include_youden=False), brier_of_counts().alias("b")]
         for r in C.roc_table(table, ["place"]).groupBy("place").agg(*aggregates).collect():

@@ -634,6 +634,8 @@ class FeatureStrategy:
     selector_threshold: str | float = "median"
     selector_min_features: int = 10
     fixed_panel: tuple[str, ...] = ()
+    #: Names that neither the screen nor a fixed panel leaves out.
+    covariates: tuple[str, ...] = ()
 
 
 def fold_features(
@@ -656,15 +658,17 @@ def fold_features(
         missing = sorted(set(strategy.fixed_panel) - set(names))
         if missing:
             raise ValueError(f"panel features not in the data: {missing}")
-        return [n for n in names if n in set(strategy.fixed_panel)]
+        return [n for n in names if n in {*strategy.fixed_panel, *strategy.covariates}]
     current = list(names)
     label = {f"f{i:04d}": n for i, n in enumerate(names)}
     long = melt_array(
         train.select("y", vector_to_array("features").alias("a")), "a", ["y"]
     )
     if strategy.screen_method and strategy.screen_top_n > 0:
-        top = S.screen(long, strategy.screen_method, strategy.screen_top_n)
-        kept = {label[r["feature"]] for r in top.select("feature").collect()}
+        exempt = [code for code, n in label.items() if n in strategy.covariates]
+        measured = long.where(~F.col("feature").isin(exempt)) if exempt else long
+        top = S.screen(measured, strategy.screen_method, strategy.screen_top_n)
+        kept = {label[r["feature"]] for r in top.select("feature").collect()} | set(strategy.covariates)
         current = [n for n in current if n in kept]
     if strategy.k_best and strategy.k_best < len(current):
         back = {n: k for k, n in label.items()}
@@ -922,10 +926,12 @@ def recursive_elimination(
     n_perm_repeats: int = 5,
     n_boot: int = 50,
     seed: int = 42,
+    always: Sequence[str] = (),
 ) -> Elimination:
     """Drop the least important feature again and again, measuring at set sizes.
 
-    Stops early once validation AUROC falls below a fraction of the best seen.
+    Stops early once validation AUROC falls below a fraction of the best seen. Names in
+    ``always`` (covariates) are in every model and count in no size.
     """
     from riskloom.operators.resample import bootstrap_sd
 
@@ -933,7 +939,7 @@ def recursive_elimination(
     sizes = evaluation_sizes(len(start), min_size, step_strategy)
     if linear_cv.batched(train, model_name):
         measured, gone = linear_cv.elimination_curve(
-            train, validation, names, start, model_name, params or {}, sizes, cv_folds, n_boot, seed
+            train, validation, names, start, model_name, params or {}, sizes, cv_folds, n_boot, seed, always
         )
         points, best = [], 0.0
         for point in measured:
@@ -950,7 +956,7 @@ def recursive_elimination(
     current, removed, points, best = list(start), [], [], 0.0
     for size in sizes:
         while len(current) > max(size, min_size):
-            ordered = sorted(current, key=position.__getitem__)
+            ordered = sorted([*current, *always], key=position.__getitem__)
             model = fit_model(train, model_name, params, [position[n] for n in ordered], seed=seed)
             if model_name in ("LR_EN", "LR_L1", "LinSVM_cal"):
                 weight = coefficient_importance(model, ordered)
@@ -962,7 +968,7 @@ def recursive_elimination(
             worst = min(current, key=lambda n: (weight.get(n, 0.0), n))
             removed.append((model_name, worst, len(removed)))
             current.remove(worst)
-        indices = [position[n] for n in current]
+        indices = [position[n] for n in (*current, *always)]
         model = fit_model(train, model_name, params, indices, seed=seed)
         if cv_folds > 1:
             inner = cross_fitted(train, model_name, params, indices, cv_folds, seed)

@@ -7,7 +7,7 @@ Every job reads and writes tables of a ``Catalog``. A cohort has ``id``,
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from riskloom.operators.calibrate import (
     apply_base_calibration,
     calibration_curve,
 )
+from riskloom.operators.covariates import Covariates, fit_covariates, with_covariates
 from riskloom.operators.discrimination import cv_repeat_metrics
 from riskloom.operators.resample import test_set_intervals
 from riskloom.operators.screen import mann_whitney
@@ -27,6 +28,10 @@ from riskloom.session import checkpointed
 from riskloom.sources.catalog import Catalog
 
 
+#: Setting of stored splits that names the numbers whose absence removed rows.
+NUMBERS = "numeric_metadata"
+
+
 @dataclass(frozen=True)
 class StudyConfig:
     """Settings of a study; the defaults are those of the command line it replaces."""
@@ -59,6 +64,8 @@ class StudyConfig:
     panel_sizes: tuple[int, ...] = (10, 25, 50)
     min_panel: int = 5
     row_filters: bool = True
+    numeric_metadata: tuple[str, ...] = ()
+    categorical_metadata: tuple[str, ...] = ()
     n_boot: int = 1000
 
 
@@ -67,12 +74,15 @@ def make_splits(cohort: DataFrame, catalog: Catalog, config: StudyConfig, overwr
     rows = P.scenario_rows(cohort, config.scenario, "target")
     positives = P.scenario_positives(config.scenario)
     names = {"target_col": "target"}
-    extra = {"scheme": "", "temporal": str(config.temporal_col)}
+    extra = {
+        "scheme": "", "temporal": str(config.temporal_col), NUMBERS: ",".join(config.numeric_metadata),
+    }
     if config.row_filters:
         # What is filtered here is in no split, so no later job sees it.
         known = {
             "drop_uncertain_controls": P.EVENT_DATE in rows.columns,
             "target_col": "target",
+            "numeric": config.numeric_metadata or None,
         }
         extra |= P.filter_audit(rows, **known).first().asDict()
         rows = P.filter_rows(rows, **known)
@@ -114,10 +124,31 @@ def make_splits(cohort: DataFrame, catalog: Catalog, config: StudyConfig, overwr
     return table
 
 
-def _assembled(cohort: DataFrame, splits: DataFrame, seed: int, split: str, feature_col: str) -> DataFrame:
+def _rows(cohort: DataFrame, splits: DataFrame, seed: int, split: str) -> DataFrame:
     ids = splits.where((F.col("split_seed") == seed) & (F.col("split") == split)).select("id", "y")
+    return cohort.drop("y").join(ids, "id")
+
+
+def _assembled(
+    cohort: DataFrame, splits: DataFrame, seed: int, split: str, feature_col: str, covariates: Covariates
+) -> DataFrame:
+    rows = with_covariates(_rows(cohort, splits, seed, split), covariates, feature_col)
     weights = "balanced" if split == S.TRAIN else None
-    return M.vectors(cohort.drop("y").join(ids, "id"), feature_col, ["id", "y", "target"], weights)
+    return M.vectors(rows, feature_col, ["id", "y", "target"], weights)
+
+
+def _covariates(cohort: DataFrame, splits: DataFrame, seed: int, config: StudyConfig) -> Covariates:
+    """Metadata of a seed's TRAIN rows, as every model of that seed uses it."""
+    train = _rows(cohort, splits, seed, S.TRAIN)
+    return fit_covariates(train, config.numeric_metadata, config.categorical_metadata)
+
+
+def _same_numbers(catalog: Catalog, config: StudyConfig) -> None:
+    """Splits were filtered by the numbers that the models use, or it is an error."""
+    stored = catalog.load_split_metadata(config.scenario)
+    used = None if stored is None else stored.select(F.col("settings")[NUMBERS]).first()[0]
+    if used is not None and set(filter(None, used.split(","))) != set(config.numeric_metadata):
+        raise ValueError(f"splits were filtered by numbers [{used}], models use {list(config.numeric_metadata)}")
 
 
 def train_model(
@@ -130,23 +161,34 @@ def train_model(
     seed: int,
     feature_col: str = "features_array",
 ) -> DataFrame:
-    """Nested cross-validation, final fit, threshold on VAL, scores of VAL and TEST."""
+    """Nested cross-validation, final fit, threshold on VAL, scores of VAL and TEST.
+
+    The configured metadata stand behind the features in every model: they pass the
+    screen and fixed panels, compete for the k best, and enter no selection log or panel.
+    """
     key = {"scenario": F.lit(config.scenario), "model": F.lit(model), "split_seed": F.lit(seed)}
     keys = ["scenario", "model", "split_seed"]
-    frame = checkpointed(_assembled(cohort, splits, seed, S.TRAIN, feature_col))
+    _same_numbers(catalog, config)
+    covariates = _covariates(cohort, splits, seed, config)
+    columns = [*names, *covariates.names]
+    strategy = replace(config.strategy, covariates=tuple(covariates.names))
+    frame = checkpointed(_assembled(cohort, splits, seed, S.TRAIN, feature_col, covariates))
     nested = M.nested_cv(
         frame,
-        names,
+        columns,
         model,
         config.folds,
         config.repeats,
         config.inner_folds,
         config.choices.get(model),
-        config.strategy,
+        strategy,
         config.calibration,
         config.calibration_method,
         seed=seed,
     )
+    if covariates.names:
+        measured = F.array_except("features", F.lit(covariates.names))
+        nested.selection_log = nested.selection_log.withColumn("features", measured)
     catalog.write("selection_log", nested.selection_log.drop("model").withColumns(key), keys)
     catalog.write("param_log", nested.param_log.drop("model").withColumns(key), keys)
     if nested.coefficients is not None:
@@ -155,8 +197,8 @@ def train_model(
     catalog.write("oof", nested.oof.join(category, "id").withColumns(key), keys)
     catalog.append_cv_metrics(cv_repeat_metrics(nested.oof.withColumns(key), keys))
 
-    chosen = M.fold_features(frame, names, model, config.strategy, seed)
-    position = {n: i for i, n in enumerate(names)}
+    chosen = M.fold_features(frame, columns, model, strategy, seed)
+    position = {n: i for i, n in enumerate(columns)}
     params = config.params.get(model, {})
     if config.choices.get(model):
         params, _, _ = M.search(
@@ -164,7 +206,7 @@ def train_model(
             indices=[position[n] for n in chosen],
         )
     if params.get("k"):
-        chosen = M.fold_features(frame, chosen, model, M.FeatureStrategy(k_best=params["k"]), seed, names)
+        chosen = M.fold_features(frame, chosen, model, M.FeatureStrategy(k_best=params["k"]), seed, columns)
     weighted = frame
     if "class_weight" in params:
         weighted = M.with_class_weights(frame, params["class_weight"])
@@ -173,7 +215,7 @@ def train_model(
     target_prevalence = config.target_prevalence or prevalence
     scored = None
     for split in (S.VAL, S.TEST):
-        rows = _assembled(cohort, splits, seed, split, feature_col)
+        rows = _assembled(cohort, splits, seed, split, feature_col, covariates)
         part = M.predict(fitted, rows, ["id", "y", "target"])
         if nested.calibrator is not None:
             part = nested.calibrator.transform(part)
@@ -205,6 +247,7 @@ def train_model(
             "target_prevalence": target_prevalence,
             "n_features": len(chosen),
             "features": ",".join(chosen),
+            "covariates": covariates.to_json(),
         },
         nested.calibrator,
     )
@@ -218,7 +261,8 @@ def extra_tables(frame, names, nested, scored, catalog, config, model, seed) ->
 
     key = {"scenario": F.lit(config.scenario), "model": F.lit(model), "split_seed": F.lit(seed)}
     keys = ["scenario", "model", "split_seed"]
-    values = frame.select("id", "y", vector_to_array("features").alias("a"))
+    measured = F.slice(vector_to_array("features"), 1, len(names))  # without the metadata
+    values = frame.select("id", "y", measured.alias("a"))
     long = P.melt_array(values, "a", ["id", "y"], names=names)
     screening = checkpointed(mann_whitney(long))
     catalog.write("screening", screening.withColumns(key), keys)
@@ -358,10 +402,12 @@ def optimize_panel(
     start = [r["feature"] for r in ordered.collect()]
     if len(start) < config.min_panel:
         raise ValueError(f"only {len(start)} stable features for {model}")
-    train = checkpointed(_assembled(cohort, splits, seed, S.TRAIN, feature_col))
-    val = checkpointed(_assembled(cohort, splits, seed, S.VAL, feature_col))
+    covariates = _covariates(cohort, splits, seed, config)
+    train = checkpointed(_assembled(cohort, splits, seed, S.TRAIN, feature_col, covariates))
+    val = checkpointed(_assembled(cohort, splits, seed, S.VAL, feature_col, covariates))
     result = M.recursive_elimination(
-        train, val, names, start, model, config.params.get(model), config.min_panel, seed=seed, **kw
+        train, val, [*names, *covariates.names], start, model, config.params.get(model), config.min_panel,
+        seed=seed, always=covariates.names, **kw
     )
     catalog.save_elimination(result, seed, config.scenario)
     return result
@@ -408,6 +454,7 @@ def evaluate_holdout(
     ids = catalog.load_holdout(config.scenario).withColumn("split", F.lit(S.HOLDOUT))
     rows = P.split_rows(cohort, ids, S.HOLDOUT)
     rows = P.with_outcome(rows.drop("y"), P.scenario_positives(config.scenario), "target")
+    rows = with_covariates(rows, Covariates.from_json(settings.get("covariates")), feature_col)
     frame = M.vectors(rows, feature_col, ["id", "y", "target"], None)
     scored = M.predict(fitted, frame, ["id", "y", "target"])
     if calibrator is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.operators.covariates import fit_covariates
 from riskloom.operators import prepare as P, splits as S
 from riskloom.queries.registry import (
     COHORT_SQL,
@@ -351,3 +352,15 @@ FROM n, (SELECT UNNEST([CAST('0.25' AS DOUBLE), CAST('0.5' AS DOUBLE), CAST('1'
 def _prefixes(t: Tables):
     out = S.training_prefix(t.dated_cohort(), [0.25, 0.5, 1.0], 3, stratum_col="target")
     return out.groupBy("target", "fraction").agg(F.count_distinct("id").alias("n"))
+
+
+@query("covariate_values", f"""WITH {COHORT_SQL}, train AS (SELECT * FROM cohort WHERE id % 2 = 0),
+m AS (SELECT AVG(age) AS age, AVG(bmi) AS bmi FROM train),
+v AS (SELECT sex AS level, ROW_NUMBER() OVER (ORDER BY sex) AS place FROM (SELECT DISTINCT sex FROM train WHERE sex IS NOT NULL))
+SELECT id, 'age' AS feature, ROUND(COALESCE(cohort.age, m.age), 9) AS value FROM cohort, m
+UNION ALL SELECT id, 'bmi', ROUND(COALESCE(cohort.bmi, m.bmi), 9) FROM cohort, m
+UNION ALL SELECT id, 'sex_' || level, CASE WHEN sex = level THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM cohort, v WHERE place > 1""")
+def _covariate_values(t: Tables):
+    rows = t.cohort()
+    fitted = fit_covariates(rows.where("id % 2 = 0"), ["age", "bmi"], ["sex"])
+    return rounded(P.melt_array(rows.select("id", fitted.values().alias("a")), "a", ["id"], names=fitted.names))
