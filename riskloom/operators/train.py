@@ -21,11 +21,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import (
+    SQLTransformer,
+    StandardScaler,
+    StandardScalerModel,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -48,6 +56,8 @@ MODELS = ("LR_EN", "LR_L1", "LinSVM_cal", "RF", "XGBoost")
 MAX_TREE_DEPTH = 30
 #: Rows that one task of a tree fit reads at least.
 TREE_TASK_ROWS = 10_000
+#: Terms of a margin that a row carries while features are shuffled.
+TERMS = 256
 
 # Default search grids per model.
 LR_C = (1e-4, 100.0, 7)
@@ -489,6 +499,96 @@ def coefficient_table(model: PipelineModel, names: Sequence[str], spark) -> Data
     raise ValueError("not a linear model")
 
 
+def _read_places(model: PipelineModel, width: int) -> list[int]:
+    """Places of the feature vector that the final estimator gets."""
+    for stage in model.stages:
+        if isinstance(stage, VectorSlicer) and stage.getInputCol() == "features":
+            return list(stage.getIndices())
+    return list(range(width))
+
+
+def _used_places(model: PipelineModel, width: int) -> set[int]:
+    """Places whose values can change a score: in a tree, or with a coefficient."""
+    places = _read_places(model, width)
+    values = coefficient_importance(model, [str(i) for i in places])
+    return {i for i in places if values[str(i)] != 0.0}
+
+
+def _margin_slopes(model: PipelineModel, width: int) -> tuple[int, dict[int, float]] | None:
+    """Position of a linear estimator among the stages, and its margin's slope in each place."""
+    places = _read_places(model, width)
+    sd = np.ones(len(places))
+    for position, stage in enumerate(model.stages):
+        if isinstance(stage, StandardScalerModel):
+            sd = stage.std.toArray()
+        elif isinstance(stage, (LogisticRegressionModel, LinearSVCModel)):
+            slopes = np.divide(stage.coefficients.toArray(), sd, out=np.zeros(len(sd)), where=sd > 0)
+            return position, dict(zip(places, slopes.tolist(), strict=True))
+    return None
+
+
+def _lent(
+    rows: DataFrame, repeats: int, seed: int, receiver: Sequence[str], donor: Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Row k of one hash order beside row k of another, in every repeat (and of each key)."""
+    groups = [*keys, "repeat"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    order = F.lit(seed) + F.col("repeat")
+    receivers = hash_ranked(rows.select("id", *keys, *receiver, every), groups, "id", order, salt=6)
+    donors = hash_ranked(rows.select("id", *keys, *donor, every), groups, "id", order, salt=7)
+    return receivers.join(donors.select(*groups, "rank", *donor), [*groups, "rank"])
+
+
+def _shuffled_by_margin(model, df, names, used, position, slopes, repeats, seed) -> DataFrame:
+    """(y, repeat, feature, y_prob): the margin moves by slope × (lent - own value).
+
+    A row carries its margin and the terms of at most ``TERMS`` features.
+    """
+    estimator = model.stages[position]
+    raw = "svm_raw" if isinstance(estimator, LinearSVCModel) else "rawPrediction"
+    scored = PipelineModel(stages=model.stages[: position + 1]).transform(df)
+    value = vector_to_array("features")
+    blocks = [used[i : i + TERMS] for i in range(0, len(used), TERMS)]
+    pieces = F.array(
+        *[
+            F.struct(
+                F.lit(b).alias("block"), F.array(*[value[j] * slopes[j] for j in block]).alias("terms")
+            )
+            for b, block in enumerate(blocks)
+        ]
+    )
+    rows = scored.select("id", "y", vector_to_array(raw)[1].alias("margin"), F.inline(pieces))
+    labels = F.element_at(
+        F.array(*[F.array(*[F.lit(names[j]) for j in block]) for block in blocks]), F.col("block") + 1
+    )
+    rows = rows.withColumn("lent", F.col("terms"))
+    paired = _lent(rows, repeats, seed, ["y", "margin", "terms"], ["lent"], ["block"])
+    change = F.zip_with("lent", "terms", lambda a, b: a - b)
+    moved = paired.select("y", "repeat", "margin", labels.alias("feature"), change.alias("change")).select(
+        "y", "repeat", "margin", F.inline(F.arrays_zip("feature", "change"))
+    )
+    moved = moved.select("y", "repeat", "feature", (F.col("margin") + F.col("change")).alias("m"))
+    if raw == "rawPrediction":
+        probability = 1.0 / (1.0 + F.exp(-F.col("m")))
+        return moved.select("y", "repeat", "feature", probability.alias("y_prob")).withColumnRenamed("y", "y_true")
+    rest = PipelineModel(stages=model.stages[position + 1 :])
+    moved = moved.withColumn("svm_raw", array_to_vector(F.array(-F.col("m"), F.col("m"))))
+    return predict(rest, moved, ["y", "repeat", "feature"])
+
+
+def _shuffled_by_vector(model, df, names, used, repeats, seed) -> DataFrame:
+    """(y, repeat, feature, y_prob) of whole vectors with one place lent, scored by the model."""
+    value = vector_to_array("features")
+    rows = df.select("id", "y", value.alias("own"), value.alias("lent"))
+    paired = _lent(rows, repeats, seed, ["y", "own"], ["lent"])
+    label = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(names[j]).alias("feature")) for j in used])
+    changed = F.transform("own", lambda v, i: F.when(i == F.col("j"), F.col("lent")[i]).otherwise(v))
+    mixed = paired.select("id", "y", "repeat", "own", "lent", F.inline(label)).select(
+        "id", "y", "repeat", "feature", array_to_vector(changed).alias("features")
+    )
+    return predict(model, mixed.withColumn("weight", F.lit(1.0)), ["y", "repeat", "feature"])
+
+
 def permutation_drops(
     model: PipelineModel,
     df: DataFrame,
@@ -501,46 +601,35 @@ def permutation_drops(
 
     Row k of one hash order lends its values to row k of another, which
     shuffles every feature; the feature in turn takes the lent value. The
-    scores of all features and repeats are measured in one grouped job.
+    scores of all features and repeats are measured in one grouped job. Of a linear
+    model only the margin moves; of trees, features that no tree reads lose nothing.
     """
-    base = predict(model, df)
-    full = C.roc_table(base, []).agg(C.only_two_class(C.auroc_of_roc()).alias("full"))
-    rows = df.select("id", "y", vector_to_array("features").alias("own"))
-    spread = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    receivers = hash_ranked(spread, ["repeat"], "id", F.lit(seed) + F.col("repeat"), salt=6)
-    donors = hash_ranked(
-        spread.select("id", "repeat", F.col("own").alias("lent")),
-        ["repeat"],
-        "id",
-        F.lit(seed) + F.col("repeat"),
-        salt=7,
-    ).select("repeat", "rank", "lent")
-    paired = receivers.join(donors, ["repeat", "rank"])
+    full = C.roc_table(predict(model, df), []).agg(C.only_two_class(C.auroc_of_roc()).alias("full"))
     wanted = set(names if only is None else only)
-    label = F.array(
-        *[
-            F.struct(F.lit(j).alias("j"), F.lit(n).alias("feature"))
-            for j, n in enumerate(names)
-            if n in wanted
-        ]
-    )
-    mixed = paired.select("id", "y", "repeat", "own", "lent", F.inline(label)).select(
-        "id",
-        "y",
+    reads = _used_places(model, len(names))
+    used = [j for j, n in enumerate(names) if n in wanted and j in reads]
+    idle = [n for j, n in enumerate(names) if n in wanted and j not in reads]
+    one = F.broadcast(full)  # one number
+    every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    nothing = full.select("full", every).select(
         "repeat",
-        "feature",
-        array_to_vector(
-            F.transform("own", lambda v, i: F.when(i == F.col("j"), F.col("lent")[i]).otherwise(v))
-        ).alias("features"),
+        F.explode(F.array(*[F.lit(n) for n in idle]).cast("array<string>")).alias("feature"),
+        (F.col("full") * 0.0).alias("drop"),
     )
-    scored = predict(model, mixed.withColumn("weight", F.lit(1.0)), ["y", "repeat", "feature"])
-    roc = C.roc_table(scored, ["repeat", "feature"])
-    shuffled = roc.groupBy("repeat", "feature").agg(
+    if not used:
+        return nothing
+    linear = _margin_slopes(model, len(names))
+    if linear is None:
+        scored = _shuffled_by_vector(model, df, names, used, repeats, seed)
+    else:
+        scored = _shuffled_by_margin(model, df, names, used, *linear, repeats, seed)
+    shuffled = C.roc_table(scored, ["repeat", "feature"]).groupBy("repeat", "feature").agg(
         C.only_two_class(C.auroc_of_roc()).alias("auroc")
     )
-    return shuffled.crossJoin(F.broadcast(full)).select(  # one number
+    drops = shuffled.crossJoin(one).select(
         "repeat", "feature", (F.col("full") - F.col("auroc")).alias("drop")
     )
+    return drops.unionByName(nothing) if idle else drops
 
 
 def importance(

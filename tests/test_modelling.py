@@ -28,6 +28,24 @@ def rows(spark):
     return checkpointed(M.vectors(df, "a").coalesce(2))
 
 
+@pytest.mark.parametrize(
+    "model, params, indices",
+    [("LR_EN", {"C": 0.05, "l1_ratio": 1.0}, None), ("LR_EN", {"C": 1.0}, [4, 0, 2]),
+     ("LinSVM_cal", {"C": 1.0, "max_iter": 8}, [0, 1, 3]),
+     ("LinSVM_cal", {"C": 1.0, "max_iter": 8, "calibration_method": "isotonic"}, None),
+     ("RF", {"n_estimators": 6, "max_depth": 2}, [0, 1, 3])],
+)
+def test_permutation_drops_equal_whole_vectors(spark, rows, monkeypatch, model, params, indices):
+    fitted = M.fit_model(rows, model, params, indices, calibration_folds=2)
+    monkeypatch.setattr(M, "TERMS", 2)
+    got = {(r[0], r[1]): r[2] for r in M.permutation_drops(fitted, rows, NAMES, repeats=2).collect()}
+    monkeypatch.setattr(M, "_margin_slopes", lambda *a: None)
+    monkeypatch.setattr(M, "_used_places", lambda *a: {0, 1, 2, 3, 4})
+    want = {(r[0], r[1]): r[2] for r in M.permutation_drops(fitted, rows, NAMES, repeats=2).collect()}
+    assert got.keys() == want.keys() == {(k, n) for k in range(2) for n in NAMES}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 @pytest.mark.parametrize(
     "model, params",
     [("LR_EN", {"C": 1.0}), pytest.param("LinSVM_cal", {"C": 1.0}, marks=slow),
