@@ -6,10 +6,12 @@ Every job reads and writes tables of a ``Catalog``. A cohort has ``id``,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import corr, dca, panels, prepare as P, splits as S, summarize as L
@@ -17,14 +19,15 @@ from riskloom.operators import stacking, thresholds as T, train as M
 from riskloom.operators.calibrate import (
     adjust_for_prevalence,
     apply_base_calibration,
+    calibration_band,
     calibration_curve,
 )
 from riskloom.operators.covariates import Covariates, fit_covariates, with_covariates
-from riskloom.operators.discrimination import cv_repeat_metrics
+from riskloom.operators.discrimination import curve_band, cv_repeat_metrics
 from riskloom.operators.resample import test_set_intervals
-from riskloom.operators.screen import mann_whitney
+from riskloom.operators.screen import mann_whitney, screening_over_splits
 from riskloom.plans.evaluate import evaluate_predictions, evaluate_validation_then_test
-from riskloom.session import checkpointed
+from riskloom.session import checkpointed, ensure_checkpoint_dir
 from riskloom.sources.catalog import Catalog
 
 
@@ -66,9 +69,53 @@ class StudyConfig:
     row_filters: bool = True
     numeric_metadata: tuple[str, ...] = ()
     categorical_metadata: tuple[str, ...] = ()
+    learning_points: int = 0
+    #: Models, seeds and scenarios that run at a time; see the README before raising it.
+    branches: int = 1
     n_boot: int = 1000
 
 
+def side_by_side(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], at_once: int) -> dict:
+    """Results of independent jobs by name, ``at_once`` of them running at a time.
+
+    Each job runs in a scheduler pool of its own name: with ``spark.scheduler.mode``
+    FAIR, small fits do not wait for the tasks of large ones. A failed job leaves the
+    others running; when all have ended, the failures are raised together.
+    """
+    def branch(name: str, job: Callable[[], object]) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    results, failed = {}, []
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        # Each call copies the properties: one copy for all would share the pool.
+        running = {n: pool.submit(inheritable_thread_target(spark)(branch), n, j) for n, j in jobs.items()}
+        for name, future in running.items():
+            try:
+                results[name] = future.result()
+            except Exception as error:
+                error.add_note(f"in {name}")
+                failed.append(error)
+    if failed:
+        raise ExceptionGroup(f"{len(failed)} of {len(jobs)} jobs failed", failed)
+    return results
+
+
+def make_scenario_splits(
+    cohort: DataFrame, catalog: Catalog, config: StudyConfig, scenarios: Sequence[str], overwrite: bool = False
+) -> dict[str, DataFrame]:
+    """``make_splits`` of several scenarios in one call, by scenario."""
+    ensure_checkpoint_dir(catalog.spark)
+    return side_by_side(
+        catalog.spark,
+        {s: lambda s=s: make_splits(cohort, catalog, replace(config, scenario=s), overwrite) for s in scenarios},
+        config.branches,
+    )
+
+
 def make_splits(cohort: DataFrame, catalog: Catalog, config: StudyConfig, overwrite: bool = False) -> DataFrame:
     """Holdout and repeated splits of one scenario, written with their metadata."""
     rows = P.scenario_rows(cohort, config.scenario, "target")
@@ -252,6 +299,11 @@ def train_model(
         nested.calibrator,
     )
     extra_tables(frame, names, nested, scored, catalog, config, model, seed)
+    if config.learning_points:
+        own = M.VectorSlicer(inputCol="features", outputCol="own", indices=[position[n] for n in chosen])
+        rows = own.transform(frame).drop("features").withColumnRenamed("own", "features")
+        curve = M.learning_curve(rows, model, params, config.folds, n_points=config.learning_points, seed=seed)
+        catalog.write("learning_curve", curve.withColumns(key), keys)
     return scored
 
 
@@ -301,14 +353,18 @@ def train_ensemble(catalog: Catalog, config: StudyConfig, seed: int) -> DataFram
         {
             "scenario": F.lit(config.scenario),
             "split_seed": F.lit(seed),
-            "y_prob_adjusted": F.col("y_prob"),
             "calibrated": F.lit(stacker.calibrator is not None),
         }
     )
+    # The seed's models share TRAIN; the ensemble is judged on their scale.
+    _, _, settings = catalog.load_model(config.scenario, models[0], seed)
+    out = adjust_for_prevalence(
+        out, float(settings["train_prevalence"]), float(settings["target_prevalence"])
+    )
     out = checkpointed(out)
     catalog.save_predictions(out)
     metrics = evaluate_validation_then_test(
-        out, config.objective, fixed_spec=config.target_specificity
+        out.withColumn("y_prob", F.col("y_prob_adjusted")), config.objective, fixed_spec=config.target_specificity
     )
     keys = ["scenario", "model", "split_seed"]
     catalog.write("metrics", metrics.withColumn("scenario", F.lit(config.scenario)), keys)
@@ -328,9 +384,13 @@ def train_ensemble(catalog: Catalog, config: StudyConfig, seed: int) -> DataFram
 
 
 def aggregate_splits(catalog: Catalog, config: StudyConfig) -> dict[str, DataFrame]:
-    """Tables over all splits and models of a scenario, grouped by model."""
+    """Tables over all splits and models of a scenario, grouped by model.
+
+    All scores are those after the adjustment to the target prevalence, as in the
+    metrics of the single splits.
+    """
     where = {"scenario": config.scenario}
-    predictions = catalog.predictions(**where)
+    predictions = catalog.predictions(**where).withColumn("y_prob", F.col("y_prob_adjusted"))
     test = predictions.where(F.col("split") == S.TEST)
     val = predictions.where(F.col("split") == S.VAL)
     log = catalog.read("selection_log", **where)
@@ -364,6 +424,23 @@ def aggregate_splits(catalog: Catalog, config: StudyConfig) -> dict[str, DataFra
             predictions,
         ),
     }
+    screening = catalog.read("screening", **where).dropDuplicates(["split_seed", "feature"])
+    out |= {
+        "roc_band": curve_band(test, ["model"], "split_seed", "roc"),
+        "pr_band": curve_band(test, ["model"], "split_seed", "pr"),
+        "calibration_band": calibration_band(test, ["model"], "split_seed"),
+        "decision_curve_band": dca.decision_curve_band(test, ["model"], "split_seed"),
+        "screening": screening_over_splits(screening, ["p_value", "effect_size", "nonmissing_frac"]),
+    }
+    for name, table in L.risk_distribution(test, ["model"], target_spec=config.target_specificity).items():
+        out[f"risk_{name}"] = table
+    repeats = L.oof_tables(catalog.read("oof", **where), ["model", "split_seed"], config.target_specificity)
+    for name, table in repeats.items():
+        out[f"oof_{name}"] = table
+    if catalog.has("learning_curve"):
+        out["learning_curve"] = L.combine_learning_curves(
+            catalog.read("learning_curve", **where), ["model"], "split_seed"
+        )
     if catalog.has("ensemble_coefficients"):
         coefficients = catalog.read("ensemble_coefficients", **where)
         out["ensemble_metadata"] = L.ensemble_metadata(coefficients, pooled_test)
@@ -500,12 +577,24 @@ def run_study(
         "y", target.isin(*positives).cast("int")
     )
     splits = checkpointed(labelled.select("id", "split", "split_seed", "y"))
-    for model in config.models:
-        for seed in config.seeds:
-            train_model(cohort, splits, names, catalog, config, model, seed, feature_col)
+    # Every branch writes its own partitions, and what others wrote outlives a failed one.
+    side_by_side(
+        catalog.spark,
+        {
+            f"{model}, seed {seed}": lambda model=model, seed=seed: train_model(
+                cohort, splits, names, catalog, config, model, seed, feature_col
+            )
+            for seed in config.seeds
+            for model in config.models
+        },
+        config.branches,
+    )
     if with_ensemble and len(config.models) > 1:
-        for seed in config.seeds:
-            train_ensemble(catalog, config, seed)
+        side_by_side(
+            catalog.spark,
+            {f"ensemble, seed {s}": lambda s=s: train_ensemble(catalog, config, s) for s in config.seeds},
+            config.branches,
+        )
     out = aggregate_splits(catalog, config)
     if with_panels:
         for model in config.models:

@@ -128,6 +128,36 @@ def test_stacker(spark, rows):
         K.require_same_ids(both.where("model = 'good' OR id <> 3"), ["good", "bad"])
 
 
+def test_a_lost_branch_leaves_the_others(spark):
+    from riskloom.plans.study import side_by_side
+
+    def pool():
+        return spark.sparkContext.getLocalProperty("spark.scheduler.pool"), spark.range(7).count()
+
+    assert side_by_side(spark, {"a": pool, "b": pool}, 2) == {"a": ("a", 7), "b": ("b", 7)}
+    assert side_by_side(spark, {}, 2) == {}
+    done = []
+    with pytest.raises(ExceptionGroup) as lost:
+        side_by_side(
+            spark, {"bad": lambda: spark.range(3).select(F.raise_error(F.lit("gone"))).collect(),
+                    "good": lambda: done.append(spark.range(5).count())}, 1,
+        )
+    assert done == [5] and lost.value.exceptions[0].__notes__ == ["in bad"]
+
+
+def test_splits_of_several_scenarios(spark, tmp_path):
+    from riskloom.plans.study import StudyConfig, make_scenario_splits
+    from riskloom.sources.catalog import Catalog
+
+    data = [(i, ["Controls", "Controls", "Incident", "Prevalent"][i % 4]) for i in range(200)]
+    cohort = checkpointed(spark.createDataFrame(data, "id bigint, target string"))
+    catalog = Catalog(spark, str(tmp_path / "splits"))
+    made = make_scenario_splits(cohort, catalog, StudyConfig(), ["IncidentOnly", "IncidentPlusPrevalent"])
+    assert {s: t.count() for s, t in made.items()} == {"IncidentOnly": 150, "IncidentPlusPrevalent": 200}
+    assert catalog.load_splits("IncidentOnly").count() == 150
+    assert catalog.load_split_metadata("IncidentPlusPrevalent", 0).count() == 3
+
+
 def test_small_study(spark, tmp_path):
     from riskloom.plans.study import StudyConfig, evaluate_holdout, optimize_panel, run_study
     from riskloom.sources.catalog import Catalog
@@ -143,7 +173,7 @@ def test_small_study(spark, tmp_path):
     config = StudyConfig(
         models=("LR_EN", "LR_L1"), folds=2, repeats=1, holdout_size=0.2, n_boot=20, objective="youden",
         stability_threshold=0.5, corr_threshold=0.9, panel_size=3, min_panel=3,
-        params={"LR_EN": {"C": 1.0}, "LR_L1": {"C": 1.0}},
+        params={"LR_EN": {"C": 1.0}, "LR_L1": {"C": 1.0}}, target_prevalence=0.05, learning_points=2,
     )
     catalog = Catalog(spark, str(tmp_path / "study"))
     out = run_study(cohort, NAMES, catalog, config)
@@ -151,6 +181,20 @@ def test_small_study(spark, tmp_path):
     assert set(pooled) == {"LR_EN", "LR_L1", "ENSEMBLE"} and min(pooled.values()) > 0.7
     # Without feature selection all features tie, so the panel follows the names.
     assert [r.feature for r in out["panel"].orderBy("rank").collect()] == ["n0", "n1", "n2"]
+    # One scale in every table: scores at the target's prevalence, the ensemble's too.
+    mean = catalog.predictions().groupBy("model").agg(F.avg("y_prob").alias("raw"), F.avg("y_prob_adjusted").alias("p"))
+    assert all(r.p < 0.6 * r.raw for r in mean.collect()) and mean.count() == 3
+    stored = catalog.metrics(split="TEST").select("model", "brier").collect()
+    brier = {r.model: r.brier for r in out["pooled_test"].collect()}
+    assert all(abs(r.brier - brier[r.model]) < 1e-9 for r in stored) and len(stored) == 3
+    for name in ("roc_band", "pr_band", "calibration_band", "decision_curve_band", "risk_histogram", "risk_statistics"):
+        table = catalog.read(f"aggregated_{name}", scenario="IncidentOnly")
+        assert {r.model for r in table.select("model").distinct().collect()} == set(pooled), name
+    for name in ("oof_roc", "oof_pr", "oof_calibration", "oof_thresholds", "learning_curve"):
+        table = catalog.read(f"aggregated_{name}", scenario="IncidentOnly")
+        assert {r.model for r in table.select("model").distinct().collect()} == {"LR_EN", "LR_L1"}, name
+    screened = {r.feature: r for r in catalog.read("aggregated_screening").collect()}
+    assert set(screened) == set(NAMES) and screened["s0"].n_splits == 1
     splits = catalog.load_splits("IncidentOnly").join(cohort.select("id", "target"), "id").withColumn(
         "y", (F.col("target") == "Incident").cast("int")
     )
