@@ -113,7 +113,8 @@ typed AS (SELECT model, 'incident' AS case_type, y_prob, CASE WHEN category = 'I
 
 
 @query("calibration_by_case_type", f"""WITH {_TYPED},
-d AS (SELECT model, case_type, y_true, LN(y_prob / (1 - y_prob)) AS x FROM typed),
+d AS (SELECT model, case_type, y_true, LN(q / (1 - q)) AS x
+  FROM (SELECT *, GREATEST(LEAST(y_prob, 1 - 1e-7), 1e-7) AS q FROM typed)),
 br AS (SELECT model, case_type, AVG((y_true - y_prob) ** 2) AS brier FROM typed GROUP BY ALL),
 {newton_sql("d", "model, case_type", 10)}
 SELECT model, case_type, ROUND(brier, 6) AS brier, ROUND(a, 6) AS calib_intercept, ROUND(b, 6) AS calib_slope
