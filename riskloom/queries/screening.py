@@ -544,7 +544,8 @@ def _coefficients(t: Tables):
 
 
 @query("importance_selection", f"""WITH {FEATURES_SQL},
-m AS (SELECT feature, AVG(value) AS v FROM features GROUP BY feature HAVING AVG(value) >= 0.002)
+a AS (SELECT feature, AVG(value) AS v FROM features GROUP BY feature),
+m AS (SELECT feature, v FROM a WHERE v >= 0.002 OR (SELECT MAX(v) FROM a) < 0.002)
 SELECT feature, ROUND(v, 9) AS importance, ROW_NUMBER() OVER (ORDER BY v DESC, feature) AS rank FROM m
 QUALIFY rank <= 12""")
 def _importance(t: Tables):

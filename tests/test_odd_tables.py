@@ -1,6 +1,7 @@
 """Queries beside their SQL on tables with odd values."""
 
 import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as contract
@@ -26,3 +27,16 @@ def test_scores_of_zero_are_clipped_by_case_type(spark, tmp_path):
         f"SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN 0.0 ELSE value END AS value) FROM '{SF}/events.parquet'"
     )
     assert differs(spark, tmp_path, "calibration_by_case_type", events=events.to_arrow_table()) is None
+
+
+def test_all_features_are_kept_where_none_is_important_enough(spark, tmp_path):
+    # Means shrink as rows grow: here no feature reaches the minimum.
+    rows = [[(i * 7 + j * 13) % 31 * 1e-4 - 2e-3 for j in range(64)] for i in range(60)]
+    embeddings = pa.table(
+        {
+            "vec_id": pa.array(range(60), pa.int64()),
+            "embedding": pa.array(rows, pa.list_(pa.float32())),
+            "label": pa.array([i % 10 for i in range(60)], pa.int32()),
+        }
+    )
+    assert differs(spark, tmp_path, "importance_selection", embeddings=embeddings) is None
