@@ -258,8 +258,8 @@ def fit_model(
     n = train.count()
     estimator = classifier(model_name, params, n, seed).setFeaturesCol(source)
     if model_name in ("RF", "XGBoost"):
-        # Trees read the rows once a level: few rows in many tasks cost only waiting.
-        rows = train.coalesce(max(1, n // TREE_TASK_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = _tree_rows(train, n, estimator.getNumTrees() if model_name == "RF" else 1)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         fitted = Pipeline(stages=[*stages, estimator]).fit(rows)
         rows.unpersist()
         return fitted
@@ -285,6 +285,20 @@ def fit_model(
     return PipelineModel(stages=[*base.fit(train).stages, margin, *last])
 
 
+def _tree_rows(train: DataFrame, n: int, trees: int) -> DataFrame:
+    """Rows in as many tasks as ``trees`` that grow side by side keep busy.
+
+    Trees read the rows once a level: few rows in many tasks cost only waiting. A forest
+    walks every tree for every row, so its rows are dealt to more tasks, by their ids:
+    draws go by a row's place, which is the same in a rerun.
+    """
+    at_once = train.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, n // TREE_TASK_ROWS, min(at_once, n * trees // TREE_TASK_ROWS))
+    if tasks <= train.rdd.getNumPartitions():
+        return train.coalesce(tasks)
+    return train.repartition(tasks, "id").sortWithinPartitions("id")
+
+
 def _monotone_probability(margins: DataFrame) -> list:
     """Stages from a ``margin`` vector to a ``probability`` that rises with it."""
     value = vector_to_array("margin")[0].alias("p")

@@ -210,3 +210,23 @@ def test_small_study(spark, tmp_path):
     held = evaluate_holdout(cohort, catalog, config, "LR_EN", 0, clinical_points=[0.3])
     assert held["metrics"].first().n_samples == 48
     assert {r.kind for r in held["thresholds"].collect()} == {"primary", "clin_0p3"}
+
+
+def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, 1.0, [float(i % 7), float(i % 3)]) for i in range(400)],
+                                 "id bigint, y int, weight double, a array<double>").coalesce(1)
+    rows = rows.select("id", "y", "weight", M.array_to_vector("a").alias("features"))
+    tasks = {}
+
+    class Recorded(M.Pipeline):
+        def fit(self, dataset):
+            tasks[type(self.getStages()[-1]).__name__] = dataset.rdd.getNumPartitions()
+
+    monkeypatch.setattr(M, "Pipeline", Recorded)
+    M.fit_model(rows, "RF", {})
+    M.fit_model(rows, "XGBoost", {})
+    assert tasks["RandomForestClassifier"] == spark.sparkContext.defaultParallelism
+    assert tasks["GBTClassifier"] == 1
+    ids = [[r["id"] for r in part] for part in M._tree_rows(rows, 400, 500).rdd.glom().collect()]
+    assert sorted(sum(ids, [])) == list(range(400))
+    assert ids == [[r["id"] for r in part] for part in M._tree_rows(rows.repartition(3), 400, 500).rdd.glom().collect()]
