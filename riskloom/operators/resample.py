@@ -171,19 +171,21 @@ REPS_AT_ONCE = 50
 PARTIALS = "n_pos bigint, n_neg bigint, won double, precision double, youden double"
 
 
-def with_ordered_cells(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+def with_ordered_cells(
+    counts: DataFrame, group_cols: Sequence[str], score_col: str = "score", out_col: str = "__c", n_cells: int = ORDERED_CELLS
+) -> DataFrame:
     """Add ``__c``: cells in ascending score order that hold about equally many scores.
 
     The fixed fine cells of probabilities are counted and neighbours put together,
     so a running sum of at most 4,096 rows per group is all that is ordered.
     """
     groups = list(group_cols)
-    fine = counts.withColumn(CELL, probability_cell(F.col("score")))
+    fine = counts.withColumn(CELL, probability_cell(F.col(score_col)))
     sizes = fine.groupBy(*groups, CELL).agg(F.count(F.lit(1)).alias("__n"))
     whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     before = whole.orderBy(CELL).rowsBetween(W.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("__n").over(before), F.lit(0)) * ORDERED_CELLS / F.sum("__n").over(whole)
-    return join_on_keys(fine, sizes.select(*groups, CELL, F.floor(share).cast("int").alias("__c")), [*groups, CELL]).drop(CELL)
+    share = F.coalesce(F.sum("__n").over(before), F.lit(0)) * n_cells / F.sum("__n").over(whole)
+    return join_on_keys(fine, sizes.select(*groups, CELL, F.floor(share).cast("int").alias(out_col)), [*groups, CELL]).drop(CELL)
 
 
 def _ordered_draws(stratified: bool):
@@ -330,6 +332,118 @@ def replicate_metrics(
     partials = (
         cells.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_cell_partials(groups), schema)
     )
+    return _metrics_of_partials(partials, groups)
+
+
+#: Coarse cells of each of two scores that are resampled together.
+PAIR_CELLS = 32
+
+
+def _paired_partials(groups: list[str], n_boot: int):
+    """Grouped: replicate sums of one cell of one of the two scores.
+
+    Draws go to the cells of both scores together first, then to the rows inside, always
+    from the same seeds: what one score's cells draw, the other's draw again.
+    """
+    columns = [*groups, "side", "rep", "n_pos", "n_neg", "won", "precision", "youden"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        side, seed = int(right["side"].iloc[0]), int(right["seed"].iloc[0])
+        c1, c2, *sizes = np.array([tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in right["cells"].iloc[0]], np.int64).T
+        drawn = []
+        for k, size in enumerate(sizes):
+            total = int(size.sum())
+            rng = _generator(seed, k)
+            drawn.append(rng.multinomial(total, size / total, n_boot) if total else np.zeros((n_boot, len(size)), np.int64))
+        own, place = (c1, c2)[side - 1], int(right["cell"].iloc[0])
+        above = [d[:, own > place].sum(1) for d in drawn]
+        n_pos, n_neg = (int(size.sum()) for size in sizes)
+
+        left = left.sort_values(["c1", "c2", "s1", "s2"], kind="mergesort")
+        score, at = np.unique(-left[f"s{side}"].to_numpy(), return_inverse=True)
+        k = [left[c].to_numpy().astype(np.int64) for c in ("pos", "neg")]
+        x, y = left["c1"].to_numpy(), left["c2"].to_numpy()
+        starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        parts = []
+        for i, j in zip(starts, np.append(starts[1:], len(x)), strict=True):
+            here = int(np.flatnonzero((c1 == x[i]) & (c2 == y[i]))[0])
+            by = np.argsort(at[i:j], kind="stable")
+            ties = np.flatnonzero(np.append(True, np.diff(at[i:j][by]) > 0))
+            parts.append((i, j, here, by, ties, at[i:j][by][ties]))
+        out = []
+        for rep in range(0, n_boot, REPS_PER_BLOCK):
+            reps = slice(rep, min(rep + REPS_PER_BLOCK, n_boot))
+            n = reps.stop - rep
+            # Rows are replicates, columns this score's values from the highest down.
+            a, b = table = np.zeros((2, n, len(score)), np.int64)
+            for i, j, here, by, ties, to in parts:
+                rng = _generator(seed, x[i], y[i], rep)
+                for c in (0, 1):
+                    inside = drawn_counts(rng, drawn[c][reps, here], k[c][i:j])
+                    table[c][:, to] += np.add.reduceat(inside[:, by], ties, axis=1)
+            tp = above[0][reps, None] + np.cumsum(a, axis=1)
+            fp = above[1][reps, None] + np.cumsum(b, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                precision = np.where(a > 0, a * (tp / (tp + fp)), 0.0)
+                gap = np.where(a + b > 0, tp / n_pos - fp / n_neg, -np.inf)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "rep": np.arange(rep, reps.stop),
+                        "won": (a * (n_neg - fp + b / 2)).sum(1),
+                        "precision": precision.sum(1),
+                        "youden": gap.max(1),
+                    }
+                )
+            )
+        frame = pd.concat(out, ignore_index=True).assign(side=side, n_pos=n_pos, n_neg=n_neg)
+        for g in groups:
+            frame[g] = left[g].iloc[0]
+        return frame[columns]
+
+    return run
+
+
+def paired_replicate_metrics(
+    counts: DataFrame, group_cols: Sequence[str], n_boot: int, seed: int = 0
+) -> DataFrame:
+    """(group…, side, rep, auroc, prauc, youden) of samples of pairs of scores.
+
+    ``counts`` has a row per pair (``s1``, ``s2``) with ``pos`` and ``neg``; cases and
+    controls are drawn separately, and both sides of a replicate are the same sample.
+    A pair goes to one cell of either score, whose task draws it for all replicates and
+    gives one row of sums each: no row of a sample leaves a task.
+    """
+    groups = list(group_cols)
+    cells = counts.where((F.col("pos") > 0) | (F.col("neg") > 0))
+    for k in (1, 2):
+        cells = with_ordered_cells(cells, groups, f"s{k}", f"c{k}", PAIR_CELLS)
+    cells = checkpointed(cells)
+    per_cell = cells.groupBy(*groups, "c1", "c2").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # At most PAIR_CELLS squared entries per group.
+    packed = per_cell.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("c1", "c2", "pos", "neg"))).alias("cells"))
+
+    def places(k: int) -> Column:
+        cell = F.array_distinct(F.col(f"cells.c{k}"))
+        return F.transform(cell, lambda c: F.struct(F.lit(k).alias("side"), c.alias("cell")))
+
+    right = packed.select(
+        *groups, "cells", F.xxhash64(F.lit(seed), *groups).alias("seed"), F.inline(F.concat(places(1), places(2)))
+    )
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"c{k}").alias("cell")) for k in (1, 2)])
+    left = cells.select(*groups, "s1", "s2", "pos", "neg", "c1", "c2", F.inline(sides))
+    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    schema = ", ".join([*(f"`{g}` {kind[g]}" for g in groups), "side int", "rep int", PARTIALS])
+    at = [*groups, "side", "cell"]
+    partials = (
+        left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_paired_partials(groups, n_boot), schema)
+    )
+    return _metrics_of_partials(partials, [*groups, "side"])
+
+
+def _metrics_of_partials(partials: DataFrame, groups: list[str]) -> DataFrame:
     p, n = F.max("n_pos").cast("double"), F.max("n_neg").cast("double")
 
     def both(value: Column) -> Column:
@@ -458,8 +572,9 @@ def bootstrap_difference_ci(
         m1, m2 = metric_of(table, keys, "s1", "m1"), metric_of(table, keys, "s2", "m2")
         return join_on_keys(m1, m2, keys).select(*keys, (F.col("m1") - F.col("m2")).alias(out))
 
-    sampled = checkpointed(resampled_counts(counts, groups, ["s1", "s2"], n_boot, seed))
-    replicates = difference(sampled, [*groups, "rep"], "value")
+    sampled = paired_replicate_metrics(counts, groups, n_boot, seed).groupBy(*groups, "rep")
+    first, second = (F.max(F.when(F.col("side") == k, F.col(metric))) for k in (1, 2))
+    replicates = sampled.agg((first - second).alias("value"))
     interval = interval_of_replicates(replicates, groups, n_boot, min_valid_frac)
     return join_on_keys(difference(counts, groups, "difference"), interval, groups)
 

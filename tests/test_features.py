@@ -310,3 +310,29 @@ def test_many_features_keep_their_names(spark):
         assert len(got) == n
         label = (lambda i: f"f{i:04d}") if names is None else names.__getitem__
         assert all(got[label(i)] == i for i in (0, 9, 1000, 9_999, 10_000, 10_001, n - 1))
+
+
+def test_paired_replicates_are_one_sample_of_both_scores(spark, monkeypatch):
+    def rows_of_samples(*args, **kwargs):
+        raise AssertionError("a row per replicate and pair")
+
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(900) ** 2, 2)
+    y = (rng.random(900) < 0.2 + 0.5 * p).astype(int)
+    data = [("ab"[i % 2], int(y[i]), float(p[i]), float(1 - p[i])) for i in range(900)]
+    df = spark.createDataFrame(data, "model string, y_true int, p1 double, p2 double")
+    counts = df.groupBy("model", F.col("p1").alias("s1"), F.col("p2").alias("s2")).agg(
+        F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
+    )
+    two = B.paired_replicate_metrics(counts, ["model"], 60, 5).toPandas()
+    sums = two.groupby(["model", "rep"])["auroc"].agg(["sum", "count"])
+    assert len(sums) == 120 and set(sums["count"]) == {2}
+    assert sums["sum"].to_numpy() == pytest.approx(np.ones(120), abs=1e-12)
+    monkeypatch.setattr(B, "resampled_counts", rows_of_samples)
+    out = B.bootstrap_difference_ci(df, ["model"], "p1", "p2", n_boot=200).toPandas()
+    one = B.stratified_bootstrap_ci(df, ["model"], p_col="p1", n_boot=200).toPandas().set_index("model")
+    for row in out.itertuples():
+        assert row.n_valid == 200 and row.ci_lower < row.difference < row.ci_upper
+        # The second score mirrors the first: the difference is twice its AUROC, less one.
+        assert row.ci_lower == pytest.approx(2 * one.loc[row.model, "ci_lower"] - 1, abs=0.05)
+        assert row.ci_upper == pytest.approx(2 * one.loc[row.model, "ci_upper"] - 1, abs=0.05)
