@@ -12,6 +12,7 @@ The driver and each reducing task see sums per fit, never rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -29,8 +30,11 @@ from riskloom.session import ship_package
 #: A fit's curvature has (features + 1)² numbers and is not formed beyond so many features.
 MAX_FEATURES = 512
 BLOCK_ROWS = 2_048
-#: Bytes of sums that travel as one row, and partial rows that one task adds up.
-BUNDLE_BYTES, SLOTS = 8 << 20, 64
+#: Rows that a task reads at most where there are more tasks than run at once: a task's
+#: sums are as long for few rows as for many.
+TASK_ROWS = 65_536
+#: Bytes of sums that travel as one row, and tasks from which partial rows are added up in two steps.
+BUNDLE_BYTES, SLOTS = 1 << 20, 16
 SWEEPS = 200
 OUTSIDE, NOBODY = -1, -2
 
@@ -115,8 +119,12 @@ def pack(df: DataFrame, folds: int, columns: int = 1) -> Blocks:
     rows = df.select(
         "id", F.col("y").cast("double"), F.col("weight").cast("double"), vector_to_array("features"), "member"
     )
-    tasks = max(1, n // BLOCK_ROWS)
-    packed = rows.coalesce(tasks).mapInArrow(
+    at_once = spark.sparkContext.defaultParallelism
+    tasks = max(1, min(n // BLOCK_ROWS, at_once), n // TASK_ROWS)
+    # What is read may stand in one file and task, so the tasks follow the rows; sorted,
+    # blocks are the same in a rerun.
+    dealt = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, "id").sortWithinPartitions("id")
+    packed = dealt.mapInArrow(
         run, f"ids array<{id_type}>, x binary, y binary, w binary, m binary"
     )
     return Blocks(packed.persist(StorageLevel.MEMORY_AND_DISK), shift, scale, columns, folds, id_type, tasks)
@@ -140,7 +148,7 @@ def _finished(partials: DataFrame, tasks: int, finish) -> DataFrame:
     """(bundle, blob): ``finish(bundle, sums)`` of the partial sums of each bundle.
 
     One task's rows are finished where they are, few tasks' rows in one step, and those
-    of many tasks are added up in SLOTS groups first.
+    of more than SLOTS tasks are added up in groups first, as many as the root of the tasks.
     """
     schema = "bundle int, blob binary"
 
@@ -166,7 +174,7 @@ def _finished(partials: DataFrame, tasks: int, finish) -> DataFrame:
 
 def _sums(blocks: Blocks, bundles: Sequence, measure, finish) -> dict[int, np.ndarray]:
     """``finish(bundle, sums)`` per bundle, of ``measure(bundle, x, y, w, m)`` added up over all blocks."""
-    p, columns = len(blocks.shift), blocks.columns
+    p, columns, slots = len(blocks.shift), blocks.columns, math.isqrt(blocks.tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -175,7 +183,7 @@ def _sums(blocks: Blocks, bundles: Sequence, measure, finish) -> dict[int, np.nd
                 for b in bundles:
                     sums = measure(b, x, y, w, m)
                     totals[b] = totals[b] + sums if b in totals else sums
-        slot = TaskContext.get().partitionId() % SLOTS
+        slot = TaskContext.get().partitionId() % slots
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(list(totals), pa.int32()),

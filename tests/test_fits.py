@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskloom.operators import fits as B, linear_cv, train as M
@@ -166,3 +167,17 @@ def test_one_class_folds_and_empty_lists(spark):
     assert np.isfinite(got.standardised).all()
     assert B.fit_many(blocks, sums, []).coefficients.shape == (0, 6)
     blocks.release()
+
+
+def test_blocks_follow_the_rows_not_the_files(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 16)
+    data = [(i, i % 2, 1.0, [float(i % 7), float(i % 3)], [i % 3]) for i in range(320)]
+    df = spark.createDataFrame(data, "id bigint, y int, weight double, a array<double>, member array<int>")
+    df = df.coalesce(1).withColumn("features", array_to_vector("a"))
+    blocks = B.pack(df, 3)
+    rows = blocks.frame.select(F.spark_partition_id().alias("task"), F.size("ids").alias("n"))
+    tasks = rows.groupBy("task").agg(F.sum("n").alias("n")).toPandas()
+    blocks.release()
+    assert tasks["n"].sum() == 320
+    assert len(tasks) == blocks.tasks == spark.sparkContext.defaultParallelism
+    assert tasks["n"].max() < 160
