@@ -31,6 +31,9 @@ from riskloom.session import ensure_checkpoint_dir
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Pairs that a task holds before it counts and sends them.
 HELD = 1 << 21
+#: Bytes of text whose pairs make a shard, where that gives more than the shuffle's partitions,
+#: and shards of pairs for one of words; a task holds one shard at a time.
+SHARD_BYTES, PAIRS_TO_WORDS = 8 << 20, 4
 #: Shards over which the followers of one word are spread.
 SPREAD_BITS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,8 +132,8 @@ def _count_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def build_pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Write each shard's pairs; return packed word statistics by word shard.
+def build_pair_shards(pairs: DataFrame, folder: str, words: int) -> DataFrame:
+    """Write each shard's pairs; return packed statistics by ``words`` word shards.
 
     A pair file has the sorted keys and counts up to 255 as bytes, then the places
     and counts of larger ones. Rows: shard, word, seen (occurrences), before
@@ -157,24 +160,25 @@ def build_pair_shards(pairs: DataFrame, folder: str, shards: int) -> DataFrame:
             np.minimum(c, 255).astype(np.uint8),
         )
         # Statistics of the words in both places, added up per word of this shard.
+        counted = _count_of_counts(c)
         word = np.concatenate([u, w])
-        one = np.ones(len(u), np.int64)
-        nil = np.zeros(len(u), np.int64)
-        columns = [
-            np.concatenate([nil, c]),
-            np.concatenate([nil, one]),
-            *(np.concatenate([(x).astype(np.int64), nil]) for x in (c == 1, c == 2, c >= 3)),
-        ]
-        q = word_shard(word, shards)
+        del key, u, w
+        q = word_shard(word, words)
         order = np.lexsort((word, q))
         word, q = word[order], q[order]
         starts = run_starts(q, word)
-        columns = [_sums(x[order], starts).astype(np.uint32 if i else np.uint64) for i, x in enumerate(columns)]
+        nil = np.zeros(len(c), np.int64)
+
+        def column(front: np.ndarray, behind: np.ndarray, kind) -> np.ndarray:
+            return _sums(np.concatenate([front, behind]).astype(np.int64)[order], starts).astype(kind)
+
+        columns = [column(nil, c, np.uint64), column(nil, nil + 1, np.uint32)]
+        columns += [column(x, nil, np.uint32) for x in (c == 1, c == 2, c >= 3)]
         word, q = word[starts], q[starts]
         rows = []
         for a, b in run_spans(q):
             rows.append((int(q[a]), word[a:b].tobytes(), *(x[a:b].tobytes() for x in columns), 0, 0, 0, 0))
-        rows.append((-1, b"", b"", b"", b"", b"", b"", *_count_of_counts(c)))
+        rows.append((-1, b"", b"", b"", b"", b"", b"", *counted))
         return _frame(rows, _STATISTICS)
 
     kinds = ["long", *["binary"] * 6, *["long"] * 4]
@@ -236,6 +240,7 @@ class BigramModel:
 
     folder: str
     shards: int
+    word_shards: int
     tokens: int
     words: int
     pairs: int
@@ -244,7 +249,7 @@ class BigramModel:
     word_mass: float
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1 << 14)
 def _mapped(path: str) -> memoryview:
     if not os.path.isdir(os.path.dirname(path)):
         raise FileNotFoundError(f"this worker does not see the model folder of {path}")
@@ -277,7 +282,7 @@ def _pair_counts(model: BigramModel, u: np.ndarray, w: np.ndarray) -> np.ndarray
 
 def _word_counts(model: BigramModel, w: np.ndarray) -> list[np.ndarray]:
     """seen, before, n1, n2, n3 of each word; zeros for unknown ones."""
-    shard = word_shard(w, model.shards)
+    shard = word_shard(w, model.word_shards)
     out = [np.zeros(len(w), np.int64) for _ in range(5)]
     order = np.lexsort((w, shard))
     for a, b in run_spans(shard[order]):
@@ -346,6 +351,14 @@ def model_folder(docs: DataFrame) -> str:
     return folder
 
 
+def shard_numbers(docs: DataFrame) -> tuple[int, int]:
+    """Shards of pairs and of words: they grow with the text, so that none outgrows a task."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
+    shards = max(least, -(-size // SHARD_BYTES))
+    return shards, max(least, shards // PAIRS_TO_WORDS)
+
+
 def train_bigrams(docs: DataFrame, folder: str | None = None) -> BigramModel:
     """Count all texts of ``docs`` and write the model's files.
 
@@ -355,8 +368,8 @@ def train_bigrams(docs: DataFrame, folder: str | None = None) -> BigramModel:
     equal one.
     """
     folder = folder or model_folder(docs)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    statistics = build_pair_shards(count_pairs(docs, shards), folder, shards)
+    shards, words = shard_numbers(docs)
+    statistics = build_pair_shards(count_pairs(docs, shards), folder, words)
     totals = build_word_shards(statistics, folder)
     row = totals.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _TOTALS]).first()
     word_discounts = discounts([row[f"b{i}"] for i in (1, 2, 3, 4)])
@@ -366,6 +379,7 @@ def train_bigrams(docs: DataFrame, folder: str | None = None) -> BigramModel:
     return BigramModel(
         folder,
         shards,
+        words,
         row["tokens"],
         row["words"],
         row["pairs"],

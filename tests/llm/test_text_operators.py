@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from riskloom.llm import quality
+from riskloom.llm import ngram_lm, quality
 from riskloom.llm.fingerprints import _edges, fingerprint_documents, with_next
 from riskloom.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, words_of
 from riskloom.llm.ngram_lm import discounts, score_held_out
@@ -337,3 +337,19 @@ def test_language_model_by_definition(spark, odd):
         assert math.isclose(r.base_score, base)
     assert score_held_out(odd).count() == odd.count()
     assert score_held_out(empty_docs(spark)).count() == 0
+
+
+def test_language_model_shards_grow_with_the_text(spark, monkeypatch):
+    texts = [f"a{i % 7} b{i % 5} the the c{i} d{i % 3} e " * 3 for i in range(80)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    few = {r["doc_id"]: r for r in score_held_out(docs).collect()}
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ngram_lm.shard_numbers(docs) == (least, least)
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 100)
+    assert ngram_lm.shard_numbers(docs)[0] > 4 * least
+    many = {r["doc_id"]: r for r in score_held_out(docs).collect()}
+    assert len(many) == len(few) == 80
+    for i, row in few.items():
+        assert many[i]["n_known"] == row["n_known"]
+        assert many[i]["score"] == pytest.approx(row["score"], rel=1e-12)
+        assert many[i]["base_score"] == pytest.approx(row["base_score"], rel=1e-12)
