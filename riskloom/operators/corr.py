@@ -77,6 +77,8 @@ def correlation(
     are centred and scaled per feature, gathered to one array per person, and
     each task adds up outer products block by block, so the shuffle carries
     feature × feature sums and never people. The feature list bounds their size.
+    What several steps read (filled rows, ranks, arrays) is checkpointed, so each is
+    computed once; medians are looked for only where something is missing.
     """
     names = sorted(set(features))
     index = {n: k for k, n in enumerate(names)}
@@ -89,9 +91,11 @@ def correlation(
         names,
         id_col,
     ).join(F.broadcast(keys), "feature")
-    rows = impute(rows, "median")
+    rows = checkpointed(rows)
+    if not rows.where(F.col("value").isNull()).isEmpty():
+        rows = checkpointed(impute(rows, "median"))
     if (method or "").strip().lower() == "spearman":
-        rows = average_ranks(rows)
+        rows = checkpointed(average_ranks(rows))
     moments = rows.groupBy("feature").agg(
         F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s")
     )
@@ -105,7 +109,8 @@ def correlation(
             lambda e: e["z"],
         ).alias("v")
     ).where(F.size("v") == p)
-    partial = vectors.select("v").mapInPandas(
+    vectors = checkpointed(vectors.select("v"))
+    partial = vectors.mapInPandas(
         _gram_blocks(p, BLOCK), "i int, j int, row int, sums array<double>"
     )
     entries = partial.select(

@@ -336,3 +336,27 @@ def test_paired_replicates_are_one_sample_of_both_scores(spark, monkeypatch):
         # The second score mirrors the first: the difference is twice its AUROC, less one.
         assert row.ci_lower == pytest.approx(2 * one.loc[row.model, "ci_lower"] - 1, abs=0.05)
         assert row.ci_upper == pytest.approx(2 * one.loc[row.model, "ci_upper"] - 1, abs=0.05)
+
+
+def test_correlation_looks_for_medians_only_where_values_are_missing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(i, f, float(v)) for i, row in enumerate(rng.normal(size=(40, 3))) for f, v in zip("abc", row)]
+    schema = "id bigint, feature string, value double"
+    calls, impute = [], R.impute
+    monkeypatch.setattr(R, "impute", lambda *a, **k: calls.append(1) or impute(*a, **k))
+
+    def spearman(rows):
+        return {(r[0], r[1]): r[2] for r in R.correlation(spark.createDataFrame(rows, schema), list("abc")).collect()}
+
+    def by_ranks(x):
+        ranks = (x[:, None] > x).sum(1) + (x[:, None] == x).sum(1) / 2  # ties share the mean
+        return pytest.approx(abs(np.corrcoef(ranks[:, 0], ranks[:, 1])[0, 1]), abs=1e-9)
+
+    whole = spearman(data)
+    assert not calls
+    x = np.array([v for *_, v in data]).reshape(40, 3)
+    assert whole["a", "b"] == by_ranks(x)
+    holes = spearman([r for r in data if r[:2] != (7, "b")])
+    assert calls
+    x[7, 1] = np.median(np.delete(x[:, 1], 7))
+    assert holes["a", "b"] == by_ranks(x)
