@@ -23,7 +23,6 @@ from pyspark.ml.classification import (
     LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
-    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import (
@@ -46,6 +45,7 @@ from riskloom.operators import screen as S
 from riskloom.operators.boosting import GBTClassifier
 from riskloom.operators.calibrate import OOFCalibrator, positive_probability
 from riskloom.operators.discrimination import discrimination_aggregates, brier_of_counts
+from riskloom.operators.forest import RandomForestClassifier
 from riskloom.operators.fits import MAX_FEATURES, Fit, fit_many, moments, pack
 from riskloom.operators.panels import importance_selection
 from riskloom.operators.prepare import melt_array

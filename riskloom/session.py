@@ -10,6 +10,8 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,14 @@ def in_order(spark: SparkSession, jobs: Sequence[Callable[[], object]], at_once:
         return [future.result() for future in running]
 
 
+def read_folder(folder: str) -> pyarrow.dataset.Dataset:
+    """Parquet files of a shared folder, read inside a task: a path, or a URI that Arrow opens."""
+    if "://" not in folder and folder.startswith("file:"):
+        folder = "file://" + folder.removeprefix("file:")
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    return pyarrow.dataset.dataset(path, filesystem=system, format="parquet")
+
+
 _shipped: set[str] = set()
 _shipping = threading.Lock()
 
