@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel, classification
 from pyspark.sql import functions as F
 
+from riskloom.operators import boosting as B
 from riskloom.operators import forest as R
 from riskloom.operators import train as M
 from riskloom.operators.discrimination import auroc
@@ -102,6 +103,28 @@ def test_stored_forest_is_the_same(spark, rows, tmp_path):
     assert all(abs(first[n] - second[n]) < 1e-12 for n in first) and first["a"] > 0
 
 
+def test_boosted_trees_in_files_are_those_that_spark_loads(spark, rows, tmp_path, monkeypatch):
+    got = M.fit_model(rows, "XGBoost", {"n_estimators": 9}, [0, 1, 2])
+    assert isinstance(got.stages[-1], R.ForestModel)
+    monkeypatch.setattr(R, "tree_model", None)  # nothing but ``in_files`` needs it
+    monkeypatch.setattr(B.GBTClassifier, "_fit", lambda self, data, fit=B.GBTClassifier._fit: fit(spark_model(self), data))
+    want = M.fit_model(rows, "XGBoost", {"n_estimators": 9}, [0, 1, 2])
+    assert isinstance(want.stages[-1], classification.GBTClassificationModel)
+    for name in ("probability", "rawPrediction", "prediction"):
+        assert np.abs(column(got, rows, name) - column(want, rows, name)).max() < 1e-12
+    values = [m.stages[-1].featureImportances.toArray() for m in (got, want)]
+    assert np.abs(values[0] - values[1]).max() < 1e-9
+    assert got.stages[-1].totalNumNodes == want.stages[-1].totalNumNodes
+    got.write().save(str(tmp_path / "b"))
+    again = PipelineModel.load(str(tmp_path / "b"))
+    assert np.abs(column(again, rows) - column(want, rows)).max() < 1e-12
+
+
+def spark_model(estimator):
+    estimator.in_files = False
+    return estimator
+
+
 def test_odd_rows(rows):
     one = M.fit_model(rows.limit(1), "RF", {"n_estimators": 3}, scale=False)
     assert set(column(one, rows)[:, 1]) <= {0.0, 1.0}
